@@ -240,7 +240,7 @@ def _block_links(opened: DataFrame, sets: DataFrame, num: int, den: int) -> Data
     return dealt.join(sets, "cls").groupBy("node", "i", "j").applyInArrow(run, "a long, b long")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs whose full sets have den * intersection >= num * union."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,11 +253,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) ->
                 keep.append(den * both >= num * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(wanted, "doc_id", "left_semi")
-    sets = staged(full_sets(texts, k), "near-sets")
-    left = sets.select(F.col("doc_id").alias("a"), F.col("items").alias("left"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("items").alias("right"))
+    left = sets.select(F.col("cls").alias("a"), F.col("items").alias("left"))
+    right = sets.select(F.col("cls").alias("b"), F.col("items").alias("right"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
 
 
@@ -302,22 +299,23 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     hubs = every.groupBy("node").agg(*picks).select("node", F.array_distinct(F.array(*[f"h{j}" for j in range(PIVOTS)])).alias("hubs"))
     pairs = _leaf_pairs(members.where(F.col("size") <= leaf), num, den).unionByName(_star_pairs(every, hubs, num, den))
     pairs = staged(pairs.groupBy("a", "b").agg(F.max("best").alias("best")), "near-pairs")
-    links = staged(_verified(pairs.where("best"), docs, k, num, den), "near-links")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).union(large.select("cls")).distinct()
+    texts = docs.select(F.col("doc_id").cast("long"), "text").join(wanted, "doc_id", "left_semi")  # the only shuffle of texts
+    sets = staged(full_sets(texts, k).dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "cls"), "near-sets")
+    links = staged(_verified(pairs.where("best"), sets, num, den), "near-links")
     labels = components(links)
 
     rest = pairs.where("not best").select("a", "b")
     for side in ("a", "b"):
         rest = rest.join(labels.select(F.col("v").alias(side), F.col("comp").alias(f"comp_{side}")), side, "left")
     rest = staged(rest.where(F.coalesce("comp_a", "a") != F.coalesce("comp_b", "b")).select("a", "b"), "near-rest")
-    links = links.unionByName(staged(_verified(rest, docs, k, num, den), "near-links"))
+    links = links.unionByName(staged(_verified(rest, sets, num, den), "near-links"))
     if not large.isEmpty():
         named = large.select("node", "cls").join(labels.withColumnRenamed("v", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
         parts = named.groupBy("node", "comp").agg(F.count("*").alias("c"))
         state = parts.groupBy("node").agg(F.sum("c").alias("size"), F.max_by("comp", "c").alias("main"), F.max("c").alias("most"))
         opened = staged(named.join(state.where("most < size"), "node"), "near-open")
-        wanted = opened.select(F.col("cls").alias("doc_id")).distinct()
-        sets = staged(full_sets(docs.select(F.col("doc_id").cast("long"), "text").join(wanted, "doc_id", "left_semi"), k), "near-sets")
-        met = _block_links(opened, sets.withColumnRenamed("doc_id", "cls"), num, den)
+        met = _block_links(opened, sets, num, den)
         links = links.unionByName(staged(met.distinct(), "near-links"))
     labels = components(links, labels)
 
