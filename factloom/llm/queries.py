@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import near_dedup
+from factloom.llm import dac, exact_dedup, html_text, language, line_dedup, mixing, near_dedup, packing, quality, separators
+
+TOKENIZER = "byte_bpe_50k.json"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -30,3 +33,68 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     """Components of documents whose 3-word shingle sets have a similarity of 0.85 or more."""
     return near_dedup.near_duplicates(_table(spark, folder, "documents"), k=3, num=85, den=100).select("doc_id", "n_shingles", "component_id", "kept", "class_id")
+
+
+@_register("op2_quality_rules")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    """Base counts, log-likelihood score and verdict of every document."""
+    labels = _table(spark, folder, "labels").where("quality = 1")
+    return quality.judged(_table(spark, folder, "documents"), labels).drop("key")
+
+
+@_register("op3_html_extraction")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    """The main text of every page."""
+    return html_text.extract(_table(spark, folder, "pages"))
+
+
+@_register("op4_line_dedup")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    """The lines of every document that repeat or nearly repeat an earlier line of the corpus."""
+    return line_dedup.similar_lines(_table(spark, folder, "documents"))
+
+
+@_register("op5_language_id")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    """The language of every document."""
+    return language.identify(_table(spark, folder, "documents"))
+
+
+@_register("op6_token_counts")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    """Tokens of every document, counted in flat token files."""
+    return separators.token_counts(_table(spark, folder, "documents"), public_tokenizers.path(TOKENIZER))
+
+
+@_register("op7_source_mix")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    """Words that the mix takes of every document."""
+    return mixing.mix(_table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@_register(
+    "op8_exact_dedup",
+    """
+    WITH d AS (
+        SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm FROM documents
+    ), g AS (
+        SELECT norm, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY norm
+    )
+    SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM d JOIN g USING (norm)
+    """,
+)
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    """The document that stays of every group of equal texts."""
+    return exact_dedup.exact_duplicates(_table(spark, folder, "documents"))
+
+
+@_register("op9_packing")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    """The place of every piece of every document in windows of 2048 tokens."""
+    return packing.pack(_table(spark, folder, "documents"), public_tokenizers.path(TOKENIZER))
+
+
+@_register("op10_token_files")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    """What the directly addressable token files say of every document."""
+    return dac.token_files(_table(spark, folder, "documents"), public_tokenizers.path(TOKENIZER))
