@@ -1,10 +1,77 @@
-"""Corpus pipeline: stages over documents, each written as Parquet and read by the next."""
+"""Corpus pipeline: quality rules, exact dedup, near-dedup, mixing and packing of documents.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
+as Parquet and read again as the next stage's docs.  All but the last return the
+columns of the documents table.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from factloom.llm import exact_dedup, mixing, near_dedup, packing, quality
+from factloom.scratch import staged
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+TOKENIZER = "byte_bpe_50k.json"
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Leave out the documents that fail the base rules or score below the threshold."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    verdict = quality.judged(docs, labels.where("quality = 1")).where("not kept").select("doc_id", "key").alias("v")
+    rows = docs.withColumn("key", F.xxhash64("text")).alias("d")
+    return rows.join(verdict, F.expr("d.doc_id <=> v.doc_id and d.key = v.key"), "left_anti").select(*COLUMNS)
+
+
+def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents with equal texts, keep the one with the largest doc_id."""
+    gone = exact_dedup.exact_duplicates(docs).where("not kept").select("doc_id", "text_sha256").alias("g")
+    rows = docs.withColumn("sha", F.sha2(exact_dedup.normalised(), 256)).alias("d")
+    return rows.join(gone, F.expr("d.doc_id <=> g.doc_id and d.sha = g.text_sha256"), "left_anti").select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of documents similar on five-word shingles, keep one."""
+    gone = near_dedup.near_duplicates(docs, k=5, num=80, den=100).where("not kept").select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeat each document as often as the mix takes it, in whole documents; 0 times leaves it out.
+
+    A document taken in part is rounded by the hash of its id, so a source's
+    words stay near its target.
+    """
+    taken = mixing.mix(docs).where("taken > 0").select("doc_id", "taken", "size")
+    share = F.pmod(F.xxhash64("doc_id", F.lit("mix")), F.lit(1 << 20)) / (1 << 20)
+    times = taken.select("doc_id", F.floor(F.col("taken") / F.col("size") + share).cast("int").alias("times")).where("times > 0")
+    copies = F.explode(F.sequence(F.lit(1), F.col("times")))
+    return docs.join(times, "doc_id").withColumn("copy", copies).select(*COLUMNS)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pack all documents into windows of 2048 tokens."""
+    return packing.pack(docs, public_tokenizers.path(TOKENIZER))
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("exact dedup", exact_duplicates),
+    ("near-dedup", near_duplicates),
+    ("source mix", source_mix),
+    ("packing", packed),
+]
+
+#: Tokenizers, shingle components and hashed n-grams have no SQL form.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of ``sf_dir``."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = staged(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
