@@ -47,7 +47,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     taken = mixing.mix(docs).where("taken > 0").select("doc_id", "taken", "size")
     share = F.pmod(F.xxhash64("doc_id", F.lit("mix")), F.lit(1 << 20)) / (1 << 20)
-    times = taken.select("doc_id", F.floor(F.col("taken") / F.col("size") + share).cast("int").alias("times")).where("times > 0")
+    times = taken.select("doc_id", F.floor(F.try_divide("taken", "size") + share).cast("int").alias("times")).where("times > 0")
     copies = F.explode(F.sequence(F.lit(1), F.col("times")))
     return docs.join(times, "doc_id").withColumn("copy", copies).select(*COLUMNS)
 
