@@ -1,26 +1,6 @@
-"""Named queries over the driver tables, each with the same rows in DuckDB's SQL."""
+"""All named queries over the driver tables, each with the same rows in DuckDB's SQL."""
 
-from __future__ import annotations
+from factloom.plans import fold_queries, gate_queries, graph_queries, lifecycle_queries, temporal_queries, text_queries  # noqa: F401  they register themselves
+from factloom.plans.registry import ORACLES, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def register(name: str, sql: str | None = None):
-    """Register a function of (spark, folder) under ``name``, with its oracle."""
-
-    def keep(query):
-        QUERIES[name] = query
-        if sql is not None:
-            ORACLES[name] = sql
-        return query
-
-    return keep
-
-
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+__all__ = ["ORACLES", "QUERIES"]
