@@ -3,7 +3,7 @@
 Every element of a page has its characters, link characters, tags and link
 tags.  Its density is characters per tag, scaled by how little of it is links;
 an element's sum is that of its children's densities.  The element of the
-largest sum is the core.  The least density on the way from the core up to the
+largest sum, the body among them, is the core.  The least density on the way from the core up to the
 body is the threshold: the core's article (or ``main``), if it has one, is the
 main text, else the core and those elements beside its ancestors whose density
 reaches the threshold.  Elements that are never prose (menus, forms, scripts
@@ -207,7 +207,7 @@ def main_text(page: str | None) -> str:
     root = parse(page)
     order = _measure(root)
     body = next((n for n in order if n.tag == "body"), root)
-    core = max((n for n in order if n is not root and n is not body and n.total > 0), key=lambda n: n.total, default=body)
+    core = max((n for n in order if n is body or n is not root), key=lambda n: n.total, default=body)
     path, node = [core], core
     while node is not body and node.parent is not None:
         node = node.parent
