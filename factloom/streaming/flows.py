@@ -56,7 +56,7 @@ def hit_lifecycle(stream: DataFrame, promote: int = 3, idle_days: int = 30, late
             hits, newest = hits - 1, newest + idle_ms
         for frame in frames:
             hits += len(frame)
-            newest = max(newest, int(frame["ts"].max().timestamp() * 1000))
+            newest = max(newest, int(frame["ts"].max().timestamp() * 1000)) if len(frame) else newest
         outcome = "promote" if hits >= promote else "drop" if hits <= 0 else None
         if outcome:
             if state.exists:
