@@ -1,6 +1,6 @@
 """Line dedup by an exact set-similarity join.
 
-A line is the set of its words, A-Z lowered.  Lines with one set form a class.
+A line is the set of its words, lowered.  Lines with one set form a class.
 Words are ordered by rarity: how many of the corpus's words fall in the word's
 one of ``BUCKETS`` buckets, in powers of two, then by hash.  Any fixed order
 makes the prefix filter exact; rarity makes it sharp.  Two sets with a Jaccard
@@ -24,15 +24,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.exact_dedup import LOWER, UPPER
 from factloom.llm.quality import _let
 from factloom.scratch import staged
 
 BUCKETS = 8192
+HASH_BITS = 57  # of a word's 64; its rarity, at most 63, goes before them
 
 
 def _words(line: Column) -> Column:
-    return F.array_distinct(F.array_remove(F.split(F.translate(line, UPPER, LOWER), r"[\x20\x09-\x0D]+"), ""))
+    return F.array_distinct(F.array_remove(F.split(F.lower(line), r"[\x20\x09-\x0D]+"), ""))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -41,7 +41,7 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 def _rarity(docs: DataFrame) -> Column:
     """A constant array: the power of two of each bucket's number of words."""
-    bucket = F.transform(_words(F.col("text")), lambda w: F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int"))
+    bucket = F.transform(_words(F.col("text")), lambda w: F.xxhash64(w).bitwiseAND(F.lit(BUCKETS - 1)).cast("int"))
     counts = docs.select(F.explode(bucket).alias("bucket")).groupBy("bucket").count()
     levels = [0] * BUCKETS
     for row in counts.collect():  # at most BUCKETS rows
@@ -53,9 +53,10 @@ def similar_lines(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_lines, n_removed, removed (the line numbers to leave out) for every document."""
     levels = _rarity(docs)
     hashed = F.transform(_words(F.col("line")), lambda w: F.xxhash64(w))
-    ranked = F.array_sort(F.transform(hashed, lambda h: F.struct(F.get(levels, F.pmod(h, F.lit(BUCKETS)).cast("int")).alias("level"), h.alias("h"))))
-    keyed = F.inline(F.array(_let(F.transform(ranked, lambda x: x["h"]), lambda s: F.struct(F.xxhash64(s).alias("k1"), F.xxhash64(F.lit(1), s).alias("k2"), F.size(s).alias("n"), s.alias("items")))))
-    lines = _lines(docs).select("doc_id", "line_no", keyed).where("n > 0")
+    level = lambda h: F.get(levels, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).cast("long")
+    ranked = F.sort_array(F.transform(hashed, lambda h: F.shiftleft(level(h), HASH_BITS).bitwiseOR(h.bitwiseAND(F.lit((1 << HASH_BITS) - 1)))))
+    key = lambda s: F.struct(F.xxhash64(s).alias("k1"), F.xxhash64(F.lit(1), s).alias("k2"), F.size(s).alias("n"), s.alias("items"))
+    lines = _lines(docs).select("doc_id", "line_no", F.inline(F.array(_let(ranked, key)))).where("n > 0")
     classes = lines.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.max("n").alias("n"), F.max("items").alias("items"))
     classes = staged(classes, "lines-classes")
 
@@ -76,7 +77,7 @@ def similar_lines(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
     earliest = linked.groupBy("k1", "k2").agg(F.min("other").alias("other"))
     limits = classes.select("k1", "k2", "first").join(earliest, ["k1", "k2"], "left").select("k1", "k2", F.least("first", F.coalesce("other", "first")).alias("earliest"))
     gone = lines.select("doc_id", "line_no", "k1", "k2").join(limits, ["k1", "k2"]).where(F.struct("doc_id", "line_no") > F.col("earliest"))
-    removed = gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("line_no")).alias("removed"))
+    removed = gone.groupBy("doc_id").agg(F.sort_array(F.collect_set("line_no")).alias("removed"))
     sizes = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).alias("n_lines"))
     sizes = sizes.withColumn("n_lines", F.greatest("n_lines", F.lit(0)))
     found = sizes.alias("s").join(removed.alias("r"), F.expr("s.doc_id <=> r.doc_id"), "left")

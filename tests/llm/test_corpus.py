@@ -174,7 +174,7 @@ def test_html_pages(spark, sf):
 
 
 def brute_lines(texts, num, den):
-    lines = [(i, n, frozenset(WORD.findall(line.translate(LOWER)))) for i in sorted(texts, key=lambda x: (x is not None, x)) if texts[i] is not None for n, line in enumerate(texts[i].split("\n"))]
+    lines = [(i, n, frozenset(WORD.findall(line.lower()))) for i in sorted(texts, key=lambda x: (x is not None, x)) if texts[i] is not None for n, line in enumerate(texts[i].split("\n"))]
     gone = defaultdict(list)
     firsts = []
     for i, n, words in lines:
