@@ -29,7 +29,7 @@ from factloom.scratch import new_path
 from factloom.shipping import ship
 
 MAGIC, WORD = b"DAC1", 512
-FILE_IDS = 2_000_000
+FILE_IDS = 4_000_000
 _NO_ID = -(1 << 63)
 
 

@@ -27,7 +27,7 @@ from factloom.llm.tokens import encoder
 from factloom.scratch import new_path
 from factloom.shipping import ship
 
-BLOCK_IDS = 1_000_000
+BLOCK_IDS = 4_000_000
 
 
 def write_streams(docs: DataFrame, tokenizer: str, end_id: int, folder: str, width: int = 2, block: int = BLOCK_IDS) -> None:
