@@ -13,11 +13,11 @@ BYPASS, CORRECTION_BYPASS = 0.95, 0.9
 
 
 def typed(edges: DataFrame, types: DataFrame, rels: DataFrame) -> DataFrame:
-    """Edges with head and tail types (null if unknown) and their relation's row; the ontology is a small fixed table."""
+    """Edges with head and tail types (null if unknown) and their relation's row."""
     known = types.where("entity_type <> 'unknown'")
     head = known.select(F.col("entity_id").alias("subject"), F.col("entity_type").alias("head"))
     tail = known.select(F.col("entity_id").alias("object"), F.col("entity_type").alias("tail"))
-    return edges.join(F.broadcast(rels), "rel_type", "left").join(head, "subject", "left").join(tail, "object", "left")
+    return edges.join(rels, "rel_type", "left").join(head, "subject", "left").join(tail, "object", "left")
 
 
 def allows(kinds: Column, kind: Column) -> Column:

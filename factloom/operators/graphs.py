@@ -58,7 +58,7 @@ def identity_set(same_as: DataFrame, users: DataFrame) -> DataFrame:
 def taxonomy_bridge(taxonomies: DataFrame, edges: DataFrame) -> DataFrame:
     """Edges counted by the taxonomies whose defining relations hold theirs."""
     bridge = taxonomies.select("taxonomy", F.explode("defining_rels").alias("rel_type"))
-    return edges.join(F.broadcast(bridge), "rel_type").groupBy("taxonomy", "rel_type").agg(F.count("*").alias("n"))
+    return edges.join(bridge, "rel_type").groupBy("taxonomy", "rel_type").agg(F.count("*").alias("n"))
 
 
 def membership(edges: DataFrame, types: DataFrame, taxonomies: DataFrame) -> DataFrame:
@@ -67,9 +67,9 @@ def membership(edges: DataFrame, types: DataFrame, taxonomies: DataFrame) -> Dat
     defined = taxonomies.select("taxonomy", F.explode("defining_rels").alias("rel_type"))
     head = types.select(F.col("entity_id").alias("subject"), F.col("entity_type").alias("head"))
     tail = types.select(F.col("entity_id").alias("object"), F.col("entity_type").alias("tail"))
-    typed = edges.join(head, "subject").join(tail, "object").join(F.broadcast(defined), "rel_type", "left")
-    h = F.broadcast(members.select("taxonomy", F.col("kind").alias("head"), F.lit(1).alias("h")))
-    t = F.broadcast(members.select("taxonomy", F.col("kind").alias("tail"), F.lit(1).alias("t")))
+    typed = edges.join(head, "subject").join(tail, "object").join(defined, "rel_type", "left")
+    h = members.select("taxonomy", F.col("kind").alias("head"), F.lit(1).alias("h"))
+    t = members.select("taxonomy", F.col("kind").alias("tail"), F.lit(1).alias("t"))
     marked = typed.join(h, ["taxonomy", "head"], "left").join(t, ["taxonomy", "tail"], "left")
     sides = F.coalesce(F.max(F.coalesce("h", F.lit(0)) + F.coalesce("t", F.lit(0))), F.lit(0))
     status = F.when(sides == 2, F.lit("ok")).when(sides == 1, F.lit("violation")).otherwise(F.lit("unconstrained"))
@@ -98,8 +98,8 @@ def retract_targets(wanted: DataFrame, facts: DataFrame, staged: DataFrame) -> D
 
 def canonical_ladder(edges: DataFrame, known: DataFrame, aliases: DataFrame) -> DataFrame:
     """Exact relation, else alias (swapping the ends if it inverts), else none."""
-    exact = F.broadcast(known.select("rel_type", F.lit(True).alias("exact")))
-    other = F.broadcast(aliases.select(F.col("alias").alias("rel_type"), "canonical", "requires_inversion"))
+    exact = known.select("rel_type", F.lit(True).alias("exact"))
+    other = aliases.select(F.col("alias").alias("rel_type"), "canonical", "requires_inversion")
     found = edges.join(exact, "rel_type", "left").join(other, "rel_type", "left")
     turned = F.col("exact").isNull() & F.coalesce("requires_inversion", F.lit(False))
     return found.select(

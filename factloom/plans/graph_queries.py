@@ -39,7 +39,7 @@ def flagship_live_fact_view(spark, folder):
     walked = graphs.walk_up(src.hierarchy(spark, folder), customers(spark, folder)).where("node like 'region:%'")
     names = src.table(spark, folder, "region").select(F.concat(F.lit("region:"), "r_regionkey").alias("node"), F.col("r_name").alias("region"))
     balance = src.attributes(spark, folder).where("attribute = 'account_balance' and value_float > 0").select("entity_id", F.col("value_float").alias("balance"))
-    rows = walked.join(F.broadcast(names), "node").withColumnRenamed("start", "entity_id").join(balance, "entity_id")
+    rows = walked.join(names, "node").withColumnRenamed("start", "entity_id").join(balance, "entity_id")
     text = rendering.sentence(F.lit("{x} is in {y}"), F.lit("located_in"), F.col("entity_id"), F.col("region"))
     return rows.select("entity_id", "region", "balance", text.alias("text"))
 

@@ -107,7 +107,7 @@ def unmatched_sentences(spark, folder):
     FROM (SELECT *, CASE WHEN subject = 'user:1' THEN 'you' ELSE subject END AS who FROM assertions) a LEFT JOIN rel_types USING (rel_type)""",
 )
 def render_templates(spark, folder):
-    rows = src.assertions(spark, folder).join(F.broadcast(src.rel_types(spark)), "rel_type", "left")
+    rows = src.assertions(spark, folder).join(src.rel_types(spark), "rel_type", "left")
     who = rendering.display_name(F.col("subject"), F.lit(None), F.lit("user:1"))
     text = rendering.sentence(F.col("template"), F.col("rel_type"), who, F.col("object"))
     return rows.select("id", rendering.dated(text, F.when(F.col("id") % 2 == 0, F.to_date("ts"))).alias("text"))
@@ -126,6 +126,6 @@ def article_and_negation(spark, folder):
 
 @register("recall_block")
 def recall_block(spark, folder):
-    rows = src.assertions(spark, folder).join(F.broadcast(src.rel_types(spark)), "rel_type", "left")
+    rows = src.assertions(spark, folder).join(src.rel_types(spark), "rel_type", "left")
     text = rendering.sentence(F.col("template"), F.col("rel_type"), F.col("subject"), F.col("object"))
     return rendering.recall(rows.select("subject", text.alias("text"), "fact_class", "confidence"), "subject")
