@@ -78,7 +78,7 @@ def scan(spark, folder: str, end_id: int, width: int = 2) -> DataFrame:
     part = lambda i: F.regexp_extract("path", r"stream-(\d+)-(\d+)\.ids$", i).cast("int")
     blocks = spark.read.format("binaryFile").load(folder).select(part(1).alias("stream"), part(2).alias("block"), "content")
     found = blocks.mapInArrow(run, "stream int, block int, size long, ends array<long>")
-    facts = found.select("stream", "block", "size", F.size("ends").cast("long").alias("n"), F.element_at("ends", -1).alias("last"))
+    facts = found.select("stream", "block", "size", F.size("ends").cast("long").alias("n"), F.try_element_at("ends", F.lit(-1)).alias("last"))
     earlier = Window.partitionBy("stream").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     facts = facts.withColumn("base", F.coalesce(F.sum("size").over(earlier), F.lit(0))).withColumn("ordinal", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
     facts = facts.withColumn("carry", F.coalesce(F.max(F.col("base") + F.col("last")).over(earlier), F.lit(-1)))
