@@ -29,10 +29,33 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-@_register("op1_minhash_near_dedup")
+@_register(
+    "op1_minhash_near_dedup",
+    r"""
+    WITH RECURSIVE w AS (
+        SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+    ), g AS (
+        SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+            ELSE list_transform(generate_series(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 2], ' ')) END) AS shingle FROM w
+    ), n AS (
+        SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id
+    ), p AS (
+        SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM g a JOIN g b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL
+    ), l AS (
+        SELECT x, y FROM p JOIN n u ON u.doc_id = x JOIN n v ON v.doc_id = y WHERE 100 * c >= 85 * (u.n + v.n - c)
+    ), e AS (
+        SELECT x, y FROM l UNION ALL SELECT y, x FROM l
+    ), r(doc_id, other) AS (
+        SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, e.y FROM r JOIN e ON e.x = r.other
+    ), m AS (
+        SELECT doc_id, min(other) AS component_id FROM r GROUP BY doc_id
+    )
+    SELECT m.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, m.doc_id = component_id AS kept FROM m LEFT JOIN n ON n.doc_id = m.doc_id
+    """,
+)
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     """Components of documents whose 3-word shingle sets have a similarity of 0.85 or more."""
-    return near_dedup.near_duplicates(_table(spark, folder, "documents"), k=3, num=85, den=100).select("doc_id", "n_shingles", "component_id", "kept", "class_id")
+    return near_dedup.near_duplicates(_table(spark, folder, "documents"), k=3, num=85, den=100).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 @_register("op2_quality_rules")
@@ -66,7 +89,31 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     return separators.token_counts(_table(spark, folder, "documents"), public_tokenizers.path(TOKENIZER))
 
 
-@_register("op7_source_mix")
+@_register(
+    "op7_source_mix",
+    r"""
+    WITH d AS (
+        SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents
+    ), s AS (
+        SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM d GROUP BY source
+    ), o AS (
+        SELECT *, (rank - 1) % 3 + 1 AS weight, CAST(sum(source_size) OVER () AS BIGINT) AS total FROM s
+    ), f AS (
+        SELECT *, CAST(total - coalesce(sum(3 * source_size) OVER (ORDER BY CAST(source_size AS DOUBLE) / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS left_words,
+            CAST(sum(weight) OVER (ORDER BY CAST(source_size AS DOUBLE) / weight, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS BIGINT) AS left_weight FROM o
+    ), b AS (
+        SELECT left_words AS words, left_weight AS weights FROM f WHERE 3 * source_size * left_weight > left_words * weight ORDER BY left_weight DESC LIMIT 1
+    ), t AS (
+        SELECT f.source, source_size, CASE WHEN 3 * source_size * left_weight > left_words * weight THEN CAST(words AS DOUBLE) * weight / weights ELSE CAST(3 * source_size AS DOUBLE) END AS target FROM f LEFT JOIN b ON true
+    ), a AS (
+        SELECT d.doc_id, d.size, source_size, target, CAST(round(target) AS BIGINT) AS quota,
+            CAST(sum(d.size) OVER (PARTITION BY d.source ORDER BY md5(CAST(d.doc_id AS VARCHAR)), d.doc_id, d.size ROWS UNBOUNDED PRECEDING) AS BIGINT) - d.size AS at_word
+        FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+    )
+    SELECT doc_id, size, source_size, target, greatest(0, least(at_word + size, quota) - at_word) + greatest(0, least(source_size + at_word + size, quota) - source_size - at_word)
+        + greatest(0, least(2 * source_size + at_word + size, quota) - 2 * source_size - at_word) AS taken FROM a
+    """,
+)
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     """Words that the mix takes of every document."""
     return mixing.mix(_table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
