@@ -53,7 +53,7 @@ CLOSES = {
 }
 
 _MARK = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
+    rf"<!--.*?(?:-->|\Z)|<({RAW})\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>",
     re.S | re.I,
 )
 _NAMED = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
@@ -61,12 +61,13 @@ _WORDS = re.compile(r"[a-z0-9]+")
 
 
 class Node:
-    __slots__ = ("chars", "density", "kids", "link_chars", "link_tags", "noise", "parent", "tag", "tags", "total")
+    __slots__ = ("chars", "density", "inside", "kids", "link_chars", "link_tags", "noise", "parent", "tag", "tags", "total")
 
     def __init__(self, tag: str, parent: Node | None, noise: bool = False):
         self.tag, self.parent, self.noise, self.kids = tag, parent, noise, []
         self.chars = self.link_chars = self.tags = self.link_tags = 0
         self.density = self.total = 0.0
+        self.inside = tag in ("article", "main") or (parent is not None and parent.inside)
 
 
 def _is_noise(tag: str, attributes: str, inside: bool) -> bool:
@@ -124,10 +125,7 @@ def parse(page: str) -> Node:
                 node = node.parent
             if last is not None:
                 here = last.parent
-        inside, node = False, here
-        while node is not None and not inside:
-            inside, node = node.tag in ("article", "main"), node.parent
-        made = Node(tag, here, _is_noise(tag, mark.group(4), inside))
+        made = Node(tag, here, _is_noise(tag, mark.group(4), here.inside))
         here.kids.append(made)
         if tag not in VOID and not mark.group(4).endswith("/"):
             here = made
