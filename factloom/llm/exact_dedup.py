@@ -32,8 +32,7 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long"), normalised().alias("norm"))
     texts = texts.select("doc_id", "norm", F.unhex(F.md5("norm")).alias("h"))
     keys = staged(texts.select("doc_id", "h", F.unhex(F.sha2("norm", 256)).alias("sha")), "exact-keys")
-    repeated = keys.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    bytes_of = texts.join(repeated, "h", "left_semi").groupBy("h").agg(F.min("norm").alias("low"), F.max("norm").alias("high"))
+    bytes_of = texts.groupBy("h").agg(F.min("norm").alias("low"), F.max("norm").alias("high"))
     collided = staged(bytes_of.where("low <> high").select("h"), "exact-collided")
     if collided.isEmpty():
         rows = keys.withColumn("twin", F.lit(""))

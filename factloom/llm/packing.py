@@ -20,7 +20,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -31,7 +30,7 @@ from factloom.llm.tokens import encoder
 from factloom.scratch import staged
 from factloom.shipping import ship
 
-CAPACITY, CUT, GROUP = 2048, 512, 1024
+CAPACITY, CUT, GROUP = 2048, 512, 512
 
 PIECES = "uid long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -116,21 +115,24 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAPAC
     cuts = staged(pieces(docs, tokenizer, end_id, capacity, cut), "pack-pieces")
     groups = max(1, -(-cuts.count() // GROUP))
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("uid", ignore_index=True)
-        length = frame["length"].to_numpy()
+    def run(table: pa.Table) -> pa.Table:
+        column = {name: table.column(name).to_numpy() for name in ("uid", "length", "grp")}
+        order = np.argsort(column["uid"], kind="stable")
+        table, length = table.take(pa.array(order)), column["length"][order]
         part = length < capacity
-        place = np.empty(len(frame), np.int64)
+        place = np.empty(len(order), np.int64)
         place[part] = windows(length[part], capacity)
         base = int(place[part].max()) + 1 if part.any() else 0
         place[~part] = base + np.arange(int((~part).sum()))
-        frame["sequence_id"] = (int(frame["grp"].iloc[0]) << 24) + place
-        ranked = frame.groupby("sequence_id")["length"]
-        frame["offset"] = ranked.cumsum() - length
-        total = ranked.transform("sum").to_numpy()
-        frame["padded_length"] = np.where(total & (total - 1) == 0, total, capacity)
-        return frame.drop(columns=["uid", "grp"])
+        total = np.bincount(place, weights=length).astype(np.int64)
+        by_place = np.argsort(place, kind="stable")
+        offset = np.empty(len(order), np.int64)
+        offset[by_place] = np.cumsum(length[by_place]) - length[by_place] - np.repeat(np.cumsum(total) - total, np.bincount(place))
+        padded = np.where(total & (total - 1) == 0, total, capacity)[place]
+        made = {"sequence_id": (column["grp"][0].astype(np.int64) << 24) + place, "offset": offset, "padded_length": padded}
+        kept = table.drop_columns(["uid", "grp"])
+        return pa.table({**{name: kept.column(name) for name in kept.column_names}, **made})
 
     schema = PIECES.removeprefix("uid long, ") + ", sequence_id long, offset long, padded_length long"
     dealt = cuts.withColumn("grp", F.pmod(F.xxhash64("uid"), F.lit(groups)))
-    return dealt.groupBy("grp").applyInPandas(run, schema)
+    return dealt.groupBy("grp").applyInArrow(run, schema)

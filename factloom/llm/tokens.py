@@ -9,14 +9,17 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 
-import numpy as np
-
-MEMO = 600_000
+MEMO = 1_000_000
+MARKS = ".,!?;:|#$%&*"
 
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _ODD = re.compile(r"[^\S \n]")
-_TAIL = re.compile(r"(?<=[a-z])[.,!?;:|#$%&*]+\Z")
+#: The letters of Latin-1, and where byte-level vocabularies put the bytes that are no printable characters.
+_LETTERS = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+_PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_BYTES = {b: chr(0x100 + i) for i, b in enumerate(b for b in range(256) if b not in _PRINTED)}
 
 _encoders: dict[str, Encoder] = {}
 
@@ -30,25 +33,43 @@ class Encoder:
 
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True  # their strings are ordinary text
+        self._tokenize = self._tokenizer.model.tokenize
         self._memo: dict[str, bytes] = {}
+        self._marks: dict[str, bytes] = {}
 
     def _plain(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, missing: set[str]) -> dict[str, bytes]:
-        """ids of units with a space before; a unit's closing marks are taken apart."""
-        memo, stems = self._memo, {}
+        return [array("I", e.ids).tobytes() for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _word(self, word: str) -> bytes | None:
+        """ids of a word with a space before, if it is a run of Latin letters: one pre-token, which the model takes as it is."""
+        if word.isascii():
+            return array("I", [x.id for x in self._tokenize("\u0120" + word)]).tobytes() if word.isalpha() else None
+        if _LETTERS.fullmatch(word):
+            return array("I", [x.id for x in self._tokenize("\u0120" + word.encode().decode("latin-1").translate(_BYTES))]).tobytes()
+        return None
+
+    def _learn(self, missing: set[str]) -> None:
+        """Put the ids of units with a space before in the memo; a word's closing marks are taken apart."""
+        memo, marks, rest = self._memo, self._marks, []
         for unit in missing:
-            found = _TAIL.search(unit)
-            stems[unit] = (unit[: found.start()], found.group()) if found else (unit, "")
-        bare = [s for s in {s for s, _ in stems.values()} if s not in memo]
-        marks = list({t for _, t in stems.values() if t})
-        ids = dict(zip(bare, self._plain([" " + s for s in bare])))
-        tails = dict(zip(marks, self._plain(marks))) | {"": b""}
-        new = {u: (memo.get(s) or ids[s]) + tails[t] for u, (s, t) in stems.items()} | ids
-        if len(memo) < MEMO:
-            memo.update(new)
-        return new
+            stem = unit.rstrip(MARKS)
+            size = len(stem)
+            if size == len(unit):
+                ids = self._word(unit)
+            elif size and "a" <= stem[-1] <= "z":
+                ids = memo.get(stem) or self._word(stem)
+                if ids is not None:
+                    mark = unit[size:]
+                    if mark not in marks:
+                        marks[mark] = self._plain([mark])[0]
+                    ids += marks[mark]
+            else:
+                ids = None
+            if ids is None:
+                rest.append(unit)
+            else:
+                memo[unit] = ids
+        memo.update(zip(rest, self._plain([" " + unit for unit in rest])))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         parts = []
@@ -56,11 +77,19 @@ class Encoder:
             clean = not ("  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " ") and not _ODD.search(text)
             parts.append(text.split(" ") if clean else _CUT.split(text))
         memo = self._memo
-        missing = {u for p in parts for u in p[1:] if u not in memo}
-        new = self._learn(missing) if missing else {}
         heads = self._plain([p[0] for p in parts])
-        get = memo.__getitem__ if new.keys() <= memo.keys() else lambda u: memo.get(u) or new[u]
-        return [head + b"".join(map(get, p[1:])) for head, p in zip(heads, parts)]
+        missing: set[str] = set()
+        for p in parts:
+            del p[0]
+            missing.update(p)
+        missing = {unit for unit in missing if unit not in memo}
+        self._learn(missing)
+        get = memo.__getitem__
+        out = [head + b"".join(map(get, p)) for head, p in zip(heads, parts)]
+        if len(memo) > MEMO:
+            for unit in missing:
+                del memo[unit]
+        return out
 
 
 def encoder(path: str) -> Encoder:
