@@ -6,7 +6,9 @@ one of ``BUCKETS`` buckets, in powers of two, then by hash.  Any fixed order
 makes the prefix filter exact; rarity makes it sharp.  Two sets with a Jaccard
 similarity of num/den or more share a word among the first n - ceil(n num/den)
 + 1 of either, so postings of these prefixes, joined on the word and filtered
-by length and position, hold all candidates; the full sets decide.
+by length, position and the least difference that parity bitmaps of the sets
+show, hold all candidates; the full sets, read again for the lines of
+candidates only, decide.
 
 A line is removed if an earlier one (by doc_id, then line number) has the same
 set or one that is similar.  Only DataFrame functions are used; the rarity
@@ -49,30 +51,58 @@ def _rarity(docs: DataFrame) -> Column:
     return F.split(F.lit(",".join(map(str, levels))), ",").cast("array<int>")
 
 
+def _ranked(line: Column, levels: Column) -> Column:
+    """A line's words as longs, rarest first."""
+    level = lambda h: F.get(levels, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).cast("long")
+    hashed = F.transform(_words(line), lambda w: F.xxhash64(w))
+    return F.sort_array(F.transform(hashed, lambda h: F.shiftleft(level(h), HASH_BITS).bitwiseOR(h.bitwiseAND(F.lit((1 << HASH_BITS) - 1)))))
+
+
+def _parity(items: Column, half: int) -> Column:
+    """One half of a 128-bit parity bitmap of the items: two sets differ in at least as many items as their bitmaps in bits."""
+    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(h, 20).bitwiseAND(F.lit(63)).cast("int"))
+    mine = lambda h: F.shiftright(h, 26).bitwiseAND(F.lit(1)) == half
+    return F.aggregate(items, F.lit(0).cast("long"), lambda acc, h: F.when(mine(h), acc.bitwiseXOR(bit(h))).otherwise(acc))
+
+
+def _full_sets(docs: DataFrame, levels: Column, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """k1, k2, first and items of the classes in candidate pairs, read again from the first line of each."""
+    keys = pairs.selectExpr("a1 as k1", "a2 as k2").unionByName(pairs.selectExpr("b1 as k1", "b2 as k2")).distinct()
+    wanted = classes.select("k1", "k2", "first").join(keys, ["k1", "k2"], "left_semi")
+    places = wanted.groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.collect_set("first.line_no").alias("at")).alias("p")
+    rows = docs.select(F.col("doc_id").cast("long"), "text").alias("d").join(places, F.expr("d.doc_id <=> p.doc_id"))
+    picked = _let(F.split("d.text", "\n"), lambda ls: F.transform(F.col("p.at"), lambda i: F.struct(i.alias("line_no"), F.get(ls, i).alias("line"))))
+    found = rows.select(F.col("d.doc_id").alias("doc_id"), F.inline(picked)).select("doc_id", "line_no", _ranked(F.col("line"), levels).alias("items")).where("size(items) > 0")
+    keyed = found.select(F.xxhash64("items").alias("k1"), F.xxhash64(F.lit(1), "items").alias("k2"), F.struct("doc_id", "line_no").alias("place"), "items")
+    return staged(keyed.groupBy("k1", "k2").agg(F.min("place").alias("first"), F.max("items").alias("items")), "lines-sets")
+
+
 def similar_lines(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_lines, n_removed, removed (the line numbers to leave out) for every document."""
     levels = _rarity(docs)
-    hashed = F.transform(_words(F.col("line")), lambda w: F.xxhash64(w))
-    level = lambda h: F.get(levels, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).cast("long")
-    ranked = F.sort_array(F.transform(hashed, lambda h: F.shiftleft(level(h), HASH_BITS).bitwiseOR(h.bitwiseAND(F.lit((1 << HASH_BITS) - 1)))))
-    key = lambda s: F.struct(F.xxhash64(s).alias("k1"), F.xxhash64(F.lit(1), s).alias("k2"), F.size(s).alias("n"), s.alias("items"))
-    lines = _lines(docs).select("doc_id", "line_no", F.inline(F.array(_let(ranked, key)))).where("n > 0")
-    classes = lines.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.max("n").alias("n"), F.max("items").alias("items"))
-    classes = staged(classes, "lines-classes")
-
     need = lambda n: F.ceil(n * num / F.lit(den))
-    prefix = F.slice("items", F.lit(1), (F.col("n") - need(F.col("n")) + 1).cast("int"))
+
+    def digest(s: Column) -> Column:
+        prefix = F.slice(s, F.lit(1), (F.size(s) - need(F.size(s)) + 1).cast("int"))
+        return F.struct(F.xxhash64(s).alias("k1"), F.xxhash64(F.lit(1), s).alias("k2"), F.size(s).alias("n"), _parity(s, 0).alias("low"), _parity(s, 1).alias("high"), prefix.alias("prefix"))
+
+    lines = _lines(docs).select("doc_id", "line_no", F.inline(F.array(_let(_ranked(F.col("line"), levels), digest)))).where("n > 0")
+    alike = [F.max(c).alias(c) for c in ("n", "low", "high", "prefix")]
+    classes = staged(lines.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), *alike), "lines-classes")
+
     many = classes.where(F.col("n") * (den - num) >= num)
-    postings = many.select("k1", "k2", "n", F.posexplode(prefix).alias("pos", "h"))
+    postings = many.select("k1", "k2", "n", "low", "high", F.posexplode("prefix").alias("pos", "h"))
     a, b = postings.alias("a"), postings.alias("b")
     before = "(a.n < b.n or (a.n = b.n and (a.k1 < b.k1 or (a.k1 = b.k1 and a.k2 < b.k2))))"
     length = f"{den} * a.n >= {num} * b.n"
     place = f"least(a.n - a.pos, b.n - b.pos) * ({den} + {num}) >= {num} * (a.n + b.n)"
-    pairs = a.join(b, F.expr(f"a.h = b.h and {before} and {length} and {place}")).selectExpr("a.k1 as a1", "a.k2 as a2", "b.k1 as b1", "b.k2 as b2").distinct()
-    sets = classes.select("k1", "k2", "n", "items", "first")
-    left, right = sets.selectExpr("k1 as a1", "k2 as a2", "n as n_a", "items as items_a", "first as first_a"), sets.selectExpr("k1 as b1", "k2 as b2", "n as n_b", "items as items_b", "first as first_b")
+    apart = f"(bit_count(a.low ^ b.low) + bit_count(a.high ^ b.high)) * ({den} + {num}) <= ({den} - {num}) * (a.n + b.n)"
+    pairs = a.join(b, F.expr(f"a.h = b.h and {before} and {length} and {place} and {apart}")).selectExpr("a.k1 as a1", "a.k2 as a2", "b.k1 as b1", "b.k2 as b2").distinct()
+    pairs = staged(pairs, "lines-pairs")
+    sets = _full_sets(docs, levels, classes, pairs)
+    left, right = sets.selectExpr("k1 as a1", "k2 as a2", "items as items_a", "first as first_a"), sets.selectExpr("k1 as b1", "k2 as b2", "items as items_b", "first as first_b")
     both = F.size(F.array_intersect("items_a", "items_b"))
-    linked = pairs.join(left, ["a1", "a2"]).join(right, ["b1", "b2"]).withColumn("both", both).where(den * F.col("both") >= num * (F.col("n_a") + F.col("n_b") - F.col("both")))
+    linked = pairs.join(left, ["a1", "a2"]).join(right, ["b1", "b2"]).withColumn("both", both).where(den * F.col("both") >= num * (F.size("items_a") + F.size("items_b") - F.col("both")))
     linked = linked.select(F.inline(F.array(F.struct(F.col("a1").alias("k1"), F.col("a2").alias("k2"), F.col("first_b").alias("other")), F.struct(F.col("b1").alias("k1"), F.col("b2").alias("k2"), F.col("first_a").alias("other")))))
     earliest = linked.groupBy("k1", "k2").agg(F.min("other").alias("other"))
     limits = classes.select("k1", "k2", "first").join(earliest, ["k1", "k2"], "left").select("k1", "k2", F.least("first", F.coalesce("other", "first")).alias("earliest"))
