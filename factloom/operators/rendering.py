@@ -38,13 +38,27 @@ def dated(text: Column, date: Column) -> Column:
     return F.when(date.isNull(), text).otherwise(F.concat(text, F.lit(" (on "), F.date_format(date, "yyyy-MM-dd"), F.lit(")")))
 
 
-def recall(facts: DataFrame, key: str, most: int = 50) -> DataFrame:
-    """A block of text per key: asserted sentences by confidence, then tentative ones, without repeats; top ``most`` of each key."""
+def recall(facts: DataFrame, key: str, most: int | None = None, date: str | None = None) -> DataFrame:
+    """A block of text per key: dated events in their order, then asserted sentences by confidence, then tentative ones, without repeats.
+
+    Only class C is tentative.  ``date`` names the column of event dates, where the order of events is asked for; without
+    it no sentence is an event.  Every sentence is in the block; ``most`` asks for the first ones of each key instead.
+    """
     from pyspark.sql import Window
 
-    best = facts.groupBy(key, "text").agg(F.min("fact_class").alias("fact_class"), F.max("confidence").alias("confidence"))
-    place = Window.partitionBy(key).orderBy(F.desc("confidence"), "text")
-    top = best.withColumn("place", F.row_number().over(place)).where(F.col("place") <= most)
-    lines = F.array_sort(F.collect_list(F.struct((F.col("fact_class") == "C").alias("tentative"), "place", "text")))
-    wanted = lambda flag: F.array_join(F.transform(F.filter("lines", lambda x: x["tentative"] == F.lit(flag)), lambda x: F.concat(F.lit("- "), x["text"])), "\n")
-    return top.groupBy(key).agg(lines.alias("lines")).select(key, F.coalesce(F.nullif(F.concat_ws("\n", F.nullif(wanted(False), F.lit("")), F.when(wanted(True) != "", F.concat(F.lit("Perhaps:\n"), wanted(True)))), F.lit("")), F.lit(EMPTY)).alias("block"))
+    tentative = F.coalesce(F.upper("fact_class") == "C", F.lit(False))
+    day = F.min(date) if date else F.lit(None).cast("date")
+    best = facts.groupBy(key, "text").agg(F.min(tentative).alias("tentative"), F.max("confidence").alias("confidence"), day.alias("day"))
+    best = best.withColumn("section", F.when(F.col("day").isNotNull(), 0).when(~F.col("tentative"), 1).otherwise(2))
+    if most is not None:
+        place = Window.partitionBy(key).orderBy("section", "day", F.desc_nulls_last("confidence"), "text")
+        best = best.withColumn("place", F.row_number().over(place)).where(F.col("place") <= most)
+    rank = F.when(F.col("section") > 0, -F.coalesce("confidence", F.lit(float("-inf"))))
+    lines = F.array_sort(F.collect_list(F.when(F.col("text") != "", F.struct("section", "day", rank.alias("rank"), "text"))))
+    of = lambda n: F.filter("lines", lambda x: x["section"] == n)
+    dashed = lambda n: F.nullif(F.array_join(F.transform(of(n), lambda x: F.concat(F.lit("- "), x["text"])), "\n"), F.lit(""))
+    event = lambda x, i: F.concat((i + 1).cast("string"), F.lit(". ["), F.date_format(x["day"], "yyyy-MM-dd"), F.lit("] "), x["text"])
+    events = F.nullif(F.array_join(F.transform(of(0), event), "\n"), F.lit(""))
+    titled = lambda title, text: F.concat(F.lit(title + "\n"), text)
+    block = F.concat_ws("\n", titled("In order:", events), dashed(1), titled("Perhaps:", dashed(2)))
+    return best.groupBy(key).agg(lines.alias("lines")).select(key, F.coalesce(F.nullif(block, F.lit("")), F.lit(EMPTY)).alias("block"))

@@ -87,3 +87,24 @@ def test_shape_and_keys(spark):
     assert one(spark, texts.synonym_key(F.lit("The Ex-wife's"))) == "ex wife"
     assert one(spark, texts.relation_name(F.lit("is the Best friend of"))) == "best_friend_of"
     assert one(spark, texts.sentences(F.lit("One here. Two!  Three"))) == ["One here.", "Two!", "Three"]
+
+
+def test_recall_is_whole(spark):
+    rows = [("u", f"fact {i}", "C" if i % 3 else "A", (i * 37 % 200) / 200) for i in range(200)] + [("u", "fact 0", "C", 2.0), ("u", "odd", None, None), ("v", None, "A", 0.5)]
+    blocks = {r.u: r.block for r in rendering.recall(spark.createDataFrame(rows, "u string, text string, fact_class string, confidence double"), "u").collect()}
+    best = {}
+    for _, text, kind, confidence in rows[:-1]:
+        held = best.get(text, (True, float("-inf")))
+        best[text] = (held[0] and kind == "C", max(held[1], float("-inf") if confidence is None else confidence))
+    order = sorted(best, key=lambda t: (best[t][0], -best[t][1], t))
+    asserted, tentative = [f"- {t}" for t in order if not best[t][0]], [f"- {t}" for t in order if best[t][0]]
+    assert blocks == {"u": "\n".join([*asserted, "Perhaps:", *tentative]), "v": rendering.EMPTY}
+    few = rendering.recall(spark.createDataFrame(rows, "u string, text string, fact_class string, confidence double"), "u", most=50).where("u = 'u'").first()
+    assert few.block == "\n".join(asserted[:50])
+
+
+def test_recall_events(spark):
+    day = dt.date
+    rows = [("u", "b came", "C", 0.1, day(2024, 1, 5)), ("u", "a came", "A", 0.9, day(2024, 3, 1)), ("u", "b came", "A", 0.2, None), ("u", "is here", "A", 0.3, None), ("u", "may go", "C", 0.3, None)]
+    got = rendering.recall(spark.createDataFrame(rows, "u string, text string, fact_class string, confidence double, day date"), "u", date="day").first().block
+    assert got == "In order:\n1. [2024-01-05] b came\n2. [2024-03-01] a came\n- is here\nPerhaps:\n- may go"
