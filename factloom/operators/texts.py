@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_CHARS, MAX_SENTENCES, MAX_CHUNKS = 1200, 6, 200
+MAX_CHARS, MIN_SENTENCES, MAX_SENTENCES, MAX_CHUNKS = 1200, 2, 6, 200
 
 #: What each kind of scalar looks like.
 SCALARS = {
@@ -89,23 +89,34 @@ def unmatched(parts: DataFrame, terms: DataFrame) -> DataFrame:
     return joined.where(~F.coalesce(named, F.lit(False)) & (F.size(F.split(F.trim("sentence"), r"\s+")) >= 4)).select("doc_id", "position", "sentence")
 
 
-def chunks(docs: DataFrame) -> DataFrame:
-    """(doc_id, position, chunk, truncated): texts cut into chunks for extraction.
-
-    Sentences merge forward while the chunk has fewer than six of them and stays
-    within 1,200 characters; a longer sentence stays whole.  The cap of 200
-    chunks is a feature of the operator; ``truncated`` tells when it applied.
-    """
+def _gathered(items: Column, weight, joiner: str, fits) -> Column:
+    """Neighbouring items joined while fits(open text, its weight, item, its weight)."""
     start = F.struct(F.expr("cast(array() as array<string>)").alias("done"), F.lit("").alias("open"), F.lit(0).alias("n"))
 
     def step(acc: Column, s: Column) -> Column:
-        joined = F.concat_ws(" ", F.nullif(acc["open"], F.lit("")), s)
-        fits = (acc["n"] < MAX_SENTENCES) & (F.length(joined) <= MAX_CHARS) & (acc["n"] > 0)
-        first = acc["n"] == 0
-        return F.when(first | fits, F.struct(acc["done"].alias("done"), joined.alias("open"), (acc["n"] + 1).alias("n"))).otherwise(
-            F.struct(F.concat(acc["done"], F.array(acc["open"])).alias("done"), s.alias("open"), F.lit(1).alias("n"))
-        )
+        more = F.struct(acc["done"].alias("done"), F.concat(acc["open"], F.lit(joiner), s).alias("open"), (acc["n"] + weight(s)).alias("n"))
+        done = F.when(acc["n"] > 0, F.concat(acc["done"], F.array(acc["open"]))).otherwise(acc["done"])
+        return F.when((acc["n"] > 0) & fits(acc["open"], acc["n"], s, weight(s)), more).otherwise(F.struct(done.alias("done"), s.alias("open"), weight(s).alias("n")))
 
     end = lambda acc: F.when(acc["n"] > 0, F.concat(acc["done"], F.array(acc["open"]))).otherwise(acc["done"])
-    cut = docs.select("doc_id", sentences(F.col("text")).alias("parts")).select("doc_id", F.aggregate("parts", start, step, end).alias("all"))
-    return cut.select("doc_id", (F.size("all") > MAX_CHUNKS).alias("truncated"), F.posexplode(F.slice("all", 1, MAX_CHUNKS)).alias("position", "chunk"))
+    return F.aggregate(items, start, step, end)
+
+
+def chunks(docs: DataFrame) -> DataFrame:
+    """(doc_id, position, chunk, truncated): texts cut into chunks for extraction.
+
+    Paragraphs end at blank lines.  One over 1,200 characters is cut at sentence
+    ends into pieces of at most 1,200 characters and six sentences; a longer
+    sentence stays whole.  A piece takes the next one in, over a blank line,
+    while it has fewer than two sentences and both stay within six sentences and
+    1,200 characters.  Every chunk is returned; ``truncated`` marks those past
+    the 200 at which the surveyed system stops.
+    """
+    room = lambda o, s, gap: F.length(o) + F.length(s) + 2 * gap <= MAX_CHARS
+    paragraphs = F.transform(F.split("text", r"\n\s*\n"), lambda p: F.regexp_replace(p, r"\A\s+|\s+\z", ""))
+    cut = lambda p: _gathered(sentences(p), lambda s: F.lit(1), " ", lambda o, n, s, m: (n < MAX_SENTENCES) & room(o, s, 1))
+    pieces = F.flatten(F.transform(F.filter(paragraphs, lambda p: p != ""), lambda p: F.when(F.length(p) <= MAX_CHARS, F.array(p)).otherwise(cut(p))))
+    held = lambda p: F.greatest(F.lit(1), F.size(sentences(p)))
+    merged = _gathered(F.col("pieces"), held, "\n\n", lambda o, n, p, m: (n < MIN_SENTENCES) & (n + m <= MAX_SENTENCES) & room(o, p, 2))
+    rows = docs.select("doc_id", pieces.alias("pieces")).select("doc_id", F.posexplode(merged).alias("position", "chunk"))
+    return rows.select("doc_id", (F.col("position") >= MAX_CHUNKS).alias("truncated"), "position", "chunk")

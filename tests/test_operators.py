@@ -108,3 +108,37 @@ def test_recall_events(spark):
     rows = [("u", "b came", "C", 0.1, day(2024, 1, 5)), ("u", "a came", "A", 0.9, day(2024, 3, 1)), ("u", "b came", "A", 0.2, None), ("u", "is here", "A", 0.3, None), ("u", "may go", "C", 0.3, None)]
     got = rendering.recall(spark.createDataFrame(rows, "u string, text string, fact_class string, confidence double, day date"), "u", date="day").first().block
     assert got == "In order:\n1. [2024-01-05] b came\n2. [2024-03-01] a came\n- is here\nPerhaps:\n- may go"
+
+
+def test_chunks_are_whole(spark):
+    import re
+
+    def plain(text):
+        split = lambda t: [s for s in re.split(r"(?<=[.!?])\s+", t) if s]
+        pieces, out = [], []
+        for p in filter(None, (p.strip() for p in re.split(r"\n\s*\n", text))):
+            if len(p) <= 1200:
+                pieces.append([p])
+                continue
+            held = []
+            for s in split(p):
+                if held and (len(held) == 6 or len(" ".join([*held, s])) + 1 > 1200):
+                    pieces.append([" ".join(held)])
+                    held = []
+                held.append(s)
+            pieces.append([" ".join(held)])
+        for (p,) in pieces:
+            n = len(split(p))
+            if out and out[-1][1] < 2 and out[-1][1] + n <= 6 and len(out[-1][0]) + len(p) + 4 <= 1200:
+                out[-1] = (out[-1][0] + "\n\n" + p, out[-1][1] + n)
+            else:
+                out.append((p, n))
+        return [c for c, _ in out]
+
+    long = " ".join(f"Sentence number {i} of a long text is here." for i in range(1600))
+    mixed = "A heading\n\nOne here. Two there.\n \nAlone.\n\n" + " ".join(["Nine."] * 9) + "\n\n" + "y" * 1190 + ".\n\nTail.\n\n" + " ".join(f"Part {i} {'z' * 300}." for i in range(9)) + "\n\nEnd.\n"
+    rows = texts.chunks(spark.createDataFrame([(1, long), (2, mixed)], "doc_id long, text string")).orderBy("doc_id", "position").collect()
+    got = {d: [(r.position, r.chunk) for r in rows if r.doc_id == d] for d in (1, 2)}
+    assert got == {1: list(enumerate(plain(long))), 2: list(enumerate(plain(mixed)))}
+    assert len(got[1]) > 260 and all(r.truncated == (r.position >= 200) for r in rows)
+    assert got[2][0][1] == "A heading\n\nOne here. Two there."
