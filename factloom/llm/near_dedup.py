@@ -6,7 +6,11 @@ its minwise tokens: its node at depth d is the hash of the tokens chosen at the
 depths 1 to d.  A node with at most ``leaf`` classes is compared exhaustively;
 a larger one branches on, down to ``depth``.  Two sets of similarity J stay in
 one node of depth d with probability J^d, so all trees miss a pair with
-probability (1 - J^d)^trees: 1e-8 at depth 1, 6e-4 at depth 4 for J = 0.85.
+probability (1 - J^d)^trees.  The number of trees follows from the threshold: a
+pair at the threshold that stays among large nodes down to the last depth is
+missed with probability ``LOSS`` = 1e-4 at most.  At depth 5 these are 16 trees
+for J = 0.85 (loss 8.4e-5) and 24 for J = 0.8 (7.3e-5); pairs whose nodes are
+small earlier, and pairs of higher similarity, are missed less often.
 
 Nodes that are still large at the last depth hold groups of near copies.  They
 are searched without a cap: every member meets a few pivots, which joins the
@@ -26,6 +30,7 @@ null doc_id stand for themselves: component_id null, kept true.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,11 +43,16 @@ from factloom.llm.shingles import mix, odd_multipliers, shingle_hashes, slices
 from factloom.scratch import staged
 from factloom.shipping import ship
 
-TREES, DEPTH, LEAF, PIVOTS = 10, 8, 40, 6
+DEPTH, LEAF, PIVOTS, LOSS = 5, 40, 6, 1e-4
 BLOCK, COLUMNS = 256, 4096
 _U = np.uint64
 
 
+def trees_for(similarity: float, depth: int = DEPTH, loss: float = LOSS) -> int:
+    """The least number of trees that all miss a pair of this similarity at this depth with probability ``loss`` at most."""
+    return max(1, math.ceil(math.log(loss) / math.log1p(-(similarity**depth)))) if similarity < 1 else 1
+
+
 def _bound(n: int, similarity: float) -> int:
     """Agreements of n minhashes that a pair over the threshold has, but for 1e-9."""
     return max(0, int(n * (similarity - 6.5 * (similarity * (1 - similarity) / n) ** 0.5)))
@@ -58,7 +68,7 @@ def _row_sets(hashes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.nda
     return hashes[first], np.bincount(row[first], minlength=len(sizes))
 
 
-def sketches(docs: DataFrame, k: int, trees: int = TREES, depth: int = DEPTH) -> DataFrame:
+def sketches(docs: DataFrame, k: int, trees: int, depth: int = DEPTH) -> DataFrame:
     """doc_id, n (set size), s1, s2 (128 bits of the set), paths (a node per tree and depth), sketch."""
     factors = odd_multipliers(trees * depth, seed=2024)
 
@@ -279,13 +289,14 @@ def components(links: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     return now.select("v", "comp")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, trees: int = TREES, depth: int = DEPTH, leaf: int = LEAF) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, trees: int | None = None, depth: int = DEPTH, leaf: int = LEAF) -> DataFrame:
     """doc_id, n_shingles, class_id, component_id, kept for every document.
 
     Two documents are linked if den * intersection >= num * union of their
     k-word shingle sets.  class_id is the least doc_id with the same set.
     """
     ship(docs.sparkSession)
+    trees = trees or trees_for(num / den, depth)
     keyed = staged(sketches(docs, k, trees, depth), "near-sketches")
     some = keyed.where("n > 0 and doc_id is not null")
     reps = some.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("cls"), F.min_by(F.struct("paths", "sketch"), "doc_id").alias("x"))

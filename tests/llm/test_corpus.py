@@ -88,6 +88,23 @@ def test_near_duplicates_in_large_nodes(frame):
     assert got == brute_components({r[0]: r[1] for r in rows}, 3, 70, 100)
 
 
+@pytest.mark.parametrize("k,num,own,shared", [(5, 80, 10, 8), (3, 85, 8, 6)])
+def test_near_duplicates_at_the_threshold_in_templates(frame, k, num, own, shared):
+    """Pairs just over the threshold whose group shares most of its text, so that their nodes stay large."""
+    assert (1 - (num / 100) ** near_dedup.DEPTH) ** near_dedup.trees_for(num / 100) <= near_dedup.LOSS <= 1e-4
+    common = -(-2 * (own + k - 1) * num // (100 - num)) + 1
+    template = [f"t{j}" for j in range(common - shared + k - 1)]
+    rows = []
+    for i in range(700):
+        pair = [f"s{i // 2}x{j}" for j in range(shared)]
+        rows.append((i, " ".join(template + pair + [f"o{i}x{j}" for j in range(own + k - 1)]), "en", "a"))
+    grams = lambda r: {tuple(r[1].split()[j : j + k]) for j in range(len(r[1].split()) - k + 1)}
+    one, twin, other = map(grams, rows[:3])
+    assert num / 100 <= len(one & twin) / len(one | twin) < num / 100 + 0.02 and 0.6 < len(one & other) / len(one | other) < num / 100
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(frame(rows), k, num, 100).collect()}
+    assert [i for i, c in got.items() if c != i - i % 2] == []
+
+
 def test_near_duplicates_odd(frame, odd_rows):
     got = [(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_duplicates(frame(odd_rows), 3, 85, 100).collect()]
     by = {r[0]: r for r in got}
