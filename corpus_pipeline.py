@@ -27,29 +27,48 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with equal texts, keep the one with the largest doc_id."""
-    gone = exact_dedup.exact_duplicates(docs).where("not kept").select("doc_id", "text_sha256").alias("g")
+    """Of documents with equal texts, keep the one with the largest doc_id; of its repeated rows the least."""
+    judged = staged(exact_dedup.exact_duplicates(docs).select("doc_id", "kept", "text_sha256"), "pipe-exact")
     rows = docs.withColumn("sha", F.sha2(exact_dedup.normalised(), 256)).alias("d")
-    return rows.join(gone, F.expr("d.doc_id <=> g.doc_id and d.sha = g.text_sha256"), "left_anti").select(*COLUMNS)
+    same = F.expr("d.doc_id <=> g.doc_id and d.sha = g.text_sha256")
+    left = rows.join(judged.where("not kept").alias("g"), same, "left_anti")
+    repeated = staged(judged.where("kept").groupBy("doc_id", "text_sha256").agg(F.count("*").alias("n")).where("n > 1"), "pipe-repeated")
+    if repeated.isEmpty():
+        return left.select(*COLUMNS)
+    once = left.alias("d").join(repeated.alias("g"), same, "left_anti").select(*COLUMNS)
+    least = left.alias("d").join(repeated.alias("g"), same, "left_semi").groupBy("doc_id", "sha").agg(F.min(F.struct(*COLUMNS)).alias("row"))
+    return once.unionByName(least.select("row.*"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents similar on five-word shingles, keep one."""
-    gone = near_dedup.near_duplicates(docs, k=5, num=80, den=100).where("not kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """Of each group of documents similar on five-word shingles, keep one.
+
+    Different texts under one doc_id are documents of their own; rows without a doc_id stay.
+    """
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("key"))
+    if keyed.where("doc_id is not null").groupBy("doc_id").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high").isEmpty():
+        gone = near_dedup.near_duplicates(docs, k=5, num=80, den=100).where("not kept").select("doc_id")
+        return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    ids = keyed.where("doc_id is not null").distinct().orderBy("doc_id", "key").withColumn("id", F.monotonically_increasing_id())
+    rows = docs.withColumn("key", F.xxhash64("text")).alias("d").join(staged(ids, "pipe-ids").alias("i"), F.expr("d.doc_id = i.doc_id and d.key = i.key"), "left")
+    rows = staged(rows.select("d.*", "i.id"), "pipe-rows")
+    gone = near_dedup.near_duplicates(rows.select(F.col("id").alias("doc_id"), "text"), k=5, num=80, den=100).where("not kept").select(F.col("doc_id").alias("id"))
+    return rows.join(gone, "id", "left_anti").select(*COLUMNS)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeat each document as often as the mix takes it, in whole documents; 0 times leaves it out.
 
-    A document taken in part is rounded by the hash of its id, so a source's
-    words stay near its target.
+    A document taken in part is rounded by the hash of its id (of its text where
+    it has none), so a source's words stay near its target.  Rows of one doc_id,
+    text and source share one decision, the mean of what the mix takes of them.
     """
-    taken = mixing.mix(docs).where("taken > 0").select("doc_id", "taken", "size")
-    share = F.pmod(F.xxhash64("doc_id", F.lit("mix")), F.lit(1 << 20)) / (1 << 20)
-    times = taken.select("doc_id", F.floor(F.try_divide("taken", "size") + share).cast("int").alias("times")).where("times > 0")
+    taken = mixing.mix(docs).groupBy("doc_id", "key", "source").agg(F.sum("taken").alias("taken"), F.sum("size").alias("size")).where("taken > 0")
+    share = F.pmod(F.xxhash64(F.coalesce("doc_id", "key"), F.lit("mix")), F.lit(1 << 20)) / (1 << 20)
+    times = taken.select("doc_id", "key", "source", F.floor(F.try_divide("taken", "size") + share).cast("int").alias("times")).where("times > 0").alias("t")
     copies = F.explode(F.sequence(F.lit(1), F.col("times")))
-    return docs.join(times, "doc_id").withColumn("copy", copies).select(*COLUMNS)
+    rows = docs.withColumn("key", F.xxhash64("text")).alias("d").join(times, F.expr("d.doc_id <=> t.doc_id and d.key = t.key and d.source <=> t.source"))
+    return rows.select("d.*", "times").withColumn("copy", copies).select(*COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

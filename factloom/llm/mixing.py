@@ -34,7 +34,7 @@ GOLDEN, RING = 2654435769, 1 << 32
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long"), "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    return docs.select(F.col("doc_id").cast("long"), "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64("text").alias("key"))
 
 
 def targets(sizes: DataFrame, most: int = MOST) -> DataFrame:
@@ -85,20 +85,20 @@ def schedule(plan: DataFrame, slots: int = SLOTS) -> DataFrame:
 
 
 def mix(docs: DataFrame, slots: int = SLOTS, most: int = MOST) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken, first_slot for every document."""
+    """doc_id, source, size, key, source_size, target, taken, first_slot for every document; key is the hash of its text."""
     sizes = staged(sized(docs), "mix-sizes")
     plan = staged(targets(sizes, most), "mix-targets")
     block = F.ceil(F.col("total") / F.greatest(F.least("total", F.lit(slots)), F.lit(1))).cast("long")
     known = plan.select("source", "rank", "source_size", "target", "quota", block.alias("block"))
     same = lambda a, b: a["source"].eqNullSafe(b["source"])
-    rows = sizes.join(known, same(sizes, known)).select("doc_id", sizes["source"], "rank", "size", "source_size", "target", "quota", "block")
+    rows = sizes.join(known, same(sizes, known)).select("doc_id", sizes["source"], "rank", "size", "key", "source_size", "target", "quota", "block")
     rows = rows.withColumn("order", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).withColumn("part", F.substring("order", 1, 3))
 
     filled = rows.where("size > 0")
     parts = filled.groupBy("rank", "part").agg(F.sum("size").alias("held"))
     before = F.coalesce(F.sum("held").over(Window.partitionBy("rank").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     parts = parts.select("rank", "part", before.alias("before"))
-    inside = Window.partitionBy("rank", "part").orderBy("order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("rank", "part").orderBy("order", "doc_id", "size", "key").rowsBetween(Window.unboundedPreceding, -1)
     stream = filled.withColumn("inner", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(parts, ["rank", "part"])
     stream = stream.withColumn("at", F.col("before") + F.col("inner")).drop("before", "inner", "order", "part")
 
@@ -108,7 +108,7 @@ def mix(docs: DataFrame, slots: int = SLOTS, most: int = MOST) -> DataFrame:
     pieces = turns.withColumn("k", F.explode(F.expr("sequence(div(first, block), div(last - 1, block))")))
     pieces = pieces.withColumn("words", F.least("last", (F.col("k") + 1) * F.col("block")) - F.greatest("first", F.col("k") * F.col("block")))
     met = pieces.join(schedule(plan, slots), ["rank", "k"]).groupBy("doc_id", "rank", "at").agg(F.sum("words").alias("taken"), F.min("slot").alias("first_slot"))
-    facts = ["doc_id", "source", "size", "source_size", "target"]
+    facts = ["doc_id", "source", "size", "key", "source_size", "target"]
     joined = stream.alias("s").join(met.alias("m"), F.expr("s.rank = m.rank and s.at = m.at and s.doc_id <=> m.doc_id"), "left")
     taken = joined.select(*[f"s.{c}" for c in facts], F.coalesce("m.taken", F.lit(0)).alias("taken"), "m.first_slot")
     return taken.unionByName(rows.where("size = 0").select(*facts, F.lit(0).cast("long").alias("taken"), F.lit(None).cast("long").alias("first_slot")))
