@@ -29,13 +29,13 @@ from pyspark.sql import functions as F
 from factloom.shipping import ship
 
 # Element names and class words.
-RAW = "script|style|noscript|template|textarea|iframe|title|svg|select"
+RAW = "script|style|noscript|template|textarea|iframe|title"
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-NEVER = frozenset("head nav footer aside form button menu dialog object canvas audio video map".split())
+NEVER = frozenset("head nav footer aside form button menu dialog object canvas audio video map svg select".split())
 NOISE = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer menu modal "
     "nav navbar navigation newsletter notice notices popup promo promoted promotion related respond share sharing sidebar skip social sponsor sponsored "
@@ -53,7 +53,7 @@ CLOSES = {
 }
 
 _MARK = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({RAW})\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>",
+    rf"<!--.*?(?:-->|\Z)|<({RAW})(?=[\s/>])(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>",
     re.S | re.I,
 )
 _NAMED = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
@@ -112,11 +112,14 @@ def parse(page: str) -> Node:
         if tag in ("html", "body") and tag != "body":
             continue
         if tag in BLOCK:
-            node = here
-            while node is not None and node.tag != "p" and (node.tag not in BLOCK):
+            node, drawing = here, None
+            while node is not None and node.tag != "p" and (node.tag not in BLOCK) and node.tag != "foreignobject":
+                drawing = node if node.tag == "svg" else drawing
                 node = node.parent
             if node is not None and node.tag == "p":
                 here = node.parent
+            elif drawing is not None:
+                here = drawing.parent
         if tag in CLOSES:
             same, within = CLOSES[tag]
             node, last = here, None

@@ -178,6 +178,27 @@ def test_html():
     assert html_text.main_text("<body><article>" + "<div>" * 5000 + "deep") == "deep"
 
 
+@pytest.mark.parametrize(
+    "mark",
+    [
+        '<svg width="9"/>',
+        "<svg/>",
+        '<svg viewBox="0 0 9 9"><title>icon</title><text>drawn</text></svg>',
+        "<svg><g><path d='M0 0'/>",
+        "<svg-icon name='x'></svg-icon>",
+        "<title-bar></title-bar>",
+        "<script-loader></script-loader>",
+        "<select-menu></select-menu>",
+        "<select><option>one<option>two</select>",
+        "<template-x></template-x>",
+    ],
+)
+def test_html_raw_names(mark):
+    """Neither a self-closed drawing nor a name that only begins like a raw one swallows the text behind it."""
+    page = f"<html><body><article><p>The first paragraph, long enough.</p>{mark}<p>The second paragraph, long enough.</p></article></body></html>"
+    assert html_text.main_text(page) == "The first paragraph, long enough.\n\nThe second paragraph, long enough."
+
+
 def test_html_pages(spark, sf):
     rows = html_text.extract(spark.read.parquet(f"{sf}/pages.parquet")).collect()
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
