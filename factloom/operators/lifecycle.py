@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-PROMOTE, IDLE_DAYS, TTL_DAYS = 3, 30, 30
+PROMOTE, IDLE_DAYS, TTL_DAYS, BUCKET_SECONDS = 3, 30, 30, 600
 
 
 def hits(log: DataFrame, now: str) -> DataFrame:
@@ -46,13 +46,23 @@ def dedup_window(log: DataFrame, key: list[str], seconds: int) -> DataFrame:
     return log.withColumn("gap", gap).where((F.col("gap").isNull()) | (F.col("gap") > seconds * 1_000_000)).drop("gap")
 
 
-def concurrency(log: DataFrame, seconds: int, slots: int) -> DataFrame:
-    """(day, peak, shed): most events at work at once on each day, and how many found all slots taken."""
+def concurrency(log: DataFrame, seconds: int, slots: int, restart: bool = False) -> DataFrame:
+    """(day, peak, shed): most events at work at once as one of each day began, and how many found all slots taken.
+
+    Work that runs over midnight counts on the next day too, unless the count is to ``restart`` with the events of each
+    day.  Sums run inside buckets of ten minutes; a prefix sum over the buckets' totals gives what each begins with.
+    """
     begin = F.unix_micros(F.col("ts").cast("timestamp"))
     work = log.select(F.to_date("ts").alias("day"), "id", begin.alias("at"))
     marks = work.select("day", "id", "at", F.lit(1).alias("step")).unionByName(work.select("day", "id", (F.col("at") + seconds * 1_000_000).alias("at"), F.lit(-1).alias("step")))
-    running = F.sum("step").over(Window.partitionBy("day").orderBy("at", "step", "id").rowsBetween(Window.unboundedPreceding, 0))
-    return marks.withColumn("busy", running).where("step = 1").groupBy("day").agg(F.max("busy").alias("peak"), F.sum((F.col("busy") > slots).cast("long")).alias("shed"))
+    run = F.col("day") if restart else F.lit(None).cast("date")
+    marks = marks.withColumn("run", run).withColumn("bucket", F.expr(f"div(at, {BUCKET_SECONDS * 1_000_000}L)"))
+    totals = marks.groupBy("run", "bucket").agg(F.sum("step").alias("net"))
+    before = F.sum("net").over(Window.partitionBy("run").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
+    totals = totals.select("run", "bucket", F.coalesce(before, F.lit(0)).alias("before")).alias("t")
+    inside = F.sum("step").over(Window.partitionBy("run", "bucket").orderBy("at", "step", "id").rowsBetween(Window.unboundedPreceding, 0))
+    begun = marks.withColumn("inside", inside).where("step = 1").alias("m").join(totals, F.expr("m.run <=> t.run and m.bucket = t.bucket"))
+    return begun.withColumn("busy", F.col("before") + F.col("inside")).groupBy("day").agg(F.max("busy").alias("peak"), F.sum((F.col("busy") > slots).cast("long")).alias("shed"))
 
 
 def token_bucket(log: DataFrame, key: str, rate: float, capacity: float) -> DataFrame:

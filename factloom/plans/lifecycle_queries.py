@@ -61,6 +61,18 @@ def dedup_window(spark, folder):
     SELECT day, CAST(max(busy) AS BIGINT) AS peak, CAST(sum(CAST(busy > 8 AS INT)) AS BIGINT) AS shed FROM r WHERE step = 1 GROUP BY day""",
 )
 def admission_concurrency(spark, folder):
+    """Each day's events alone, as the SQL says."""
+    return lifecycle.concurrency(src.assertions(spark, folder), 1800, 8, restart=True)
+
+
+@register(
+    "admission_concurrency_continuous",
+    f"""{LOG}, m AS (SELECT CAST(ts AS DATE) AS day, id, ts AS moment, 1 AS step FROM assertions UNION ALL SELECT CAST(ts AS DATE), id, ts + INTERVAL 30 MINUTE, -1 FROM assertions),
+        r AS (SELECT *, sum(step) OVER (ORDER BY moment, step, id ROWS UNBOUNDED PRECEDING) AS busy FROM m)
+    SELECT day, CAST(max(busy) AS BIGINT) AS peak, CAST(sum(CAST(busy > 8 AS INT)) AS BIGINT) AS shed FROM r WHERE step = 1 GROUP BY day""",
+)
+def admission_concurrency_continuous(spark, folder):
+    """One running sum over all time: work that runs over midnight counts on the next day."""
     return lifecycle.concurrency(src.assertions(spark, folder), 1800, 8)
 
 

@@ -142,3 +142,21 @@ def test_chunks_are_whole(spark):
     assert got == {1: list(enumerate(plain(long))), 2: list(enumerate(plain(mixed)))}
     assert len(got[1]) > 260 and all(r.truncated == (r.position >= 200) for r in rows)
     assert got[2][0][1] == "A heading\n\nOne here. Two there."
+
+
+def test_concurrency_over_midnight(spark):
+    rng = __import__("random").Random(5)
+    start = dt.datetime(2024, 1, 1, 20)
+    rows = [(i, start + dt.timedelta(seconds=rng.randrange(30 * 3600))) for i in range(1500)] + [(2000 + i, dt.datetime(2024, 1, 1, 23, 59, 59)) for i in range(40)]
+    log = spark.createDataFrame(rows, "id long, ts timestamp_ntz")
+    marks = sorted([(t, 1, i) for i, t in rows] + [(t + dt.timedelta(seconds=1800), -1, i) for i, t in rows])
+    for restart in (False, True):
+        want, busy, of = {}, {}, dict(rows)
+        for _, step, i in marks:
+            day = of[i].date()
+            run = day if restart else None
+            busy[run] = busy.get(run, 0) + step
+            if step == 1:
+                peak, shed = want.get(day, (0, 0))
+                want[day] = (max(peak, busy[run]), shed + (busy[run] > 26))
+        assert {r.day: (r.peak, r.shed) for r in lifecycle.concurrency(log, 1800, 26, restart).collect()} == want
