@@ -7,15 +7,14 @@ import duckdb
 import numpy as np
 import pandas as pd
 import pytest
-from conftest import SF
 
 from factloom.plans import catalogue
 
 
 @pytest.fixture(scope="module")
-def duck():
+def duck(sf):
     con = duckdb.connect()
-    for path in glob.glob(f"{SF}/*.parquet"):
+    for path in glob.glob(f"{sf}/*.parquet"):
         con.sql(f"CREATE VIEW {os.path.basename(path)[:-8]} AS SELECT * FROM '{path}'")
     return con
 
