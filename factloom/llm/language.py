@@ -11,13 +11,15 @@ count for a language, less what the filter's fill makes expect by chance,
 decides.
 
 The model is learned from at most about ``ROWS`` labelled documents, taken by a
-hash of their ids; predictions read every document whole.
+hash of their ids; predictions read every document whole, in pieces that share
+their last characters.
 
 Defined cases: null text, and text without a letter, is ``und`` with score 0;
 text with letters but no known n-gram gets the first language, score 0; ties go
 to the first language by code point; rows with null lang are not learned from;
-without labelled rows all is ``und``; an empty table gives an empty result;
-other columns are not read.
+repeated rows are predicted alike and each counts in learning; a null doc_id is
+neither held out nor learned from; without labelled rows all is ``und``; an
+empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -36,6 +38,7 @@ from factloom.shipping import ship
 ORDERS, SHARE, PART = (2, 3, 4), 2e-5, 0.02
 SLOT_BITS, PROBES, ROWS = 20, 3, 30_000
 FOLDS = 5
+PIECE, SLICE, HELD = 1 << 17, 1 << 18, 2_000_000  # n-grams hashed at once, bytes of text at once, counts held in a task
 
 _SALT = odd_multipliers(max(ORDERS) + PROBES, seed=5)
 _letters: list[np.ndarray] = []
@@ -47,31 +50,31 @@ def _is_letter() -> np.ndarray:
     return _letters[0]
 
 
-def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of all n-grams, the text each comes from, and each text's number of letters."""
+def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The code points that count, the text each comes from, and each text's number of letters."""
     lowered = [t.lower() for t in texts]
     size = np.array([len(t) for t in lowered], dtype=np.int64)
     code = np.frombuffer("".join(lowered).encode("utf-32-le", "surrogatepass"), "<u4")
-    text = np.repeat(np.arange(len(texts)), size)
+    text = np.repeat(np.arange(len(texts), dtype=np.uint32), size)
     letter = _is_letter()[code]
     counts = np.bincount(text[letter], minlength=len(texts))
     keep = letter.copy()
     keep[1:] |= letter[:-1]  # the first other character after a letter
-    code, text = np.where(letter, code, 0x20)[keep].astype(np.uint64), text[keep]
-    hashes, owners = [], []
-    for n in ORDERS:
-        rows = len(code) - n + 1
-        if rows <= 0:
-            continue
-        total = np.full(rows, n, dtype=np.uint64)
-        for j in range(n):
-            total += code[j : j + rows] * _SALT[j]
-        whole = text[:rows] == text[n - 1 :]
-        hashes.append(mix(total[whole]))
-        owners.append(text[:rows][whole])
-    if not hashes:
-        return np.empty(0, np.uint64), np.empty(0, np.int64), counts
-    return np.concatenate(hashes), np.concatenate(owners), counts
+    return np.where(letter, code, np.uint32(0x20))[keep], text[keep], counts
+
+
+def grams(code: np.ndarray, text: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Hashes of all n-grams and the text each comes from, one order and at most PIECE of them at a time."""
+    for low in range(0, len(code), PIECE):
+        for n in ORDERS:
+            part, owner = code[low : low + PIECE + n - 1], text[low : low + PIECE + n - 1]
+            rows = len(part) - n + 1
+            if rows > 0:
+                total = np.full(rows, n, dtype=np.uint64)
+                for j in range(n):
+                    total += part[j : j + rows] * _SALT[j]
+                whole = owner[:rows] == owner[n - 1 :]
+                yield mix(total[whole]), owner[:rows][whole]
 
 
 def _slot(hashes: np.ndarray, probe: int) -> np.ndarray:
@@ -87,23 +90,34 @@ def learn(docs: DataFrame) -> tuple[list[str], np.ndarray]:
         labelled = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.lit(int(1_000_000 * ROWS / rows)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        parts: dict[str, list[tuple[np.ndarray, np.ndarray]]] = defaultdict(list)
+        size = 0
+
+        def add(lang: str, hashes: np.ndarray) -> None:
+            nonlocal size
+            parts[lang].append(np.unique(hashes, return_counts=True))
+            size += len(parts[lang][-1][0])
 
-        def add(lang: str, keys: np.ndarray, n: np.ndarray) -> None:
-            if lang in sums:
-                keys, n = np.concatenate([sums[lang][0], keys]), np.concatenate([sums[lang][1], n])
-            keys, place = np.unique(keys, return_inverse=True)
-            sums[lang] = keys, np.bincount(place, weights=n).astype(np.int64)
+        def merged() -> Iterator[pa.RecordBatch]:
+            for lang, held in parts.items():
+                keys, place = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+                n = np.bincount(place, weights=np.concatenate([c for _, c in held])).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([lang]).take(pa.array(np.zeros(len(keys), np.int8))), pa.array(keys.view(np.int64)), pa.array(n)], ["lang", "gram", "n"])
 
         for batch in batches:
-            for low, high in slices(batch.column("text"), 4 << 20):
+            for low, high in slices(batch.column("text"), SLICE):
                 by: dict[str, list[str]] = defaultdict(list)
                 for lang, text in zip(batch.column("lang")[low:high].to_pylist(), batch.column("text")[low:high].to_pylist()):
                     by[lang].append(text)
                 for lang, texts in by.items():
-                    add(lang, *np.unique(grams(texts)[0], return_counts=True))
-        for lang, (keys, n) in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys)), pa.array(keys.view(np.int64)), pa.array(n)], ["lang", "gram", "n"])
+                    code, text, _ = _codes(texts)
+                    for hashes, _ in grams(code, text):
+                        add(lang, hashes)
+                if size > HELD:
+                    yield from merged()
+                    parts.clear()
+                    size = 0
+        yield from merged()
 
     counts = labelled.select("text", "lang").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
@@ -132,18 +146,19 @@ def identify(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         languages, masks, chance = shared.value
         for batch in batches:
-            for low, high in slices(batch.column("text"), 4 << 20):
+            for low, high in slices(batch.column("text"), SLICE):
                 texts = [t or "" for t in batch.column("text")[low:high].to_pylist()]
-                hashes, owner, letters = grams(texts)
-                found = masks[_slot(hashes, 0)]
-                for probe in range(1, PROBES):
-                    found &= masks[_slot(hashes, probe)]
-                n = np.bincount(owner, minlength=len(texts)).astype(float)
-                hits = np.zeros((len(texts), max(1, len(languages))))
-                for i in range(len(languages)):
-                    has = ((found[:, i // 64] >> np.uint64(i % 64)) & np.uint64(1)).astype(bool)
-                    count = np.bincount(owner[has], minlength=len(texts))
-                    hits[:, i] = np.maximum(count - n * chance[i], 0) / (1 - chance[i] + 1e-12)
+                code, text, letters = _codes(texts)
+                n, counts = np.zeros(len(texts)), np.zeros((len(texts), max(1, len(languages))))
+                for hashes, owner in grams(code, text):
+                    found = masks[_slot(hashes, 0)]
+                    for probe in range(1, PROBES):
+                        found &= masks[_slot(hashes, probe)]
+                    n += np.bincount(owner, minlength=len(texts))
+                    for i in range(len(languages)):
+                        has = ((found[:, i // 64] >> np.uint64(i % 64)) & np.uint64(1)).astype(bool)
+                        counts[:, i] += np.bincount(owner[has], minlength=len(texts))
+                hits = np.maximum(counts - n[:, None] * chance, 0) / (1 - chance + 1e-12) if languages else counts
                 best = hits.argmax(axis=1)
                 score = np.clip(np.where(n > 0, hits[np.arange(len(texts)), best] / np.maximum(n, 1), 0), 0, 1)
                 known = (letters > 0) & bool(languages)
