@@ -2,7 +2,8 @@
 
 The byte-level pre-tokenizer never lets a token cross a single space between
 two non-space characters, so a text falls apart there into units whose ids are
-independent.  Most units repeat; each worker keeps the ids of up to ``MEMO``.
+independent.  Most units repeat; each worker keeps the ids of units of up to
+``UNIT`` characters, of about ``MEMO_BYTES`` in all.
 """
 
 from __future__ import annotations
@@ -11,7 +12,8 @@ import os
 import re
 from array import array
 
-MEMO = 1_000_000
+MEMO_BYTES, UNIT = 48 << 20, 64
+ENTRY_BYTES = 200  # what a memo's entry takes beside its characters and ids
 MARKS = ".,!?;:|#$%&*"
 
 _CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -35,8 +37,14 @@ class Encoder:
         self._tokenizer.encode_special_tokens = True  # their strings are ordinary text
         self._tokenize = self._tokenizer.model.tokenize
         self._memo: dict[str, bytes] = {}
+        self._held = 0
         self._marks: dict[str, bytes] = {}
 
+    @property
+    def size(self) -> int:
+        """One more than the largest id."""
+        return max(self._tokenizer.get_vocab().values(), default=0) + 1
+
     def _plain(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -86,9 +94,12 @@ class Encoder:
         self._learn(missing)
         get = memo.__getitem__
         out = [head + b"".join(map(get, p)) for head, p in zip(heads, parts)]
-        if len(memo) > MEMO:
-            for unit in missing:
+        for unit in missing:
+            size = ENTRY_BYTES + len(unit) + len(memo[unit])
+            if len(unit) > UNIT or self._held + size > MEMO_BYTES:
                 del memo[unit]
+            else:
+                self._held += size
         return out
 
 
