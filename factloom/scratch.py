@@ -15,13 +15,26 @@ from pyspark.sql import DataFrame, SparkSession
 _made: list[tuple[SparkSession, str]] = []
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The session's shared folder; one of our own only where none is set."""
+    """The session's shared folder: what spark.checkpoint.dir or the context's checkpoint folder names.
+
+    Where neither is set, a cluster's tasks share the warehouse, and a local
+    master gets a temporary folder of its own.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="factloom-")
+        named = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if named.isDefined():
+            folder = named.get()
+        elif spark.sparkContext.master.split("[")[0] == "local":
+            folder = "file://" + tempfile.mkdtemp(prefix="factloom-")
+            _made.append((spark, folder))
+        else:
+            folder = spark.conf.get("spark.sql.warehouse.dir")
         spark.conf.set("spark.checkpoint.dir", folder)
-        _made.append((spark, folder))
     return folder.rstrip("/")
 
 
@@ -32,10 +45,17 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back."""
+    """Write ``df`` as Parquet in the shared folder and read it back.
+
+    The shuffles behind ``df`` are given up once the table is written.
+    """
     spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
+    path, before = new_path(spark, name), spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
