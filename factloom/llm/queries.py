@@ -105,18 +105,35 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
         SELECT left_words AS words, left_weight AS weights FROM f WHERE 3 * source_size * left_weight > left_words * weight ORDER BY left_weight DESC LIMIT 1
     ), t AS (
         SELECT f.source, source_size, CASE WHEN 3 * source_size * left_weight > left_words * weight THEN CAST(words AS DOUBLE) * weight / weights ELSE CAST(3 * source_size AS DOUBLE) END AS target FROM f LEFT JOIN b ON true
+    ), q AS (
+        SELECT f.*, target, CAST(round(target) AS BIGINT) AS quota, target = 3 * f.source_size AND NOT 3 * f.source_size * left_weight > left_words * weight AS capped FROM f JOIN t ON f.source IS NOT DISTINCT FROM t.source
+    ), c AS (
+        SELECT *, CAST(sum(quota) OVER (ORDER BY rank) AS BIGINT) AS upto, CAST(sum(quota) OVER () AS BIGINT) AS quotas, CAST(ceil(total / least(total, 262144)) AS BIGINT) AS block FROM q WHERE total > 0
+    ), r AS (
+        SELECT *, CAST(floor(CAST(upto - quota AS DOUBLE) / CAST(quotas AS DOUBLE) * 4294967296) AS BIGINT) AS low, CAST(floor(CAST(upto AS DOUBLE) / CAST(quotas AS DOUBLE) * 4294967296) AS BIGINT) AS high,
+            CAST(ceil(total / block) AS BIGINT) AS n FROM c
+    ), i AS (
+        SELECT unnest(generate_series(0, (SELECT max(n) FROM r) - 1)) AS slot
+    ), h AS (
+        SELECT rank, slot, row_number() OVER (PARTITION BY rank ORDER BY slot) - 1 AS k FROM i JOIN r ON slot * 2654435769 % 4294967296 >= low AND slot * 2654435769 % 4294967296 < high
+    ), e AS (
+        SELECT r.*, CASE WHEN capped THEN quota ELSE least(coalesce(got, 0) * block, 3 * source_size) END AS share, coalesce(got, 0) AS got FROM r LEFT JOIN (SELECT rank, count(*) AS got FROM h GROUP BY rank) g ON r.rank = g.rank
+    ), k AS (
+        SELECT rank, k, slot FROM h UNION ALL SELECT rank, k, n + k FROM (SELECT rank, n, unnest(generate_series(got, CAST(ceil(share / block) AS BIGINT) - 1)) AS k FROM e)
     ), a AS (
-        SELECT d.doc_id, d.size, source_size, target, CAST(round(target) AS BIGINT) AS quota,
+        SELECT d.doc_id, d.size, t.source_size, t.target, rank, coalesce(share, 0) AS share, block,
             CAST(sum(d.size) OVER (PARTITION BY d.source ORDER BY md5(CAST(d.doc_id AS VARCHAR)), d.doc_id, d.size ROWS UNBOUNDED PRECEDING) AS BIGINT) - d.size AS at_word
-        FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+        FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source LEFT JOIN e ON d.source IS NOT DISTINCT FROM e.source
+    ), m AS (
+        SELECT *, greatest(0, least(at_word + size, share) - at_word) + greatest(0, least(source_size + at_word + size, share) - source_size - at_word)
+            + greatest(0, least(2 * source_size + at_word + size, share) - 2 * source_size - at_word) AS taken FROM a
     )
-    SELECT doc_id, size, source_size, target, greatest(0, least(at_word + size, quota) - at_word) + greatest(0, least(source_size + at_word + size, quota) - source_size - at_word)
-        + greatest(0, least(2 * source_size + at_word + size, quota) - 2 * source_size - at_word) AS taken FROM a
+    SELECT doc_id, size, source_size, target, taken, CASE WHEN taken > 0 THEN slot END AS first_slot FROM m LEFT JOIN k ON k.rank = m.rank AND k.k = at_word // block
     """,
 )
 def op7(spark: SparkSession, folder: str) -> DataFrame:
-    """Words that the mix takes of every document."""
-    return mixing.mix(_table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    """Words that the mix takes of every document, and the slot of the schedule where it first does."""
+    return mixing.mix(_table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken", "first_slot")
 
 
 @_register(
