@@ -1,24 +1,34 @@
 """Line dedup by an exact set-similarity join.
 
-A line is the set of its words, lowered.  Lines with one set form a class.
-Words are ordered by rarity: how many of the corpus's words fall in the word's
-one of ``BUCKETS`` buckets, in powers of two, then by hash.  Any fixed order
-makes the prefix filter exact; rarity makes it sharp.  Two sets with a Jaccard
-similarity of num/den or more share a word among the first n - ceil(n num/den)
-+ 1 of either, so postings of these prefixes, joined on the word and filtered
-by length, position and the least difference that parity bitmaps of the sets
-show, hold all candidates; the full sets, read again for the lines of
-candidates only, decide.
-
-A line is removed if an earlier one (by doc_id, then line number) has the same
-set or one that is similar.  Only DataFrame functions are used; the rarity
-table has BUCKETS entries at any size of the corpus.
-
-Defined cases: lines without words stay; null text has no lines; empty text is
-one empty line; rows that repeat a doc_id share their line numbers, so equal
-lines of theirs are one line; sets of fewer than ``num / (den - num)`` words
-match equal sets only; an empty table gives an empty result; other columns are
-not read.
+A line is the set of its words, lowered.  Lines with one set (by a 64-bit hash,
+the size and a parity bitmap) form a class, which stands where its first line
+stands.  Words are ordered by rarity: how many of
+the corpus's words fall in the word's one of ``BUCKETS`` buckets, in powers of
+two, then by hash.  Any fixed order makes the prefix filter exact; rarity makes
+it sharp.  Two sets with a Jaccard similarity of num/den or more share a word
+among the first n - ceil(n num/den) + 1 of either.
+
+A line is removed if an earlier one has the same set or a similar one, so one
+earlier similar class is enough to settle a class.  Two steps find it:
+
+1. Every class meets the earliest class that has one of its ``LEADING`` rarest
+   words, as far as length, position and the parity bitmaps of the sets allow.
+   The best of these is compared on full sets.  This settles the members of a
+   group of near copies in linear work.
+2. The classes that are still open look among all earlier ones, settled or not,
+   by the whole prefix with the same filters.  Full sets decide again.
+
+Full sets are read again from the texts, for the lines of candidates only.  Only
+DataFrame functions are used; the rarity table has BUCKETS entries at any size
+of the corpus.
+
+Lines are ordered by doc_id (null first), a hash of the row's text, and line
+number.  Defined cases: lines without words stay; null text has no lines; empty
+text is one empty line; different texts under one doc_id, or under none, are
+rows of their own, which text_key tells apart; rows that repeat both doc_id and
+text are one row and share its answer; sets of fewer than ``num / (den - num)``
+words match equal sets only; an empty table gives an empty result; other columns
+are not read.
 """
 
 from __future__ import annotations
@@ -29,95 +39,118 @@ from pyspark.sql import functions as F
 from factloom.llm.quality import _let
 from factloom.scratch import staged
 
-BUCKETS = 8192
+BUCKETS, LEADING = 1 << 16, 3
 HASH_BITS = 57  # of a word's 64; its rarity, at most 63, goes before them
+SPACES = r"[\x20\x09-\x0D]+"
+PLACE = ["doc_id", "text_key", "line_no"]
 
 
-def _words(line: Column) -> Column:
-    return F.array_distinct(F.array_remove(F.split(F.lower(line), r"[\x20\x09-\x0D]+"), ""))
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), "text")
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+def _split(text: Column) -> Column:
+    """The pieces of a lowered text between white space, empty ones among them; most texts need no pattern for it."""
+    odd = text.contains("\t") | text.contains("\r") | text.contains("\x0b") | text.contains("\f")
+    return F.when(odd, F.split(F.lower(text), SPACES)).otherwise(F.split(F.replace(F.lower(text), F.lit("\n"), F.lit(" ")), " "))
 
 
 def _rarity(docs: DataFrame) -> Column:
     """A constant array: the power of two of each bucket's number of words."""
-    bucket = F.transform(_words(F.col("text")), lambda w: F.xxhash64(w).bitwiseAND(F.lit(BUCKETS - 1)).cast("int"))
-    counts = docs.select(F.explode(bucket).alias("bucket")).groupBy("bucket").count()
+    word = docs.select(F.explode(_split(F.col("text"))).alias("word")).where("word <> ''")
+    counts = word.groupBy(F.xxhash64("word").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("bucket")).count()
     levels = [0] * BUCKETS
     for row in counts.collect():  # at most BUCKETS rows
         levels[row["bucket"]] = row["count"].bit_length()
-    return F.split(F.lit(",".join(map(str, levels))), ",").cast("array<int>")
+    return F.split(F.lit(",".join(map(str, levels))), ",").cast("array<bigint>")
 
 
 def _ranked(line: Column, levels: Column) -> Column:
     """A line's words as longs, rarest first."""
-    level = lambda h: F.get(levels, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).cast("long")
-    hashed = F.transform(_words(line), lambda w: F.xxhash64(w))
-    return F.sort_array(F.transform(hashed, lambda h: F.shiftleft(level(h), HASH_BITS).bitwiseOR(h.bitwiseAND(F.lit((1 << HASH_BITS) - 1)))))
+    hashed = F.array_distinct(F.array_remove(F.transform(_split(line), lambda w: F.xxhash64(w)), F.xxhash64(F.lit(""))))
+    level = lambda h: F.shiftleft(F.get(levels, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), HASH_BITS)
+    return F.sort_array(F.transform(hashed, lambda h: level(h).bitwiseOR(h.bitwiseAND(F.lit((1 << HASH_BITS) - 1)))))
 
 
-def _parity(items: Column, half: int) -> Column:
-    """One half of a 128-bit parity bitmap of the items: two sets differ in at least as many items as their bitmaps in bits."""
-    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(h, 20).bitwiseAND(F.lit(63)).cast("int"))
-    mine = lambda h: F.shiftright(h, 26).bitwiseAND(F.lit(1)) == half
-    return F.aggregate(items, F.lit(0).cast("long"), lambda acc, h: F.when(mine(h), acc.bitwiseXOR(bit(h))).otherwise(acc))
+def _parity(items: Column) -> Column:
+    """A 64-bit parity bitmap of the items: two sets differ in at least as many items as their bitmaps in bits."""
+    return F.aggregate(items, F.lit(0).cast("long"), lambda acc, h: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))))
 
 
-def _full_sets(docs: DataFrame, levels: Column, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """k1, k2, first and items of the classes in candidate pairs, read again from the first line of each."""
-    keys = pairs.selectExpr("a1 as k1", "a2 as k2").unionByName(pairs.selectExpr("b1 as k1", "b2 as k2")).distinct()
-    wanted = classes.select("k1", "k2", "first").join(keys, ["k1", "k2"], "left_semi")
-    places = wanted.groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.collect_set("first.line_no").alias("at")).alias("p")
-    rows = docs.select(F.col("doc_id").cast("long"), "text").alias("d").join(places, F.expr("d.doc_id <=> p.doc_id"))
-    picked = _let(F.split("d.text", "\n"), lambda ls: F.transform(F.col("p.at"), lambda i: F.struct(i.alias("line_no"), F.get(ls, i).alias("line"))))
-    found = rows.select(F.col("d.doc_id").alias("doc_id"), F.inline(picked)).select("doc_id", "line_no", _ranked(F.col("line"), levels).alias("items")).where("size(items) > 0")
-    keyed = found.select(F.xxhash64("items").alias("k1"), F.xxhash64(F.lit(1), "items").alias("k2"), F.struct("doc_id", "line_no").alias("place"), "items")
-    return staged(keyed.groupBy("k1", "k2").agg(F.min("place").alias("first"), F.max("items").alias("items")), "lines-sets")
+def _classes(docs: DataFrame, levels: Column, num: int, den: int) -> DataFrame:
+    """cid and place of the first line of every class, and n, parity, prefix of its set; an earlier class has a lesser cid."""
 
+    lines = _texts(docs).select("doc_id", "text_key", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    lines = lines.select(*PLACE, _ranked(F.col("line"), levels).alias("s"))
+    prefix = F.slice("s", F.lit(1), (F.size("s") - F.ceil(F.size("s") * num / F.lit(den)) + 1).cast("int"))
+    lines = lines.select(*PLACE, F.xxhash64("s").alias("key"), F.size("s").alias("n"), _parity(F.col("s")).alias("parity"), prefix.alias("prefix"))
+    first = lines.groupBy("key", "parity", "n").agg(F.min(F.struct(*PLACE, "prefix")).alias("x")).select("x.*", "n", "parity")
+    first = first.where("size(prefix) > 0")  # lines without words go here, where no optimiser moves the test before the costly set
+    return staged(first.orderBy(*PLACE).withColumn("cid", F.monotonically_increasing_id()), "lines-classes")
+
+
+def _filters(num: int, den: int) -> str:
+    """Length, position and parity of a and b (n, pos, parity) allow the similarity."""
+    return (
+        f"{den} * least(a.n, b.n) >= {num} * greatest(a.n, b.n)"
+        f" and least(a.n - a.pos, b.n - b.pos) * ({den} + {num}) >= {num} * (a.n + b.n)"
+        f" and bit_count(a.parity ^ b.parity) * ({den} + {num}) <= ({den} - {num}) * (a.n + b.n)"
+    )
 
-def similar_lines(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
-    """doc_id, n_lines, n_removed, removed (the line numbers to leave out) for every document."""
-    levels = _rarity(docs)
-    need = lambda n: F.ceil(n * num / F.lit(den))
 
-    def digest(s: Column) -> Column:
-        prefix = F.slice(s, F.lit(1), (F.size(s) - need(F.size(s)) + 1).cast("int"))
-        return F.struct(F.xxhash64(s).alias("k1"), F.xxhash64(F.lit(1), s).alias("k2"), F.size(s).alias("n"), _parity(s, 0).alias("low"), _parity(s, 1).alias("high"), prefix.alias("prefix"))
+def _similar(docs: DataFrame, levels: Column, classes: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
+    """The cid of every pair (cid, other) whose full sets have the similarity."""
+    wanted = pairs.select("cid").union(pairs.select("other")).distinct()
+    places = classes.select("cid", *PLACE).join(wanted, "cid").groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("line_no", "cid")).alias("at"))
+    places = staged(places, "lines-places").alias("p")
+    rows = _texts(docs).alias("d").join(places, F.expr("d.doc_id <=> p.doc_id and d.text_key = p.text_key"))
+    picked = _let(F.split("d.text", "\n"), lambda ls: F.transform(F.col("p.at"), lambda x: F.struct(x["cid"].alias("cid"), F.get(ls, x["line_no"]).alias("line"))))
+    found = rows.select(F.inline(picked)).select("cid", _ranked(F.col("line"), levels).alias("items"))
+    sets = staged(found.groupBy("cid").agg(F.max("items").alias("items")), "lines-sets")
+    both = pairs.join(sets, "cid").join(sets.select(F.col("cid").alias("other"), F.col("items").alias("others")), "other")
+    common = both.select("cid", F.size("items").alias("n"), F.size("others").alias("m"), F.size(F.array_intersect("items", "others")).alias("c"))
+    return staged(common.where(f"{den} * c >= {num} * (n + m - c)").select("cid").distinct(), "lines-settled")
 
-    lines = _lines(docs).select("doc_id", "line_no", F.inline(F.array(_let(_ranked(F.col("line"), levels), digest)))).where("n > 0")
-    alike = [F.max(c).alias(c) for c in ("n", "low", "high", "prefix")]
-    classes = staged(lines.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), *alike), "lines-classes")
 
-    many = classes.where(F.col("n") * (den - num) >= num)
-    postings = many.select("k1", "k2", "n", "low", "high", F.posexplode("prefix").alias("pos", "h"))
+def _survivors(docs: DataFrame, num: int, den: int) -> DataFrame:
+    """The place of every line that stays and has words."""
+    levels = _rarity(docs)
+    classes = _classes(docs, levels, num, den)
+    many = classes.where(F.col("n") * (den - num) >= num).select("cid", "n", "parity", "prefix")
+
+    leading = many.select("cid", "n", "parity", F.posexplode(F.slice("prefix", 1, LEADING)).alias("pos", "h"))
+    heads = leading.groupBy("h").agg(F.min(F.struct("cid", "n", "pos", "parity")).alias("x")).select("h", "x.*")
+    apart = F.expr("bit_count(a.parity ^ b.parity)")
+    met = leading.alias("b").join(heads.alias("a"), F.expr(f"a.h = b.h and a.cid < b.cid and {_filters(num, den)}"))
+    best = met.select(F.col("b.cid").alias("cid"), F.struct(apart.alias("apart"), F.col("a.cid").alias("other")).alias("x")).groupBy("cid").agg(F.min("x").alias("x"))
+    settled = _similar(docs, levels, classes, staged(best.select("cid", "x.other"), "lines-pairs"), num, den)
+
+    # A settled class looks for nothing: its id is written as -1 - cid.
+    marked = many.join(settled.withColumn("done", F.lit(True)), "cid", "left")
+    who = F.coalesce(F.when(F.col("done"), -1 - F.col("cid")).otherwise(F.col("cid")), F.lit(0))  # never null, so that both sides are one shuffle
+    postings = marked.select(who.alias("id"), "n", "parity", F.posexplode("prefix").alias("pos", "h"))
     a, b = postings.alias("a"), postings.alias("b")
-    before = "(a.n < b.n or (a.n = b.n and (a.k1 < b.k1 or (a.k1 = b.k1 and a.k2 < b.k2))))"
-    length = f"{den} * a.n >= {num} * b.n"
-    place = f"least(a.n - a.pos, b.n - b.pos) * ({den} + {num}) >= {num} * (a.n + b.n)"
-    apart = f"(bit_count(a.low ^ b.low) + bit_count(a.high ^ b.high)) * ({den} + {num}) <= ({den} - {num}) * (a.n + b.n)"
-    pairs = a.join(b, F.expr(f"a.h = b.h and {before} and {length} and {place} and {apart}")).selectExpr("a.k1 as a1", "a.k2 as a2", "b.k1 as b1", "b.k2 as b2").distinct()
-    pairs = staged(pairs, "lines-pairs")
-    sets = _full_sets(docs, levels, classes, pairs)
-    left, right = sets.selectExpr("k1 as a1", "k2 as a2", "items as items_a", "first as first_a"), sets.selectExpr("k1 as b1", "k2 as b2", "items as items_b", "first as first_b")
-    both = F.size(F.array_intersect("items_a", "items_b"))
-    linked = pairs.join(left, ["a1", "a2"]).join(right, ["b1", "b2"]).withColumn("both", both).where(den * F.col("both") >= num * (F.size("items_a") + F.size("items_b") - F.col("both")))
-    linked = linked.select(F.inline(F.array(F.struct(F.col("a1").alias("k1"), F.col("a2").alias("k2"), F.col("first_b").alias("other")), F.struct(F.col("b1").alias("k1"), F.col("b2").alias("k2"), F.col("first_a").alias("other")))))
-    earliest = linked.groupBy("k1", "k2").agg(F.min("other").alias("other"))
-    limits = classes.select("k1", "k2", "first").join(earliest, ["k1", "k2"], "left").select("k1", "k2", F.least("first", F.coalesce("other", "first")).alias("earliest"))
-    gone = lines.select("doc_id", "line_no", "k1", "k2").join(limits, ["k1", "k2"]).where(F.struct("doc_id", "line_no") > F.col("earliest"))
-    removed = gone.groupBy("doc_id").agg(F.sort_array(F.collect_set("line_no")).alias("removed"))
-    sizes = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).alias("n_lines"))
-    sizes = sizes.withColumn("n_lines", F.greatest("n_lines", F.lit(0)))
-    found = sizes.alias("s").join(removed.alias("r"), F.expr("s.doc_id <=> r.doc_id"), "left")
-    empty = F.expr("cast(array() as array<int>)")
-    return found.select("s.doc_id", F.col("n_lines").cast("long"), F.coalesce(F.size("r.removed"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce("r.removed", empty).alias("removed"))
+    earlier = "a.h = b.h and greatest(a.id, -1 - a.id) < b.id"
+    pairs = a.join(b, F.expr(f"{earlier} and {_filters(num, den)}")).select(F.col("b.id").alias("cid"), F.expr("greatest(a.id, -1 - a.id)").alias("other")).distinct()
+    late = _similar(docs, levels, classes, staged(pairs, "lines-pairs"), num, den)
+    return classes.select("cid", *PLACE).join(settled.union(late), "cid", "left_anti").drop("cid")
+
+
+def similar_lines(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
+    """doc_id, text_key, n_lines, n_removed, removed (the line numbers to leave out) for every row."""
+    stay = _survivors(docs, num, den).groupBy("doc_id", "text_key").agg(F.collect_list("line_no").alias("stay"))
+    has_word = lambda line: line.rlike(r"[^\x20\x09-\x0D]")
+    numbered = F.transform(F.split("text", "\n"), lambda line, i: F.when(has_word(line), i))
+    rows = _texts(docs).select("doc_id", "text_key", F.coalesce(numbered, F.expr("cast(array() as array<int>)")).alias("filled"))
+    found = rows.alias("d").join(stay.alias("s"), F.expr("d.doc_id <=> s.doc_id and d.text_key = s.text_key"), "left")
+    removed = F.array_except(F.array_compact("filled"), F.coalesce("stay", F.expr("cast(array() as array<int>)")))
+    found = found.select("d.doc_id", "d.text_key", F.size("filled").cast("long").alias("n_lines"), removed.alias("removed"))
+    return found.select("doc_id", "text_key", "n_lines", F.size("removed").cast("long").alias("n_removed"), "removed")
 
 
 def without_lines(docs: DataFrame, removed: DataFrame) -> DataFrame:
-    """The documents with the lines that ``removed`` (doc_id, removed) names left out of their texts."""
-    marks = removed.select(F.col("doc_id").alias("_id"), "removed")
-    joined = docs.join(marks, docs["doc_id"].eqNullSafe(marks["_id"]), "left")
+    """The documents with the lines that ``removed`` (doc_id, text_key, removed) names left out of their texts."""
+    marks = removed.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "removed").where("size(removed) > 0").dropDuplicates(["_id", "_key"])
+    joined = docs.join(marks, docs["doc_id"].eqNullSafe(marks["_id"]) & (F.xxhash64(docs["text"]) == marks["_key"]), "left")
     kept = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("removed", i))
-    return joined.withColumn("text", F.when(F.size("removed") > 0, F.array_join(kept, "\n")).otherwise(F.col("text"))).drop("_id", "removed")
+    return joined.withColumn("text", F.when(F.size("removed") > 0, F.array_join(kept, "\n")).otherwise(F.col("text"))).drop("_id", "_key", "removed")

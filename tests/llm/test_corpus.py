@@ -244,6 +244,32 @@ def test_lines(frame):
     assert got == brute_lines({r[0]: r[1] for r in rows}, 80, 100)
 
 
+def test_lines_of_repeated_and_null_ids(frame):
+    """Different texts under one doc_id, or none, keep their own lines; whole repeated rows share one answer."""
+    a, b = "one line of words that others repeat later", "a second line that nothing else in here repeats"
+    rows = [(None, f"{a}\nfirst of the rows without an id", "en", "a"), (None, "another row without an id", "en", "a"), (2, a, "en", "a"), (2, f"{b}\n{a}", "en", "b"), (3, b, "en", "a"), (3, b, "en", "a")]
+    docs = frame(rows)
+    got = line_dedup.similar_lines(docs)
+    removed = sorted(((r.doc_id or 0, r.n_lines, r.removed) for r in got.collect()), key=str)
+    assert removed == sorted([(0, 2, []), (0, 1, []), (2, 1, [0]), (2, 2, [1]), (3, 1, [0]), (3, 1, [0])], key=str)
+    left = Counter((r.doc_id, r.text) for r in line_dedup.without_lines(docs, got).collect())
+    assert left == Counter([(None, rows[0][1]), (None, rows[1][1]), (2, ""), (2, b), (3, ""), (3, "")])
+
+
+def test_lines_of_near_copies(frame):
+    """A large group of near copies, some of them similar to later members of the group only."""
+    rng = np.random.default_rng(11)
+    base = [f"w{i}" for i in range(30)]
+    rows = []
+    for i in range(150):
+        words = list(base)
+        for j in rng.integers(0, 30, rng.integers(0, 9)):
+            words[j] = f"x{rng.integers(12)}"
+        rows.append((i, " ".join(words), "en", "a"))
+    got = {r.doc_id: r.removed for r in line_dedup.similar_lines(frame(rows)).collect() if r.n_removed}
+    assert got == brute_lines({r[0]: r[1] for r in rows}, 80, 100)
+
+
 def test_lines_odd(frame, odd_rows):
     docs = frame(odd_rows)
     got = line_dedup.similar_lines(docs)
@@ -314,6 +340,58 @@ def brute_targets(sizes, most=3):
         capped |= over
 
 
+def brute_mix(rows, slots, golden=2654435769):
+    """doc_id -> (words taken, first slot), slot by slot and word by word."""
+    sizes = Counter()
+    for _, t, _, s in rows:
+        sizes[s] += len(WORD.findall(t or ""))
+    names, target = sorted([s for s in sizes if s is not None]) + [None] * (None in sizes), brute_targets(sizes)
+    quota = {s: round(target[s]) for s in names}
+    total, every = sum(sizes.values()), sum(quota.values())
+    block = -(-total // min(total, slots))
+    edges, upto = [], 0
+    for s in names:
+        edges.append((upto / every * 2**32 // 1, (upto + quota[s]) / every * 2**32 // 1, s))
+        upto += quota[s]
+    lists = defaultdict(list)
+    n = -(-total // block)
+    for slot in range(n):
+        point = slot * golden % 2**32
+        for low, high, s in edges:
+            if low <= point < high:
+                lists[s].append(slot)
+    taken, first = Counter(), {}
+    for s in names:
+        capped = target[s] == 3 * sizes[s]
+        stream = [i for _, i, m in sorted((hashlib.md5(str(i).encode()).hexdigest(), i, len(WORD.findall(t or ""))) for i, t, _, x in rows if x == s) for _ in range(m)]
+        share = quota[s] if capped else min(len(lists[s]) * block, 3 * sizes[s])
+        for at in range(share):
+            k = at // block
+            i = stream[at % len(stream)]
+            taken[i] += 1
+            first.setdefault(i, lists[s][k] if k < len(lists[s]) else n + k)
+    return {i: (taken[i], first.get(i)) for i, *_ in rows}
+
+
+def test_mix_follows_the_points(frame, monkeypatch):
+    """Another constant deals other slots, and so other words."""
+    rows = [(i, " ".join(["w"] * (1 + i % 7)), "en", "abc"[i % 3]) for i in range(200)]
+    taken = lambda: {r.doc_id: (r.taken, r.first_slot) for r in mixing.mix(frame(rows), slots=60).collect()}
+    golden = taken()
+    assert golden == brute_mix(rows, 60)
+    monkeypatch.setattr(mixing, "GOLDEN", (1 << 31) + 1)
+    other = taken()
+    assert other == brute_mix(rows, 60, golden=(1 << 31) + 1) and sum(other[i][0] != golden[i][0] for i in other) > 5
+
+
+def test_mix_of_null_and_repeated_ids(frame):
+    """Every row has words of its own, whatever its doc_id."""
+    rows = [(None, "one two three", "en", "a"), (None, "four five six seven", "en", None), (1, "eight nine", "en", "a"), (1, "eight nine", "en", "a"), (1, "ten", "en", "b")]
+    got = mixing.mix(frame(rows)).collect()
+    assert len(got) == len(rows) and sorted(r.size for r in got) == [1, 2, 2, 3, 4]
+    assert all(r.taken <= 3 * r.size for r in got) and sum(r.taken for r in got if r.source is not None and r.source == "b") == 3
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_mix(frame, seed):
     rng = np.random.default_rng(seed)
@@ -325,10 +403,13 @@ def test_mix(frame, seed):
     for _, t, _, s in rows:
         sizes[s] += len(WORD.findall(t or ""))
     want = brute_targets(sizes)
+    block = -(-sum(sizes.values()) // 500)
     for source, group in got.groupby("source", dropna=False):
         key = None if pd.isna(source) else source
         assert (group["source_size"] == sizes[key]).all() and group["target"].iloc[0] == pytest.approx(want[key])
-        assert abs(group["taken"].sum() - want[key]) <= 1
+        assert abs(group["taken"].sum() - want[key]) <= (1 if want[key] == 3 * sizes[key] else 2 * block)
+    expected = brute_mix(rows, 500)
+    assert {r.doc_id: (r.taken, None if pd.isna(r.first_slot) else int(r.first_slot)) for r in got.itertuples()} == expected
     assert (got["taken"] <= 3 * got["size"]).all() and (got["size"] == [len(WORD.findall(dict((r[0], r[1] or "") for r in rows)[i])) for i in got["doc_id"]]).all()
     again = mixing.mix(frame(rows), slots=500).toPandas()
     pd.testing.assert_frame_equal(got.sort_values("doc_id", ignore_index=True), again.sort_values("doc_id", ignore_index=True))
