@@ -73,25 +73,49 @@ class Reader:
 
     def __getitem__(self, i: int) -> int:
         value = 0
-        for level, (chunks, bits, ranks) in enumerate(self.levels):
+        for level, (chunks, bits, _) in enumerate(self.levels):
             value |= int(chunks[i]) << (8 * level)
             if not bits[i >> 3] >> (i & 7) & 1:
                 break
-            word = i // WORD
-            before = bits[word * WORD // 8 : i >> 3]
-            last = int(bits[i >> 3]) & ((1 << (i & 7)) - 1)
-            i = int(ranks[word]) + int(np.bitwise_count(before).sum()) + last.bit_count()
+            i = self._ones(level, i)
         return value
 
-    def all(self) -> np.ndarray:
-        """All ids, level by level."""
-        out = np.zeros(self.n, np.uint32)
-        here = np.arange(self.n)
+    def _ones(self, level: int, i: int) -> int:
+        """Set bits of a level's bitmap before place i."""
+        _, bits, ranks = self.levels[level]
+        word = i // WORD
+        if word == len(ranks):
+            return len(self.levels[level + 1][0]) if level + 1 < len(self.levels) else 0
+        last = int(bits[i >> 3]) & ((1 << (i & 7)) - 1)
+        return int(ranks[word]) + int(np.bitwise_count(bits[word * WORD // 8 : i >> 3]).sum()) + last.bit_count()
+
+    def ids(self, start: int, stop: int) -> np.ndarray:
+        """The ids at places start to stop: a range of every level, found by rank; nothing else is decoded."""
+        out = np.zeros(stop - start, np.uint32)
+        here = np.arange(stop - start)
         for level, (chunks, bits, _) in enumerate(self.levels):
-            out[here] |= chunks.astype(np.uint32) << np.uint32(8 * level)
-            here = here[np.unpackbits(bits, count=len(chunks), bitorder="little").astype(bool)]
+            out[here] |= chunks[start:stop].astype(np.uint32) << np.uint32(8 * level)
+            more = np.unpackbits(bits[start >> 3 : (stop + 7) >> 3], bitorder="little")[start & 7 :][: stop - start].astype(bool)
+            here = here[more]
+            if not len(here):
+                break
+            start = self._ones(level, start)
+            stop = start + len(here)
         return out
 
+    def all(self) -> np.ndarray:
+        return self.ids(0, self.n)
+
+
+def pieces_of(folder: str, name: str, piece: int = 1 << 20) -> Iterator[bytes]:
+    """A file's content, a piece at a time."""
+    from pyarrow import fs
+
+    store, root = fs.FileSystem.from_uri(folder)
+    with store.open_input_stream(f"{root}/{name}") as file:
+        while data := file.read(piece):
+            yield data
+
 
 def put(folder: str, name: str, data: bytes) -> None:
     """Write a file whole under its final name; a repeated task writes the same again."""
@@ -129,7 +153,7 @@ def write_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str) -> No
             return done
 
         for batch in batches:
-            for low, high in slices(batch.column("text"), 4 << 20):
+            for low, high in slices(batch.column("text"), 1 << 20):
                 ids = batch.column("doc_id")[low:high].to_pylist()
                 texts = [t or "" for t in batch.column("text")[low:high].to_pylist()]
                 for doc_id, coded in zip(ids, encoder(tokenizer).encode(texts)):
@@ -151,11 +175,12 @@ def read_files(spark, folder: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, from the files that committed tasks wrote."""
     import zlib
 
+    target = as_uri(folder)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, number, content in zip(batch.column("part"), batch.column("number"), batch.column("content")):
-                file = Reader(content.as_buffer().to_pybytes())
-                ids = file.all().astype("<u4")
+            for part, number in zip(batch.column("part"), batch.column("number")):
+                file = Reader(b"".join(pieces_of(target, f"part-{part.as_py():06d}-{number.as_py():06d}.dac")))
                 starts = np.concatenate([[0], file.ends[:-1]]).astype(np.int64)
                 size = len(starts)
                 yield pa.RecordBatch.from_arrays(
@@ -165,7 +190,7 @@ def read_files(spark, folder: str) -> DataFrame:
                         pa.array(file.doc_ids, pa.int64(), mask=file.doc_ids == _NO_ID),
                         pa.array(starts),
                         pa.array(file.ends - starts),
-                        pa.array([zlib.crc32(ids[a:b].tobytes()) for a, b in zip(starts, file.ends)], pa.int64()),
+                        pa.array([zlib.crc32(file.ids(a, b).astype("<u4", copy=False)) for a, b in zip(starts.tolist(), file.ends.tolist())], pa.int64()),
                     ],
                     ["part", "number", "doc_id", "local", "n_tokens", "ids_crc32"],
                 )
@@ -176,8 +201,7 @@ def read_files(spark, folder: str) -> DataFrame:
     files = spark.read.format("binaryFile").load(folder).select(
         F.regexp_extract("path", r"part-(\d+)-(\d+)\.dac$", 1).cast("int").alias("part"),
         F.regexp_extract("path", r"part-(\d+)-(\d+)\.dac$", 2).cast("int").alias("number"),
-        "content",
-    )
+    )  # a listing, without contents
     inside = Window.partitionBy("part").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
     among = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = made.groupBy("part").agg(F.sum("n_tokens").alias("total")).withColumn("before", F.coalesce(F.sum("total").over(among), F.lit(0)))
