@@ -1,18 +1,26 @@
 """Main text of web pages by composite text density.
 
-Every element of a page has its characters, link characters, tags and link
-tags.  Its density is characters per tag, scaled by how little of it is links;
-an element's sum is that of its children's densities.  The element of the
-largest sum, the body among them, is the core.  The least density on the way from the core up to the
-body is the threshold: the core's article (or ``main``), if it has one, is the
-main text, else the core and those elements beside its ancestors whose density
-reaches the threshold.  Elements that are never prose (menus, forms, scripts
-and the like) are left out by their tag, role or class.
+Every block element of a page has its characters, link characters, tags (blocks
+and links, itself among them) and link tags; inline elements belong to their
+block.  Its density is characters per tag, scaled by how little of it is links;
+its sum is that of its child blocks' densities.  The element of the largest sum
+is the core.  The threshold is the least density on the way from the core up to
+the body, the body counted with all that it holds.  The core is taken, and what
+stands beside it and its ancestors, if it reaches the threshold: running text
+there (paragraphs, headings, lists, tables) as one group for each ancestor,
+containers one by one.  The names article and main play no part.
+
+Left out everywhere are elements that are never prose (menus, forms, scripts and
+the like) by tag, role or hiddenness, and containers whose class or id names
+adverts, reader comments, cookie notices and the like.  Class words that prose
+may have too, and page headers, halve a container's density; outside the core
+such a container is never taken, and inside it only if it is not mostly links
+and reaches half the threshold.
 
 Defined cases: null html is empty; plain text without tags is one block; broken
 markup is closed as browsers do for paragraphs, items and cells; whole pages
-are read, at any length; an empty table gives an empty result; other columns
-are not read.
+are read, at any length; every row is a page, repeated rows and ids included; an
+empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -36,11 +44,13 @@ BLOCK = frozenset(
     "header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 NEVER = frozenset("head nav footer aside form button menu dialog object canvas audio video map svg select".split())
+CONTAINERS = frozenset("article aside center details div fieldset figure footer header main nav section span table ul ol".split())
+RUNNING = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre table figure address hr".split())
 NOISE = frozenset(
-    "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer menu modal "
-    "nav navbar navigation newsletter notice notices popup promo promoted promotion related respond share sharing sidebar skip social sponsor sponsored "
-    "subscribe subscription toolbar widget widgets".split()
+    "ad ads adv advert adverts advertisement advertising breadcrumb breadcrumbs comment comments consent cookie cookies disqus nav navbar navigation "
+    "newsletter popup respond sidebar sponsor sponsored subscribe subscription".split()
 )
+DOUBTFUL = frozenset("banner footer header menu modal notice notices promo promoted related share sharing skip social toolbar widget widgets".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
@@ -56,38 +66,38 @@ _MARK = re.compile(
     rf"<!--.*?(?:-->|\Z)|<({RAW})(?=[\s/>])(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>",
     re.S | re.I,
 )
-_NAMED = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+_HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 _WORDS = re.compile(r"[a-z0-9]+")
 
 
 class Node:
-    __slots__ = ("chars", "density", "inside", "kids", "link_chars", "link_tags", "noise", "parent", "tag", "tags", "total")
+    __slots__ = ("block", "chars", "density", "doubtful", "kids", "link_chars", "link_tags", "noise", "parent", "tag", "tags", "total")
 
-    def __init__(self, tag: str, parent: Node | None, noise: bool = False):
-        self.tag, self.parent, self.noise, self.kids = tag, parent, noise, []
+    def __init__(self, tag: str, parent: Node | None, noise: bool = False, doubtful: bool = False):
+        self.tag, self.parent, self.noise, self.doubtful, self.kids = tag, parent, noise, doubtful, []
+        self.block = tag in BLOCK
         self.chars = self.link_chars = self.tags = self.link_tags = 0
         self.density = self.total = 0.0
-        self.inside = tag in ("article", "main") or (parent is not None and parent.inside)
 
 
-def _is_noise(tag: str, attributes: str, inside: bool) -> bool:
-    if tag in NEVER or (tag == "header" and not inside):
-        return True
-    if not attributes or tag in ("html", "body", "main"):
-        return False
-    for name, value in _NAMED.findall(attributes):
+def _kind(tag: str, attributes: str) -> tuple[bool, bool]:
+    """Is the element noise; is it doubtful."""
+    if tag in NEVER:
+        return True, False
+    doubtful = tag == "header"
+    if not attributes or tag in ("html", "body"):
+        return False, doubtful
+    for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
-        if name == "hidden" or (name == "aria-hidden" and value == "true"):
-            return True
-        if name == "role" and value in ROLES:
-            return True
-        if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-        if name in ("class", "id"):
+        if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "role" and value in ROLES) or (name == "style" and _HIDING.search(value)):
+            return True, doubtful
+        if name in ("class", "id") and tag in CONTAINERS:
             words = _WORDS.findall(value)
-            if NOISE.intersection(words) or (not inside and "header" in words):
-                return True
-    return False
+            if NOISE.intersection(words):
+                return True, doubtful
+            doubtful = doubtful or bool(DOUBTFUL.intersection(words))
+    return False, doubtful
 
 
 def parse(page: str) -> Node:
@@ -128,7 +138,7 @@ def parse(page: str) -> Node:
                 node = node.parent
             if last is not None:
                 here = last.parent
-        made = Node(tag, here, _is_noise(tag, mark.group(4), here.inside))
+        made = Node(tag, here, *_kind(tag, mark.group(4)))
         here.kids.append(made)
         if tag not in VOID and not mark.group(4).endswith("/"):
             here = made
@@ -137,40 +147,58 @@ def parse(page: str) -> Node:
     return root
 
 
-def _measure(root: Node) -> list[Node]:
-    """Fill in the counts and densities, and list the nodes in page order."""
+def density(chars: int, link_chars: int, tags: int, link_tags: int, share: float) -> float:
+    """Composite text density; share is that of links in the whole page."""
+    if not chars:
+        return 0.0
+    links, link_tags = max(link_chars, 1), max(link_tags, 1)
+    base = math.log(chars * links / max(chars - link_chars, 1) + share * chars + math.e)
+    return max(chars / tags * math.log(chars * tags / (links * link_tags) + 1e-9) / max(math.log(base), 1e-4), 0.0)
+
+
+def _walk(root: Node, all_of_it: bool) -> list[Node]:
+    """The nodes in page order, their counts filled in; noise has none unless ``all_of_it``."""
     order, stack = [], [(root, False)]
     while stack:
         node, link = stack.pop()
         order.append(node)
+        node.chars = node.link_chars = node.link_tags = 0
+        node.tags = 1 if node.block or node.tag == "a" else 0
         link = link or node.tag in ("a", "button")
         for kid in node.kids:
             if isinstance(kid, str):
                 n = len(kid.strip())
                 node.chars += n
                 node.link_chars += n if link else 0
-        stack += [(kid, link) for kid in reversed(node.kids) if isinstance(kid, Node) and not kid.noise]
+        stack += [(kid, link) for kid in reversed(node.kids) if isinstance(kid, Node) and (all_of_it or not kid.noise)]
     for node in reversed(order):
         for kid in node.kids:
-            if isinstance(kid, Node) and not kid.noise:
+            if isinstance(kid, Node) and (all_of_it or not kid.noise):
                 node.chars += kid.chars
                 node.link_chars += kid.link_chars
-                node.tags += kid.tags + 1
+                node.tags += kid.tags
                 node.link_tags += kid.link_tags + (kid.tag == "a")
-    chars, links = max(root.chars, 1), root.link_chars
-    for node in order:
-        if node.chars:
-            c, lc, t, lt = node.chars, max(node.link_chars, 1), max(node.tags, 1), max(node.link_tags, 1)
-            base = math.log(c * lc / max(c - node.link_chars, 1) + links * c / chars + math.e)
-            node.density = c / t * math.log(c * t / (lc * lt) + 1e-9) / math.log(base) if base > 1.0001 else c / t
-            node.density = max(node.density, 0.0)
-        node.total = 0.0
-    for node in order:
-        if node.parent is not None:
-            node.parent.total += node.density
     return order
 
 
+def _measure(root: Node) -> tuple[list[Node], float]:
+    """The nodes in page order with counts, densities and sums, and the body's density with all that it holds."""
+    body = next((n for n in _walk(root, True) if n.tag == "body"), root)
+    share = root.link_chars / max(root.chars, 1)
+    whole = density(body.chars, body.link_chars, max(body.tags, 1), body.link_tags, share)
+    order = _walk(root, False)
+    holder: dict[int, Node] = {}
+    for node in order:
+        above = node.parent
+        if above is not None:
+            holder[id(node)] = above if above.block or above.parent is None else holder[id(above)]
+        if node.block or above is None:
+            node.density = density(node.chars, node.link_chars, max(node.tags, 1), node.link_tags, share) / (2 if node.doubtful else 1)
+            if above is not None:
+                holder[id(node)].total += node.density
+    return order, whole
+
+
 def _blocks(chosen: set[int], root: Node) -> list[str]:
     """Texts of the blocks under the chosen nodes, in page order."""
     out, piece = [], []
@@ -202,29 +230,39 @@ def _blocks(chosen: set[int], root: Node) -> list[str]:
     return out
 
 
+def _chosen(root: Node) -> tuple[set[int], list[Node]]:
+    """The ids of the nodes whose text is the page's, and the way from the core up to the body."""
+    order, whole = _measure(root)
+    body = next((n for n in order if n.tag == "body"), root)
+    blocks = [n for n in order if n.block and (n is not root or body is root)]
+    core = max(reversed(blocks), key=lambda n: n.total)
+    path = [core]
+    while path[-1] is not body and path[-1].parent is not None:
+        path.append(path[-1].parent)
+    threshold = min([whole, *(n.density for n in path[:-1] if n.block)])
+    share = root.link_chars / max(root.chars, 1)
+    way = set(map(id, path))
+    for node in order:  # containers of doubtful names stay in the core if they read like prose
+        if node.doubtful and id(node) not in way and (core is body or 4 * node.link_chars > node.chars or 2 * node.density < threshold / 2):
+            node.noise = True
+    chosen, taken = {id(core)}, core
+    for above in path[1:]:
+        beside = [k for k in above.kids if isinstance(k, Node) and k is not taken and k.chars and not k.noise and not k.doubtful and 2 * k.link_chars <= k.chars]
+        running = [k for k in beside if k.tag in RUNNING]
+        if running:
+            sums = [sum(getattr(k, name) for k in running) for name in ("chars", "link_chars", "tags", "link_tags")]
+            if density(*sums, share) >= threshold:
+                chosen.update(map(id, running))
+        chosen |= {id(k) for k in beside if k.tag not in RUNNING and k.block and k.density >= threshold}
+        taken = above
+    return chosen, path
+
+
 def main_text(page: str | None) -> str:
     if not page or not page.strip():
         return ""
     root = parse(page)
-    order = _measure(root)
-    body = next((n for n in order if n.tag == "body"), root)
-    core = max((n for n in order if n is body or n is not root), key=lambda n: n.total, default=body)
-    path, node = [core], core
-    while node is not body and node.parent is not None:
-        node = node.parent
-        path.append(node)
-    held = [n for n in path if n.tag == "article"] or [n for n in path if n.tag == "main"]
-    if not held:
-        within = [n for n in order if n.tag == "article"] or [n for n in order if n.tag == "main"]
-        held = [max(within, key=lambda n: n.chars)] if core is body and within else []
-    if held:
-        chosen = {id(held[-1])}
-    else:
-        threshold = min((n.density for n in path[:-1]), default=0.0)
-        chosen = {id(core)}
-        for node in path[1:]:
-            chosen |= {id(k) for k in node.kids if isinstance(k, Node) and not k.noise and k not in path and k.density >= threshold > 0}
-    return "\n\n".join(_blocks(chosen, root))
+    return "\n\n".join(_blocks(_chosen(root)[0], root))
 
 
 def extract(pages: DataFrame) -> DataFrame:
