@@ -23,9 +23,11 @@ sets.  Components spread by least labels and pointer jumping over tables in the
 shared folder; nothing of the corpus reaches the driver.
 
 Defined cases: null text, empty text and white space alone have no shingles,
-are linked with nothing and stay; repeated rows of one doc_id count as copies;
-an empty table gives an empty result; other columns are not read.  Rows with a
-null doc_id stand for themselves: component_id null, kept true.
+are linked with nothing and stay; different texts under one doc_id are documents
+of their own, which text_key tells apart, and each links by its own text; rows
+that repeat doc_id and text share one answer; an empty table gives an empty
+result; other columns are not read.  Rows with a null doc_id stand for
+themselves: component_id null, kept true.
 """
 
 from __future__ import annotations
@@ -69,7 +71,7 @@ def _row_sets(hashes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def sketches(docs: DataFrame, k: int, trees: int, depth: int = DEPTH) -> DataFrame:
-    """doc_id, n (set size), s1, s2 (128 bits of the set), paths (a node per tree and depth), sketch."""
+    """doc_id, text_key, n (set size), s1, s2 (128 bits of the set), paths (a node per tree and depth), sketch."""
     factors = odd_multipliers(trees * depth, seed=2024)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,6 +97,7 @@ def sketches(docs: DataFrame, k: int, trees: int, depth: int = DEPTH) -> DataFra
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids,
+                        batch.column("text_key")[start:stop],
                         pa.array(sizes.astype(np.int64)),
                         pa.array(s1.view(np.int64)),
                         pa.array(s2.view(np.int64)),
@@ -104,15 +107,15 @@ def sketches(docs: DataFrame, k: int, trees: int, depth: int = DEPTH) -> DataFra
                         ),
                         pa.array([x.tobytes() for x in (token >> _U(56)).astype(np.uint8)], pa.binary()),
                     ],
-                    ["doc_id", "n", "s1", "s2", "paths", "sketch"],
+                    ["doc_id", "text_key", "n", "s1", "s2", "paths", "sketch"],
                 )
 
-    schema = "doc_id long, n long, s1 long, s2 long, paths array<long>, sketch binary"
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    schema = "doc_id long, text_key long, n long, s1 long, s2 long, paths array<long>, sketch binary"
+    return docs.mapInArrow(run, schema)
 
 
-def full_sets(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, items: the sorted distinct shingle hashes."""
+def full_sets(texts: DataFrame, k: int) -> DataFrame:
+    """cls, items (the sorted distinct shingle hashes) of rows of cls and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -120,9 +123,9 @@ def full_sets(docs: DataFrame, k: int) -> DataFrame:
                 flat, sizes = _row_sets(*shingle_hashes(batch.column("text")[start:stop], k))
                 ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
                 items = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[start:stop], items], ["doc_id", "items"])
+                yield pa.RecordBatch.from_arrays([batch.column("cls")[start:stop], items], ["cls", "items"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, items array<long>")
+    return texts.select("cls", "text").mapInArrow(run, "cls long, items array<long>")
 
 
 def _members(reps: DataFrame, trees: int, depth: int, leaf: int) -> DataFrame:
@@ -290,17 +293,21 @@ def components(links: DataFrame, labels: DataFrame | None = None) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, trees: int | None = None, depth: int = DEPTH, leaf: int = LEAF) -> DataFrame:
-    """doc_id, n_shingles, class_id, component_id, kept for every document.
+    """doc_id, text_key, n_shingles, class_id, component_id, kept, first for every document.
 
     Two documents are linked if den * intersection >= num * union of their
-    k-word shingle sets.  class_id is the least doc_id with the same set.
+    k-word shingle sets.  class_id is the least doc_id with the same set; kept
+    says that doc_id is component_id, first that no row of the component has a
+    lesser doc_id and text_key.
     """
     ship(docs.sparkSession)
     trees = trees or trees_for(num / den, depth)
-    keyed = staged(sketches(docs, k, trees, depth), "near-sketches")
+    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), "text")
+    keyed = staged(sketches(rows, k, trees, depth), "near-sketches")
     some = keyed.where("n > 0 and doc_id is not null")
-    reps = some.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("cls"), F.min_by(F.struct("paths", "sketch"), "doc_id").alias("x"))
-    reps = staged(reps.select("cls", "n", "s1", "s2", "x.paths", "x.sketch"), "near-reps")
+    row = F.struct("doc_id", "text_key")
+    reps = some.groupBy("n", "s1", "s2").agg(F.min(row).alias("row"), F.min_by(F.struct("paths", "sketch"), row).alias("x"))
+    reps = staged(reps.select(F.monotonically_increasing_id().alias("cls"), "row", "n", "s1", "s2", "x.paths", "x.sketch"), "near-reps")
     members = _members(reps, trees, depth, leaf).join(reps.select("cls", "n", "sketch"), "cls")
     members = staged(members, "near-members")
     large = members.where(F.col("size") > leaf).select("node", "cls", "n", "sketch")
@@ -310,9 +317,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     hubs = every.groupBy("node").agg(*picks).select("node", F.array_distinct(F.array(*[f"h{j}" for j in range(PIVOTS)])).alias("hubs"))
     pairs = _leaf_pairs(members.where(F.col("size") <= leaf), num, den).unionByName(_star_pairs(every, hubs, num, den))
     pairs = staged(pairs.groupBy("a", "b").agg(F.max("best").alias("best")), "near-pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).union(large.select("cls")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(wanted, "doc_id", "left_semi")  # the only shuffle of texts
-    sets = staged(full_sets(texts, k).dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "cls"), "near-sets")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).union(large.select("cls")).distinct()
+    wanted = reps.select("cls", "row.*").join(wanted, "cls")
+    texts = rows.join(wanted, ["doc_id", "text_key"])  # the only shuffle of texts
+    sets = staged(full_sets(texts, k).dropDuplicates(["cls"]), "near-sets")
     links = staged(_verified(pairs.where("best"), sets, num, den), "near-links")
     labels = components(links)
 
@@ -330,17 +338,18 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
         links = links.unionByName(staged(met.distinct(), "near-links"))
     labels = components(links, labels)
 
-    named = (
-        reps.select("n", "s1", "s2", "cls")
-        .join(labels.withColumnRenamed("v", "cls"), "cls", "left")
-        .select("n", "s1", "s2", F.col("cls").alias("class_id"), F.coalesce("comp", "cls").alias("comp"))
-    )
-    joined = some.select("doc_id", "n", "s1", "s2").join(named, ["n", "s1", "s2"])
-    alone = keyed.where("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("comp"))
-    return joined.select("doc_id", "n", "class_id", "comp").unionByName(alone).select(
+    settled = reps.select("n", "s1", "s2", "cls", "row").join(labels.withColumnRenamed("v", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    settled = staged(settled.drop("cls"), "near-settled")
+    least = settled.groupBy("comp").agg(F.min("row").alias("least"))
+    named = settled.join(least, "comp").select("n", "s1", "s2", F.col("row.doc_id").alias("class_id"), "least")
+    joined = some.select("doc_id", "text_key", "n", "s1", "s2").join(named, ["n", "s1", "s2"])
+    alone = keyed.where("n = 0 or doc_id is null").select("doc_id", "text_key", "n", F.col("doc_id").alias("class_id"), row.alias("least"))
+    return joined.select("doc_id", "text_key", "n", "class_id", "least").unionByName(alone).select(
         "doc_id",
+        "text_key",
         F.col("n").alias("n_shingles"),
         "class_id",
-        F.col("comp").alias("component_id"),
-        F.coalesce(F.col("doc_id") == F.col("comp"), F.lit(True)).alias("kept"),
+        F.col("least.doc_id").alias("component_id"),
+        F.coalesce(F.col("doc_id") == F.col("least.doc_id"), F.lit(True)).alias("kept"),
+        F.expr("doc_id <=> least.doc_id and text_key = least.text_key").alias("first"),
     )

@@ -112,6 +112,14 @@ def test_near_duplicates_odd(frame, odd_rows):
     assert by[2][2] == 1 and by[7][2] == 6 and by[3][1:] == (0, 3, True) and by[5][1:] == (0, 5, True) and by[None][3]
 
 
+def test_near_duplicates_of_repeated_ids(frame):
+    """Two texts under one doc_id link by their own words, and a row that is repeated whole has one answer."""
+    t, u = " ".join(f"t{i}" for i in range(60)), " ".join(f"u{i}" for i in range(60))
+    rows = [(1, t, "en", "a"), (1, u, "en", "a"), (2, t + " z", "en", "a"), (3, u + " z", "en", "a"), (3, u + " z", "en", "a"), (4, t + " y", "en", "a"), (None, t, "en", "a")]
+    got = Counter((r.doc_id, r.component_id, r.kept, r.first) for r in near_dedup.near_duplicates(frame(rows), 3, 85, 100).collect())
+    assert got == Counter([(1, 1, True, True)] * 2 + [(2, 1, False, False), (4, 1, False, False), (None, None, True, True)] + [(3, 1, False, False)] * 2)
+
+
 def base(text):
     words = WORD.findall(text or "")
     seen = defaultdict(list)
@@ -199,6 +207,85 @@ def test_html_raw_names(mark):
     assert html_text.main_text(page) == "The first paragraph, long enough.\n\nThe second paragraph, long enough."
 
 
+def random_tree(rng, depth=0):
+    """(tag, kids) of blocks, links and texts."""
+    if depth == 4 or rng.random() < 0.35 * (depth > 0):
+        words = " ".join(rng.choice(["lorem", "ipsum", "dolor", "sit"], rng.integers(1, 30)))
+        return ("p", [words] if rng.random() < 0.7 else [words + " ", ("a", ["link " * int(rng.integers(1, 9)) + "end"])])
+    return ("div" if depth else "body", [random_tree(rng, depth + 1) for _ in range(rng.integers(1, 5))])
+
+
+def rendered(node):
+    return node if isinstance(node, str) else f"<{node[0]}>{''.join(map(rendered, node[1]))}</{node[0]}>"
+
+
+def brute_core(body):
+    """The block of the greatest sum of child densities, and the least density from it up to the body, by plain recursion."""
+    count = lambda node, what, inside=False: what(node, inside) if isinstance(node, str) else what(node, inside) + sum(count(k, what, inside or node[0] == "a") for k in node[1])
+    chars = lambda n: count(n, lambda x, _: len(x.strip()) if isinstance(x, str) else 0)
+    links = lambda n: count(n, lambda x, inside: len(x.strip()) if isinstance(x, str) and inside else 0)
+    tags = lambda n: count(n, lambda x, _: not isinstance(x, str))
+    marks = lambda n: count(n, lambda x, _: not isinstance(x, str) and x[0] == "a")
+    share = links(body) / max(chars(body), 1)
+
+    def dense(n):
+        c, lc, t, lt = chars(n), max(links(n), 1), tags(n), max(marks(n), 1)
+        base = np.log(c * lc / max(c - links(n), 1) + share * c + np.e)
+        return max(c / t * np.log(c * t / (lc * lt) + 1e-9) / max(np.log(base), 1e-4), 0.0)
+
+    found = []
+
+    def visit(n, way):
+        kids = [k for k in n[1] if not isinstance(k, str) and k[0] != "a"]
+        found.append((sum(map(dense, kids)), len(found), n, way))
+        for k in kids:
+            visit(k, [*way, n])
+
+    visit(body, [])
+    total, _, core, way = max(found, key=lambda x: x[:2])
+    return core, min(map(dense, [core, *way]))
+
+
+@pytest.mark.parametrize("seed", range(25))
+def test_html_density(seed):
+    """The core against a brute-force count, and every paragraph beside it that reaches the threshold alone."""
+    body = random_tree(np.random.default_rng(seed))
+    core, _ = brute_core(body)
+    root = html_text.parse(f"<html>{rendered(body)}</html>")
+    chosen, path = html_text._chosen(root)
+    text = lambda n: n if isinstance(n, str) else "".join(map(text, n.kids if isinstance(n, html_text.Node) else n[1]))
+    assert text(path[0]) == text(core) and path[0].tag == core[0]
+    assert "".join(text(core).split()) in "".join(html_text.main_text(f"<html>{rendered(body)}</html>").split())
+
+
+def test_html_attributes():
+    """Values are no names; words that prose may have too do not delete it."""
+    first, rest = "The first paragraph is long enough to be prose, with a number of words in it.", "And this one says a little more about it, so that nobody takes it for a menu."
+    for mark in ('<p title="a hidden gem">', '<p data-hidden="false">', '<p id="share-price">', "<p class=notice>", '<p class="related widget">', '<div class="notice">', '<section id="related">'):
+        page = f"<html><body><div class=page><h1>Title</h1><p>{first}</p>{mark}{rest}</{mark[1:].split()[0].rstrip('>')}><p>{first}</p></div></body></html>"
+        assert html_text.main_text(page) == "\n\n".join(["Title", first, rest, first]), mark
+    for mark in ("<p hidden>", '<div style="display: none">', '<div class="cookie-notice">', "<div id=comments>", '<ul class="share"><li><a href=x>', '<div aria-hidden="true">'):
+        page = f"<html><body><div class=page><h1>Title</h1><p>{first}</p>{mark}{rest}</a></li></ul></div><p>{first}</p></body></html>"
+        assert rest not in html_text.main_text(page), mark
+
+
+@pytest.mark.parametrize("name", ["div", "main", "section"])
+def test_html_pages_of_other_elements(spark, sf, name):
+    """The text does not hang on the element being an article."""
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    plain = {r.page_id: r.text for r in html_text.extract(pages).collect()}
+    other = pages.withColumn("html", F.regexp_replace("html", "(</?)article>", f"$1{name}>"))
+    assert {r.page_id: r.text for r in html_text.extract(other).collect()} == plain
+
+
+def test_html_odd(spark):
+    """Null, empty and very long pages, repeated rows, and columns whose names clash."""
+    long = "<body><div>" + "<p>one more paragraph of the long page</p>" * 20_000 + "</div></body>"
+    rows = [(1, "u", None, "x"), (1, "u", None, "x"), (2, None, "", "y"), (None, "v", "<p>text", "z"), (3, "w", long, None)]
+    got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
+    assert Counter((r.page_id, r.url, r.n_chars) for r in got) == Counter([(1, "u", 0), (1, "u", 0), (2, None, 0), (None, "v", 4), (3, "w", 20_000 * len("one more paragraph of the long page") + 19_999 * 2)])
+
+
 def test_html_pages(spark, sf):
     rows = html_text.extract(spark.read.parquet(f"{sf}/pages.parquet")).collect()
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
