@@ -41,19 +41,14 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents similar on five-word shingles, keep one.
+    """Of each group of documents similar on five-word shingles, keep one: the one of the least doc_id, then text hash.
 
     Different texts under one doc_id are documents of their own; rows without a doc_id stay.
     """
-    keyed = docs.select("doc_id", F.xxhash64("text").alias("key"))
-    if keyed.where("doc_id is not null").groupBy("doc_id").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high").isEmpty():
-        gone = near_dedup.near_duplicates(docs, k=5, num=80, den=100).where("not kept").select("doc_id")
-        return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
-    ids = keyed.where("doc_id is not null").distinct().orderBy("doc_id", "key").withColumn("id", F.monotonically_increasing_id())
-    rows = docs.withColumn("key", F.xxhash64("text")).alias("d").join(staged(ids, "pipe-ids").alias("i"), F.expr("d.doc_id = i.doc_id and d.key = i.key"), "left")
-    rows = staged(rows.select("d.*", "i.id"), "pipe-rows")
-    gone = near_dedup.near_duplicates(rows.select(F.col("id").alias("doc_id"), "text"), k=5, num=80, den=100).where("not kept").select(F.col("doc_id").alias("id"))
-    return rows.join(gone, "id", "left_anti").select(*COLUMNS)
+    found = near_dedup.near_duplicates(docs, k=5, num=80, den=100)
+    gone = found.where("not first and doc_id is not null").select("doc_id", "text_key").distinct().alias("g")
+    rows = docs.withColumn("key", F.xxhash64("text")).alias("d")
+    return rows.join(gone, F.expr("d.doc_id = g.doc_id and d.key = g.text_key"), "left_anti").select(*COLUMNS)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
