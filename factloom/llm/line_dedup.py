@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from factloom.llm.quality import _let
 from factloom.scratch import staged
 
-BUCKETS, LEADING = 1 << 16, 3
+BUCKETS, LEADING = 1 << 18, 3
 HASH_BITS = 57  # of a word's 64; its rarity, at most 63, goes before them
 SPACES = r"[\x20\x09-\x0D]+"
 PLACE = ["doc_id", "text_key", "line_no"]
@@ -55,57 +55,62 @@ def _split(text: Column) -> Column:
     return F.when(odd, F.split(F.lower(text), SPACES)).otherwise(F.split(F.replace(F.lower(text), F.lit("\n"), F.lit(" ")), " "))
 
 
-def _rarity(docs: DataFrame) -> Column:
-    """A constant array: the power of two of each bucket's number of words."""
+def _rarity(docs: DataFrame) -> DataFrame:
+    """One row, levels: for each bucket the power of two of its number of words."""
     word = docs.select(F.explode(_split(F.col("text"))).alias("word")).where("word <> ''")
     counts = word.groupBy(F.xxhash64("word").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("bucket")).count()
-    levels = [0] * BUCKETS
-    for row in counts.collect():  # at most BUCKETS rows
-        levels[row["bucket"]] = row["count"].bit_length()
-    return F.split(F.lit(",".join(map(str, levels))), ",").cast("array<bigint>")
+    level = F.struct("bucket", F.ceil(F.log2(F.col("count") + 1)).cast("byte").alias("level"))
+    every = docs.sparkSession.range(BUCKETS).select(F.struct(F.col("id").cast("int").alias("bucket"), F.lit(0).cast("byte").alias("level")).alias("x"))
+    highest = counts.select(level.alias("x")).union(every).groupBy("x.bucket").agg(F.max("x").alias("x"))  # BUCKETS rows
+    return staged(highest.agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["level"]).alias("levels")), "lines-rarity")
 
 
-def _ranked(line: Column, levels: Column) -> Column:
-    """A line's words as longs, rarest first."""
+def _ranked(lines: DataFrame, levels: DataFrame, keep: list[str]) -> DataFrame:
+    """The columns to keep, and items: a line's words as longs, rarest first."""
+    return lines.select(*keep, "line", levels.scalar().alias("levels")).select(*keep, _items(F.col("line"), F.col("levels")).alias("items"))
+
+
+def _items(line: Column, levels: Column) -> Column:
     hashed = F.array_distinct(F.array_remove(F.transform(_split(line), lambda w: F.xxhash64(w)), F.xxhash64(F.lit(""))))
-    level = lambda h: F.shiftleft(F.get(levels, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), HASH_BITS)
+    level = lambda h: F.shiftleft(F.get(levels, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).cast("long"), HASH_BITS)
     return F.sort_array(F.transform(hashed, lambda h: level(h).bitwiseOR(h.bitwiseAND(F.lit((1 << HASH_BITS) - 1)))))
 
 
-def _parity(items: Column) -> Column:
-    """A 64-bit parity bitmap of the items: two sets differ in at least as many items as their bitmaps in bits."""
-    return F.aggregate(items, F.lit(0).cast("long"), lambda acc, h: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))))
+def _parity(items: Column, half: bool) -> Column:
+    """A 64-bit parity bitmap of the items, or of half of them: two sets differ in at least as many items as their bitmaps in bits."""
+    one = (lambda h: F.shiftright(h, 6).bitwiseAND(F.lit(1).cast("long"))) if half else (lambda h: F.lit(1).cast("long"))
+    return F.aggregate(items, F.lit(0).cast("long"), lambda acc, h: acc.bitwiseXOR(F.call_function("shiftleft", one(h), h.bitwiseAND(F.lit(63)).cast("int"))))
 
 
-def _classes(docs: DataFrame, levels: Column, num: int, den: int) -> DataFrame:
-    """cid and place of the first line of every class, and n, parity, prefix of its set; an earlier class has a lesser cid."""
+def _classes(docs: DataFrame, levels: DataFrame, num: int, den: int) -> DataFrame:
+    """cid and place of the first line of every class, and n, low, high, prefix of its set; an earlier class has a lesser cid."""
 
     lines = _texts(docs).select("doc_id", "text_key", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    lines = lines.select(*PLACE, _ranked(F.col("line"), levels).alias("s"))
-    prefix = F.slice("s", F.lit(1), (F.size("s") - F.ceil(F.size("s") * num / F.lit(den)) + 1).cast("int"))
-    lines = lines.select(*PLACE, F.xxhash64("s").alias("key"), F.size("s").alias("n"), _parity(F.col("s")).alias("parity"), prefix.alias("prefix"))
-    first = lines.groupBy("key", "parity", "n").agg(F.min(F.struct(*PLACE, "prefix")).alias("x")).select("x.*", "n", "parity")
+    prefix = F.slice("items", F.lit(1), (F.size("items") - F.ceil(F.size("items") * num / F.lit(den)) + 1).cast("int"))
+    items = F.col("items")
+    lines = _ranked(lines, levels, PLACE).select(*PLACE, F.xxhash64("items").alias("key"), F.size("items").alias("n"), _parity(items, False).alias("both"), _parity(items, True).alias("high"), prefix.alias("prefix"))
+    first = lines.groupBy("key", "both", "n").agg(F.min(F.struct(*PLACE, "high", "prefix")).alias("x")).select("x.*", "n", (F.col("both").bitwiseXOR(F.col("x.high"))).alias("low"))
     first = first.where("size(prefix) > 0")  # lines without words go here, where no optimiser moves the test before the costly set
     return staged(first.orderBy(*PLACE).withColumn("cid", F.monotonically_increasing_id()), "lines-classes")
 
 
 def _filters(num: int, den: int) -> str:
-    """Length, position and parity of a and b (n, pos, parity) allow the similarity."""
+    """Length, position and parity of a and b (n, pos, low, high) allow the similarity."""
     return (
         f"{den} * least(a.n, b.n) >= {num} * greatest(a.n, b.n)"
         f" and least(a.n - a.pos, b.n - b.pos) * ({den} + {num}) >= {num} * (a.n + b.n)"
-        f" and bit_count(a.parity ^ b.parity) * ({den} + {num}) <= ({den} - {num}) * (a.n + b.n)"
+        f" and (bit_count(a.low ^ b.low) + bit_count(a.high ^ b.high)) * ({den} + {num}) <= ({den} - {num}) * (a.n + b.n)"
     )
 
 
-def _similar(docs: DataFrame, levels: Column, classes: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
+def _similar(docs: DataFrame, levels: DataFrame, classes: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
     """The cid of every pair (cid, other) whose full sets have the similarity."""
     wanted = pairs.select("cid").union(pairs.select("other")).distinct()
     places = classes.select("cid", *PLACE).join(wanted, "cid").groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("line_no", "cid")).alias("at"))
     places = staged(places, "lines-places").alias("p")
     rows = _texts(docs).alias("d").join(places, F.expr("d.doc_id <=> p.doc_id and d.text_key = p.text_key"))
     picked = _let(F.split("d.text", "\n"), lambda ls: F.transform(F.col("p.at"), lambda x: F.struct(x["cid"].alias("cid"), F.get(ls, x["line_no"]).alias("line"))))
-    found = rows.select(F.inline(picked)).select("cid", _ranked(F.col("line"), levels).alias("items"))
+    found = _ranked(rows.select(F.inline(picked)), levels, ["cid"])
     sets = staged(found.groupBy("cid").agg(F.max("items").alias("items")), "lines-sets")
     both = pairs.join(sets, "cid").join(sets.select(F.col("cid").alias("other"), F.col("items").alias("others")), "other")
     common = both.select("cid", F.size("items").alias("n"), F.size("others").alias("m"), F.size(F.array_intersect("items", "others")).alias("c"))
@@ -116,11 +121,11 @@ def _survivors(docs: DataFrame, num: int, den: int) -> DataFrame:
     """The place of every line that stays and has words."""
     levels = _rarity(docs)
     classes = _classes(docs, levels, num, den)
-    many = classes.where(F.col("n") * (den - num) >= num).select("cid", "n", "parity", "prefix")
+    many = classes.where(F.col("n") * (den - num) >= num).select("cid", "n", "low", "high", "prefix")
 
-    leading = many.select("cid", "n", "parity", F.posexplode(F.slice("prefix", 1, LEADING)).alias("pos", "h"))
-    heads = leading.groupBy("h").agg(F.min(F.struct("cid", "n", "pos", "parity")).alias("x")).select("h", "x.*")
-    apart = F.expr("bit_count(a.parity ^ b.parity)")
+    leading = many.select("cid", "n", "low", "high", F.posexplode(F.slice("prefix", 1, LEADING)).alias("pos", "h"))
+    heads = leading.groupBy("h").agg(F.min(F.struct("cid", "n", "pos", "low", "high")).alias("x")).select("h", "x.*")
+    apart = F.expr("bit_count(a.low ^ b.low) + bit_count(a.high ^ b.high)")
     met = leading.alias("b").join(heads.alias("a"), F.expr(f"a.h = b.h and a.cid < b.cid and {_filters(num, den)}"))
     best = met.select(F.col("b.cid").alias("cid"), F.struct(apart.alias("apart"), F.col("a.cid").alias("other")).alias("x")).groupBy("cid").agg(F.min("x").alias("x"))
     settled = _similar(docs, levels, classes, staged(best.select("cid", "x.other"), "lines-pairs"), num, den)
@@ -128,7 +133,7 @@ def _survivors(docs: DataFrame, num: int, den: int) -> DataFrame:
     # A settled class looks for nothing: its id is written as -1 - cid.
     marked = many.join(settled.withColumn("done", F.lit(True)), "cid", "left")
     who = F.coalesce(F.when(F.col("done"), -1 - F.col("cid")).otherwise(F.col("cid")), F.lit(0))  # never null, so that both sides are one shuffle
-    postings = marked.select(who.alias("id"), "n", "parity", F.posexplode("prefix").alias("pos", "h"))
+    postings = marked.select(who.alias("id"), "n", "low", "high", F.posexplode("prefix").alias("pos", "h"))
     a, b = postings.alias("a"), postings.alias("b")
     earlier = "a.h = b.h and greatest(a.id, -1 - a.id) < b.id"
     pairs = a.join(b, F.expr(f"{earlier} and {_filters(num, den)}")).select(F.col("b.id").alias("cid"), F.expr("greatest(a.id, -1 - a.id)").alias("other")).distinct()

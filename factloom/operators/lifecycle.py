@@ -2,22 +2,44 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import datetime as dt
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom.operators.replay import replay
+
 PROMOTE, IDLE_DAYS, TTL_DAYS, BUCKET_SECONDS = 3, 30, 30, 600
 
 
 def hits(log: DataFrame, now: str) -> DataFrame:
-    """Hits of each triple: one a sighting, less one for every 30 idle days between and since; and what becomes of it."""
-    order = Window.partitionBy("subject", "rel_type", "object").orderBy("ts", "id")
-    idle = F.floor(F.datediff(F.to_date("ts"), F.to_date(F.lag("ts").over(order))) / IDLE_DAYS)
-    counted = log.withColumn("idle", F.coalesce(idle, F.lit(0)))
-    since = F.floor(F.datediff(F.to_date(F.lit(now)), F.to_date(F.max("ts"))) / IDLE_DAYS)
-    seen = counted.groupBy("subject", "rel_type", "object").agg(F.count("*").alias("seen"), F.sum("idle").alias("lost"), since.alias("since"))
-    left = F.col("seen") - F.col("lost") - F.col("since")
-    return seen.select("subject", "rel_type", "object", left.alias("hits"), F.when(left >= PROMOTE, F.lit("promote")).when(left <= 0, F.lit("drop")).otherwise(F.lit("keep")).alias("outcome"))
+    """Hits of each triple and what becomes of it.
+
+    A sighting creates it with one hit, or adds one; 30 days without any take one
+    away and begin another 30.  It is promoted for good at three hits and dropped
+    at none; a sighting after that creates it anew.
+    """
+    until = dt.date.fromisoformat(now)
+
+    def idle(state: dict, day: dt.date) -> None:
+        while state["hits"] > 0 and not state["done"] and state["expires"] <= day:
+            state["hits"] -= 1
+            state["expires"] += dt.timedelta(days=IDLE_DAYS)
+
+    def sighted(state: dict, event: dict) -> None:
+        day = event["ts"].date()
+        idle(state, day)
+        state["hits"] = max(state["hits"], 0) + 1
+        state["expires"] = day + dt.timedelta(days=IDLE_DAYS)
+        state["done"] = state["done"] or state["hits"] >= PROMOTE
+
+    def ended(state: dict) -> dict:
+        idle(state, until)
+        return {"hits": state["hits"], "outcome": "promote" if state["done"] else "drop" if state["hits"] <= 0 else "keep"}
+
+    triple = ["subject", "rel_type", "object"]
+    fresh = lambda: {"hits": 0, "expires": dt.date.min, "done": False}
+    return replay(log.select(*triple, "ts", "id"), triple, fresh, sighted, "subject string, rel_type string, object string, hits long, outcome string", ended)
 
 
 def promotions(log: DataFrame) -> DataFrame:
@@ -38,12 +60,22 @@ def sliding_rate(log: DataFrame, key: str, seconds: int, limit: int) -> DataFram
     return log.withColumn("moment", moment).withColumn("held", F.count("*").over(window)).withColumn("limited", F.col("held") > limit).drop("moment")
 
 
-def dedup_window(log: DataFrame, key: list[str], seconds: int) -> DataFrame:
-    """Events that do not follow another of the same key within the window."""
-    order = Window.partitionBy(*key).orderBy("ts", "id")
-    micros = F.unix_micros(F.col("ts").cast("timestamp"))
-    gap = micros - F.lag(micros).over(order)
-    return log.withColumn("gap", gap).where((F.col("gap").isNull()) | (F.col("gap") > seconds * 1_000_000)).drop("gap")
+def dedup_window(log: DataFrame, key: list[str], seconds: int, overriding: Column | None = None) -> DataFrame:
+    """Events that claim their key: no claim stands, it has stood for the window, or an ``overriding`` event meets one that is not."""
+    rows = log.withColumn("strong", F.coalesce(overriding, F.lit(False)) if overriding is not None else F.lit(False))
+    span = dt.timedelta(seconds=seconds)
+
+    def claim(state: dict, event: dict) -> dict | None:
+        free = state["at"] is None or event["ts"] - state["at"] >= span
+        if not (free or (event["strong"] and not state["strong"])):
+            return None
+        state.update(at=event["ts"], strong=event["strong"])
+        return event
+
+    names = [c for c in log.columns if c not in key]
+    kinds = dict(rows.dtypes)
+    schema = ", ".join(f"{c} {kinds[c]}" for c in [*key, *names])
+    return replay(rows, key, lambda: {"at": None, "strong": False}, claim, schema)
 
 
 def concurrency(log: DataFrame, seconds: int, slots: int, restart: bool = False) -> DataFrame:
@@ -66,20 +98,54 @@ def concurrency(log: DataFrame, seconds: int, slots: int, restart: bool = False)
 
 
 def token_bucket(log: DataFrame, key: str, rate: float, capacity: float) -> DataFrame:
-    """Replay of a token bucket per key: what was left and how long each event waited."""
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["ts", "id"], ignore_index=True)
-        tokens, last, out = capacity, None, []
-        for now in frame["ts"].astype("int64").to_numpy() / 1e9:
-            tokens = min(capacity, tokens + ((now - last) * rate if last is not None else 0))
-            wait = max(0.0, (1 - tokens) / rate)
-            tokens, last = max(tokens - 1, 0.0), now
-            out.append((round(tokens, 6), round(wait, 6)))
-        frame["left"], frame["wait"] = zip(*out)
-        return frame[["id", key, "left", "wait"]]
-
-    return log.select("id", key, "ts").groupBy(key).applyInPandas(run, f"id long, {key} string, left double, wait double")
+    """Replay of a token bucket per key, served in order: what is left after each event, and how long it waits.
+
+    The tokens that the n-th event finds missing are 1 and the most that any run of
+    events up to it asks beyond the refill in that run; so they are a running
+    maximum, and no event's wait spends a token that another waits for.
+    """
+    cost = round(1e6 / rate)  # microseconds a token, so that all sums are whole numbers
+    order = Window.partitionBy(key).orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, 0)
+    rows = log.select("id", key, "ts", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), (F.count("*").over(order) * cost).alias("asked"))
+    missing = F.col("asked") + cost - F.col("at") + F.max(F.col("at") - F.col("asked")).over(order)
+    balance = (F.lit(round(capacity * cost)) - missing).alias("balance")
+    rows = rows.select("id", key, balance)
+    return rows.select("id", key, F.round(F.greatest("balance", F.lit(0)) / cost, 6).alias("left"), F.round(F.greatest(-F.col("balance"), F.lit(0)) / 1e6, 6).alias("wait"))
+
+
+def daily_budget(log: DataFrame, key: str, cap: int, seconds: int, forced: Column) -> DataFrame:
+    """Spending of one per event against a budget that opens with the first event and is new after its window; forced events count past the cap."""
+    span = dt.timedelta(seconds=seconds)
+
+    def spend(state: dict, event: dict) -> dict:
+        if state["opened"] is None or event["ts"] >= state["opened"] + span:
+            state.update(opened=event["ts"], used=0)
+        granted = event["forced"] or state["used"] + 1 <= cap
+        state["used"] += granted
+        return {"id": event["id"], "granted": granted, "used": state["used"], "remaining": max(cap - state["used"], 0) if granted else 0}
+
+    rows = log.select("id", key, "ts", F.coalesce(forced, F.lit(False)).alias("forced"))
+    return replay(rows, [key], lambda: {"opened": None, "used": 0}, spend, f"id long, {key} string, granted boolean, used long, remaining long")
+
+
+def circuit_breaker(log: DataFrame, key: str, failed: Column, threshold: int = 3, seconds: int = 60) -> DataFrame:
+    """Whether each call of a key was let through: not while there are ``threshold`` failures and the last is younger than the timeout; a success forgets them."""
+    span = dt.timedelta(seconds=seconds)
+
+    def call(state: dict, event: dict) -> dict:
+        shut = state["failures"] >= threshold and event["ts"] - state["last"] < span
+        if not shut:
+            state.update(failures=state["failures"] + 1, last=event["ts"]) if event["failed"] else state.update(failures=0, last=None)
+        return {"id": event["id"], "passed": not shut, "failures": state["failures"]}
+
+    rows = log.select("id", key, "ts", F.coalesce(failed, F.lit(False)).alias("failed"))
+    return replay(rows, [key], lambda: {"failures": 0, "last": None}, call, f"id long, {key} string, passed boolean, failures long")
+
+
+def stale(log: DataFrame, key: str, now: str, seconds: int) -> DataFrame:
+    """Keys whose latest sign of life is older than the limit."""
+    limit = F.lit(now).cast("timestamp_ntz") - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(seconds))
+    return log.groupBy(key).agg(F.max("ts").alias("last_seen")).where(F.col("last_seen") < limit)
 
 
 def window_counts(log: DataFrame, width: str, slide: str | None = None) -> DataFrame:

@@ -5,18 +5,23 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from factloom.operators import lifecycle
-from factloom.plans.registry import register
+from factloom.plans.registry import ORACLES, QUERIES, register
 from factloom.sources import driver_tables as src
 
 LOG = f"WITH {src.ASSERTIONS}"
 NOW = "2024-02-20"
 
 
+# The hits of a triple that is idle from day e until day d: one less for each 30 days begun, not below 0.
+IDLE = "greatest(0, {a}.h - CASE WHEN {d} >= {a}.e THEN CAST(({d} - {a}.e) AS INT) // 30 + 1 ELSE 0 END)"
+
+
 @register(
     "hit_lifecycle",
-    f"""{LOG}, i AS (SELECT *, coalesce(floor((CAST(ts AS DATE) - CAST(lag(ts) OVER (PARTITION BY subject, rel_type, object ORDER BY ts, id) AS DATE)) / 30.0), 0) AS idle FROM assertions),
-        s AS (SELECT subject, rel_type, object, CAST(count(*) - sum(idle) - floor((DATE '{NOW}' - CAST(max(ts) AS DATE)) / 30.0) AS BIGINT) AS hits FROM i GROUP BY ALL)
-    SELECT *, CASE WHEN hits >= 3 THEN 'promote' WHEN hits <= 0 THEN 'drop' ELSE 'keep' END AS outcome FROM s""",
+    f"""{LOG}, s AS (SELECT subject, rel_type, object, list_reduce(list({{'d': CAST(ts AS DATE), 'h': 1, 'e': CAST(ts AS DATE) + 30, 'p': false}} ORDER BY ts, id), lambda a, x: {{
+            'd': x.d, 'h': CASE WHEN a.p THEN a.h + 1 ELSE {IDLE.format(a='a', d='x.d')} + 1 END, 'e': x.e, 'p': a.p OR {IDLE.format(a='a', d='x.d')} + 1 >= 3}}) AS x FROM assertions GROUP BY ALL),
+        f AS (SELECT subject, rel_type, object, x.p AS done, CASE WHEN x.p THEN x.h ELSE {IDLE.format(a='x', d=f"DATE '{NOW}'")} END AS hits FROM s)
+    SELECT subject, rel_type, object, CAST(hits AS BIGINT) AS hits, CASE WHEN done THEN 'promote' WHEN hits <= 0 THEN 'drop' ELSE 'keep' END AS outcome FROM f""",
 )
 def hit_lifecycle(spark, folder):
     return lifecycle.hits(src.assertions(spark, folder), NOW)
@@ -47,38 +52,82 @@ def sliding_rate(spark, folder):
 
 @register(
     "dedup_window",
-    f"""{LOG}, g AS (SELECT id, subject, rel_type, ts, ts - lag(ts) OVER (PARTITION BY subject, rel_type ORDER BY ts, id) AS gap FROM assertions)
-    SELECT id, subject, rel_type, ts FROM g WHERE gap IS NULL OR gap > INTERVAL 12 HOUR""",
+    f"""{LOG}, k AS (SELECT subject, rel_type, list_reduce(list({{'t': ts, 's': false, 'l': [id]}} ORDER BY ts, id), lambda a, x: CASE WHEN x.t - a.t >= INTERVAL 12 HOUR THEN {{'t': x.t, 's': false, 'l': list_concat(a.l, x.l)}} ELSE a END) AS r FROM assertions GROUP BY ALL),
+        i AS (SELECT unnest(r.l) AS id FROM k)
+    SELECT id, subject, rel_type, ts FROM assertions JOIN i USING (id)""",
 )
 def dedup_window(spark, folder):
-    return lifecycle.dedup_window(src.assertions(spark, folder), ["subject", "rel_type"], 12 * 3600).select("id", "subject", "rel_type", "ts")
+    """Events that are admitted: 12 hours or more after the last admitted one."""
+    return lifecycle.dedup_window(src.assertions(spark, folder).select("id", "subject", "rel_type", "ts"), ["subject", "rel_type"], 12 * 3600).select("id", "subject", "rel_type", "ts")
 
 
 @register(
-    "admission_concurrency",
-    f"""{LOG}, m AS (SELECT CAST(ts AS DATE) AS day, id, ts AS moment, 1 AS step FROM assertions UNION ALL SELECT CAST(ts AS DATE), id, ts + INTERVAL 30 MINUTE, -1 FROM assertions),
-        r AS (SELECT *, sum(step) OVER (PARTITION BY day ORDER BY moment, step, id ROWS UNBOUNDED PRECEDING) AS busy FROM m)
-    SELECT day, CAST(max(busy) AS BIGINT) AS peak, CAST(sum(CAST(busy > 8 AS INT)) AS BIGINT) AS shed FROM r WHERE step = 1 GROUP BY day""",
+    "dedup_override",
+    f"""{LOG}, k AS (SELECT subject, list_reduce(list({{'t': ts, 's': rel_type = 'error', 'l': [id]}} ORDER BY ts, id), lambda a, x: CASE WHEN x.t - a.t >= INTERVAL 12 HOUR OR (x.s AND NOT a.s) THEN {{'t': x.t, 's': x.s, 'l': list_concat(a.l, x.l)}} ELSE a END) AS r FROM assertions GROUP BY ALL)
+    SELECT subject, unnest(r.l) AS id FROM k""",
 )
-def admission_concurrency(spark, folder):
-    """Each day's events alone, as the SQL says."""
-    return lifecycle.concurrency(src.assertions(spark, folder), 1800, 8, restart=True)
+def dedup_override(spark, folder):
+    """Admitted events of each subject; an error takes the place of a standing claim that is none."""
+    log = src.assertions(spark, folder).select("id", "subject", "rel_type", "ts")
+    return lifecycle.dedup_window(log, ["subject"], 12 * 3600, F.col("rel_type") == "error").select("subject", "id")
+
+
+@register(
+    "daily_budget",
+    f"""{LOG}, k AS (SELECT subject, list_reduce(list({{'t': ts, 'u': CASE WHEN true THEN 1 ELSE 0 END, 'f': rel_type = 'error', 'o': [{{'id': id, 'g': true, 'u': 1}}]}} ORDER BY ts, id),
+            lambda a, x: CASE WHEN x.t >= a.t + INTERVAL 24 HOUR THEN {{'t': x.t, 'u': 1, 'f': x.f, 'o': list_concat(a.o, x.o)}}
+                WHEN x.f OR a.u + 1 <= 3 THEN {{'t': a.t, 'u': a.u + 1, 'f': x.f, 'o': list_concat(a.o, [{{'id': x.o[1].id, 'g': true, 'u': a.u + 1}}])}}
+                ELSE {{'t': a.t, 'u': a.u, 'f': x.f, 'o': list_concat(a.o, [{{'id': x.o[1].id, 'g': false, 'u': a.u}}])}} END) AS r FROM assertions GROUP BY ALL),
+        o AS (SELECT subject, unnest(r.o) AS o FROM k)
+    SELECT subject, o.id AS id, o.g AS granted, CAST(o.u AS BIGINT) AS used, CAST(CASE WHEN o.g THEN greatest(3 - o.u, 0) ELSE 0 END AS BIGINT) AS remaining FROM o""",
+)
+def daily_budget(spark, folder):
+    """Three events a day and subject; errors are forced."""
+    return lifecycle.daily_budget(src.assertions(spark, folder), "subject", 3, 24 * 3600, F.col("rel_type") == "error")
+
+
+@register(
+    "circuit_breaker",
+    f"""{LOG}, k AS (SELECT subject, list_reduce(list({{'t': ts, 'n': CASE WHEN rel_type IN ('error', 'view') THEN 1 ELSE 0 END, 'o': [{{'id': id, 'p': true, 'n': CASE WHEN rel_type IN ('error', 'view') THEN 1 ELSE 0 END}}]}} ORDER BY ts, id),
+            lambda a, x: CASE WHEN a.n >= 3 AND x.t - a.t < INTERVAL 36 HOUR THEN {{'t': a.t, 'n': a.n, 'o': list_concat(a.o, [{{'id': x.o[1].id, 'p': false, 'n': a.n}}])}}
+                WHEN x.n = 1 THEN {{'t': x.t, 'n': a.n + 1, 'o': list_concat(a.o, [{{'id': x.o[1].id, 'p': true, 'n': a.n + 1}}])}}
+                ELSE {{'t': x.t, 'n': 0, 'o': list_concat(a.o, x.o)}} END) AS r FROM assertions GROUP BY ALL),
+        o AS (SELECT subject, unnest(r.o) AS o FROM k)
+    SELECT subject, o.id AS id, o.p AS passed, CAST(o.n AS BIGINT) AS failures FROM o""",
+)
+def circuit_breaker(spark, folder):
+    """Errors and views count as failures; three shut the breaker for 36 hours after the last."""
+    return lifecycle.circuit_breaker(src.assertions(spark, folder), "subject", F.col("rel_type").isin("error", "view"), 3, 36 * 3600)
+
+
+@register("stale_heartbeats", f"{LOG} SELECT subject, max(ts) AS last_seen FROM assertions GROUP BY 1 HAVING max(ts) < TIMESTAMP '2024-01-30 00:00:00' - INTERVAL 5 MINUTE")
+def stale_heartbeats(spark, folder):
+    return lifecycle.stale(src.assertions(spark, folder), "subject", "2024-01-30 00:00:00", 300)
 
 
 @register(
-    "admission_concurrency_continuous",
+    "admission_concurrency",
     f"""{LOG}, m AS (SELECT CAST(ts AS DATE) AS day, id, ts AS moment, 1 AS step FROM assertions UNION ALL SELECT CAST(ts AS DATE), id, ts + INTERVAL 30 MINUTE, -1 FROM assertions),
         r AS (SELECT *, sum(step) OVER (ORDER BY moment, step, id ROWS UNBOUNDED PRECEDING) AS busy FROM m)
     SELECT day, CAST(max(busy) AS BIGINT) AS peak, CAST(sum(CAST(busy > 8 AS INT)) AS BIGINT) AS shed FROM r WHERE step = 1 GROUP BY day""",
 )
-def admission_concurrency_continuous(spark, folder):
+def admission_concurrency(spark, folder):
     """One running sum over all time: work that runs over midnight counts on the next day."""
     return lifecycle.concurrency(src.assertions(spark, folder), 1800, 8)
 
 
-@register("token_bucket_replay")
+QUERIES["admission_concurrency_continuous"], ORACLES["admission_concurrency_continuous"] = QUERIES["admission_concurrency"], ORACLES["admission_concurrency"]
+
+
+@register(
+    "token_bucket_replay",
+    f"""{LOG}, k AS (SELECT subject, list_reduce(list({{'t': epoch_us(ts), 'b': 14400000000, 'o': [{{'id': id, 'b': 14400000000}}]}} ORDER BY ts, id), lambda a, x: {{
+            't': x.t, 'b': least(21600000000, a.b + x.t - a.t) - 7200000000, 'o': list_concat(a.o, [{{'id': x.o[1].id, 'b': least(21600000000, a.b + x.t - a.t) - 7200000000}}])}}) AS r FROM assertions GROUP BY ALL),
+        o AS (SELECT subject, unnest(r.o) AS o FROM k)
+    SELECT o.id AS id, subject, round(greatest(o.b, 0) / 7200000000.0::DOUBLE, 6) AS "left", round(greatest(-o.b, 0) / 1000000.0::DOUBLE, 6) AS wait FROM o""",
+)
 def token_bucket_replay(spark, folder):
-    """A sequential replay; tests compare with a plain loop."""
+    """Tokens left and waits; a token takes two hours, so the balance is kept in microseconds of refill."""
     return lifecycle.token_bucket(src.assertions(spark, folder), "subject", 1 / 7200, 3.0)
 
 

@@ -78,7 +78,45 @@ def test_token_bucket(spark):
     rows = [(i, "a", dt.datetime(2024, 1, 1, 0, 0, s)) for i, s in enumerate([0, 0, 0, 1, 5])]
     log = spark.createDataFrame(rows, "id long, k string, ts timestamp_ntz")
     got = [(r.left, r.wait) for r in lifecycle.token_bucket(log, "k", 1.0, 2.0).orderBy("id").collect()]
-    assert got == [(1.0, 0.0), (0.0, 0.0), (0.0, 1.0), (0.0, 0.0), (1.0, 0.0)]
+    # The fourth call comes while the third still waits for the token of its second, so it waits for the next.
+    assert got == [(1.0, 0.0), (0.0, 0.0), (0.0, 1.0), (0.0, 1.0), (1.0, 0.0)]
+
+
+def test_token_bucket_never_overspends(spark):
+    """One call a second: six calls within the first second are served one second apart."""
+    at = [0, 0.1, 0.2, 0.3, 0.4, 1.0]
+    rows = [(i, "a", dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)) for i, s in enumerate(at)]
+    got = [r.wait for r in lifecycle.token_bucket(spark.createDataFrame(rows, "id long, k string, ts timestamp_ntz"), "k", 1.0, 1.0).orderBy("id").collect()]
+    assert got == pytest.approx([0.0, 0.9, 1.8, 2.7, 3.6, 4.0])
+
+
+def test_claims_stand_for_the_window(spark):
+    """Six events 200 s apart and a window of 300 s: every second one is admitted; a correction takes a plain claim's place."""
+    rows = [(i, "a", "c" if i == 3 else "s", dt.datetime(2024, 1, 1) + dt.timedelta(seconds=200 * i)) for i in range(6)]
+    log = spark.createDataFrame(rows, "id long, k string, intent string, ts timestamp_ntz")
+    ids = lambda df: sorted(r.id for r in df.collect())
+    assert ids(lifecycle.dedup_window(log, ["k"], 300)) == [0, 2, 4]
+    assert ids(lifecycle.dedup_window(log, ["k"], 300, F.col("intent") == "c")) == [0, 2, 3, 5]
+
+
+def test_hits_follow_their_days(spark):
+    """Idle days end a triple before the next sighting creates it anew."""
+    day = lambda n: dt.datetime(2024, 1, 1) + dt.timedelta(days=n)
+    cases = {"anew": [0, 95, 96], "gone": [0], "done": [0, 1, 2], "once": [0, 31]}
+    rows = [(i, "u", "r", name, day(n)) for name, days in cases.items() for i, n in enumerate(days)]
+    log = spark.createDataFrame(rows, "id long, subject string, rel_type string, object string, ts timestamp_ntz")
+    got = {r.object: (r.hits, r.outcome) for r in lifecycle.hits(log, "2024-04-06").collect()}
+    assert got == {"anew": (2, "keep"), "gone": (0, "drop"), "done": (3, "promote"), "once": (0, "drop")}
+
+
+def test_breaker_and_budget(spark):
+    at = lambda s: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
+    calls = [(0, True), (1, True), (2, True), (3, False), (61, True), (62, True), (63, False), (122, False), (123, True)]
+    log = spark.createDataFrame([(i, "e", bad, at(s)) for i, (s, bad) in enumerate(calls)], "id long, k string, bad boolean, ts timestamp_ntz")
+    got = [(r.passed, r.failures) for r in lifecycle.circuit_breaker(log, "k", F.col("bad")).orderBy("id").collect()]
+    assert got == [(True, 1), (True, 2), (True, 3), (False, 3), (False, 3), (True, 4), (False, 4), (True, 0), (True, 1)]
+    spent = [(r.granted, r.used) for r in lifecycle.daily_budget(log, "k", 2, 60, F.col("id") == 3).orderBy("id").collect()]
+    assert spent == [(True, 1), (True, 2), (False, 2), (True, 3), (True, 1), (True, 2), (False, 2), (True, 1), (True, 2)]
 
 
 def test_shape_and_keys(spark):
