@@ -1,7 +1,8 @@
 """Walks and lookups over typed edges.
 
-Walks join the frontier with the edges once per level, up to a fixed depth; the
-edges are hashed on the same key each time, so levels reuse their exchange.
+Walks join the frontier with the edges once per level, up to a fixed depth.
+Edges and every level are tables of the scratch folder, so that no level's plan
+repeats those before it, and a level holds each pair of start and node once.
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factloom.scratch import staged
+
 MAX_DEPTH = 4
 
 
@@ -18,9 +21,11 @@ def walk_up(edges: DataFrame, starts: DataFrame, depth: int = MAX_DEPTH) -> Data
     """(start, node, depth): all ancestors of each start, the start itself at depth 0."""
     level = starts.select(F.col("entity_id").alias("start"), F.col("entity_id").alias("node"), F.lit(0).alias("depth"))
     levels = [level]
-    steps = edges.select(F.col("subject").alias("node"), F.col("object").alias("above"))
+    steps = staged(edges.select(F.col("subject").alias("node"), F.col("object").alias("above")), "walk-edges")
     for d in range(1, depth + 1):
-        level = level.join(steps, "node").select("start", F.col("above").alias("node"), F.lit(d).alias("depth"))
+        level = staged(level.join(steps, "node").select("start", F.col("above").alias("node"), F.lit(d).alias("depth")).distinct(), "walk-level")
+        if level.isEmpty():
+            break
         levels.append(level)
     return reduce(DataFrame.unionByName, levels)
 

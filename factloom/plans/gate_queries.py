@@ -6,22 +6,27 @@ from pyspark.sql import functions as F
 
 from factloom.operators import gate, ranking
 from factloom.plans.registry import register
+from factloom.scratch import staged
 from factloom.sources import driver_tables as src
 
 PLAIN = f"""{src.HIERARCHY}, {src.RELATIONS}, {src.ENTITY_TYPES}, {src.REL_TYPES}, {src.ASSERTIONS}, edges AS (
-    SELECT subject || '|' || rel_type || '|' || object AS id, subject, rel_type, object, CAST(length(subject) % 5 AS DOUBLE) / 4 AS confidence,
-        CASE WHEN length(object) % 2 = 0 THEN 'user_stated' ELSE 'llm_inferred' END AS provenance
+    SELECT subject || '|' || rel_type || '|' || object AS id, subject, rel_type, object, [0.0, 0.5, 0.92, 0.96, 1.0][length(subject) % 5 + 1] AS confidence,
+        CASE WHEN length(object) % 2 = 0 THEN 'user_stated' ELSE 'llm_inferred' END AS provenance, length(object) % 7 = 0 AS is_correction
     FROM (SELECT * FROM hierarchy UNION ALL SELECT * FROM relations UNION ALL SELECT subject, rel_type, object FROM assertions)
 )"""
-TYPED = f"""{PLAIN}, known AS (SELECT * FROM entity_types WHERE entity_type <> 'unknown'),
-    typed AS (SELECT e.*, r.head_types, r.tail_types, r.is_hierarchy_rel, h.entity_type AS head, t.entity_type AS tail FROM edges e LEFT JOIN rel_types r USING (rel_type)
-        LEFT JOIN known h ON h.entity_id = e.subject LEFT JOIN known t ON t.entity_id = e.object),
+TYPED = f"""{PLAIN}, known AS (SELECT * FROM entity_types WHERE lower(entity_type) <> 'unknown'),
+    up(start, node, depth) AS (SELECT entity_id, entity_id, 0 FROM entity_types UNION ALL SELECT up.start, h.object, up.depth + 1 FROM up JOIN hierarchy h ON h.subject = up.node WHERE up.depth < 4),
+    near AS (SELECT start, arg_min(entity_type, (depth, node)) AS kind FROM up JOIN known ON entity_id = node GROUP BY start),
+    typed AS (SELECT e.*, r.head_types, r.tail_types, h.entity_type AS head0, t.entity_type AS tail0, coalesce(h.entity_type, hw.kind) AS head, coalesce(t.entity_type, tw.kind) AS tail
+        FROM edges e LEFT JOIN rel_types r USING (rel_type) LEFT JOIN known h ON h.entity_id = e.subject LEFT JOIN known t ON t.entity_id = e.object LEFT JOIN near hw ON hw.start = e.subject LEFT JOIN near tw ON tw.start = e.object),
+    fits AS (SELECT *, head_types IS NULL OR head_types = ['ANY'] AS any_head, tail_types IS NULL OR tail_types = ['ANY'] AS any_tail,
+        list_contains(list_transform(head_types, lambda x: lower(x)), lower(head)) OR list_contains(head_types, 'ANY') AS head_in, list_contains(list_transform(tail_types, lambda x: lower(x)), lower(tail)) OR list_contains(tail_types, 'ANY') AS tail_in FROM typed),
     reasoned AS (SELECT *, CASE
-        WHEN head_types IS NULL OR (list_contains(head_types, 'ANY') AND list_contains(tail_types, 'ANY')) THEN 'unconstrained'
-        WHEN list_contains(tail_types, 'SCALAR') THEN CASE WHEN head IS NULL THEN 'type_unknown' WHEN list_contains(head_types, head) OR list_contains(head_types, 'ANY') THEN 'valid' ELSE 'type_mismatch' END
-        WHEN head IS NULL OR tail IS NULL THEN 'type_unknown'
-        WHEN (list_contains(head_types, head) OR list_contains(head_types, 'ANY')) AND (list_contains(tail_types, tail) OR list_contains(tail_types, 'ANY')) THEN 'valid'
-        WHEN is_hierarchy_rel THEN 'hierarchy_type_mismatch' ELSE 'type_mismatch' END AS reason FROM typed)"""
+        WHEN any_head AND any_tail THEN 'unconstrained'
+        WHEN tail_types = ['SCALAR'] THEN CASE WHEN any_head OR head_in THEN 'valid' WHEN head IS NULL THEN 'type_unknown' ELSE 'type_mismatch' END
+        WHEN head IS NULL THEN 'type_unknown' WHEN head0 IS NULL AND NOT (any_head OR head_in) THEN 'hierarchy_type_mismatch'
+        WHEN tail IS NULL THEN 'type_unknown' WHEN tail0 IS NULL AND NOT (any_tail OR tail_in) THEN 'hierarchy_type_mismatch'
+        WHEN (any_head OR head_in) AND (any_tail OR tail_in) THEN 'valid' ELSE 'type_mismatch' END AS reason FROM fits)"""
 
 
 def edges(spark, folder):
@@ -30,30 +35,44 @@ def edges(spark, folder):
     return every.select(
         F.concat_ws("|", *triples).alias("id"),
         *triples,
-        ((F.length("subject") % 5).cast("double") / 4).alias("confidence"),
+        F.get(F.array(*[F.lit(c) for c in (0.0, 0.5, 0.92, 0.96, 1.0)]), F.length("subject") % 5).alias("confidence"),
         F.when(F.length("object") % 2 == 0, F.lit("user_stated")).otherwise(F.lit("llm_inferred")).alias("provenance"),
+        (F.length("object") % 7 == 0).alias("is_correction"),
     )
 
 
-@register("type_constraint_check", f"WITH {TYPED} SELECT subject, rel_type, object, reason FROM reasoned")
+def typed(spark, folder):
+    return gate.typed(staged(edges(spark, folder), "gate-edges"), src.entity_types(spark, folder), src.rel_types(spark), src.hierarchy(spark, folder))
+
+
+@register("type_constraint_check", f"WITH RECURSIVE {TYPED} SELECT subject, rel_type, object, reason FROM reasoned")
 def type_constraint_check(spark, folder):
-    typed = gate.typed(edges(spark, folder), src.entity_types(spark, folder), src.rel_types(spark))
-    return typed.select("subject", "rel_type", "object", gate.type_reason().alias("reason"))
+    return typed(spark, folder).select("subject", "rel_type", "object", gate.type_reason().alias("reason"))
+
+
+@register(
+    "infer_entity_types",
+    f"""WITH RECURSIVE {TYPED}, i AS (SELECT subject AS entity_id, head_types[1] AS entity_type FROM typed WHERE head IS NULL AND head_types[1] NOT IN ('ANY', 'SCALAR')
+        UNION ALL SELECT object, tail_types[1] FROM typed WHERE tail IS NULL AND tail_types[1] NOT IN ('ANY', 'SCALAR')) SELECT entity_id, min(entity_type) AS entity_type FROM i GROUP BY 1""",
+)
+def infer_entity_types(spark, folder):
+    """Types for ends that have none, stored or inherited: the first that their relation allows."""
+    return gate.inferred_types(typed(spark, folder))
 
 
 @register(
     "gate_status_pipeline",
-    f"""WITH {TYPED}, o AS (SELECT subject, rel_type, count(DISTINCT object) AS objects FROM edges GROUP BY ALL),
+    f"""WITH RECURSIVE {TYPED}, o AS (SELECT subject, rel_type, count(DISTINCT object) AS objects FROM edges GROUP BY ALL),
         s AS (SELECT r.*, CASE WHEN head_types IS NULL AND confidence < 0.9 THEN 'novel_unapproved'
-            WHEN confidence >= 0.95 AND reason = 'hierarchy_type_mismatch' AND provenance <> 'user_stated' THEN 'valid_staged'
-            WHEN confidence >= 0.95 THEN 'valid' WHEN reason = 'type_mismatch' THEN 'type_mismatch'
-            WHEN reason = 'hierarchy_type_mismatch' THEN CASE WHEN provenance = 'user_stated' THEN 'valid' ELSE 'hierarchy_flagged' END
+            WHEN confidence >= 0.95 AND reason IN ('type_mismatch', 'hierarchy_type_mismatch') AND provenance <> 'user_stated' AND NOT is_correction THEN 'valid_staged'
+            WHEN confidence >= 0.95 OR (is_correction AND confidence >= 0.9) THEN 'valid' WHEN reason = 'type_mismatch' THEN 'type_mismatch'
+            WHEN reason = 'hierarchy_type_mismatch' THEN CASE WHEN provenance = 'user_stated' OR is_correction THEN 'valid' ELSE 'hierarchy_flagged' END
             WHEN objects > 1 THEN 'conflict' ELSE 'valid' END AS status FROM reasoned r JOIN o USING (subject, rel_type))
     SELECT id, subject, rel_type, object, reason, status,
         CASE WHEN status = 'valid_staged' THEN 'C' WHEN provenance = 'user_stated' THEN 'A' WHEN confidence >= 0.6 THEN 'B' ELSE 'C' END AS fact_class FROM s""",
 )
 def gate_status_pipeline(spark, folder):
-    return gate.gate(edges(spark, folder), src.entity_types(spark, folder), src.rel_types(spark))
+    return gate.gate(staged(edges(spark, folder), "gate-edges"), src.entity_types(spark, folder), src.rel_types(spark), src.hierarchy(spark, folder))
 
 
 @register("cross_type_guard", f"WITH {src.REL_TYPES} SELECT rel_type, len(list_filter(head_types, lambda x: x NOT IN ('ANY', 'SCALAR'))) > 0 AND len(list_filter(tail_types, lambda x: x NOT IN ('ANY', 'SCALAR'))) > 0 AND NOT list_has_any(list_filter(head_types, lambda x: x NOT IN ('ANY', 'SCALAR')), list_filter(tail_types, lambda x: x NOT IN ('ANY', 'SCALAR'))) AS cross_type FROM rel_types")
