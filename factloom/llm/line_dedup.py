@@ -16,7 +16,9 @@ earlier similar class is enough to settle a class.  Two steps find it:
    The best of these is compared on full sets.  This settles the members of a
    group of near copies in linear work.
 2. The classes that are still open look among all earlier ones, settled or not,
-   by the whole prefix with the same filters.  Full sets decide again.
+   by the whole prefix with the same filters.  Full sets decide again, on the
+   best candidate of each class first, then on all those of the classes that
+   this leaves open.
 
 Full sets are read again from the texts, for the lines of candidates only.  Only
 DataFrame functions are used; the rarity table has BUCKETS entries at any size
@@ -39,7 +41,7 @@ from pyspark.sql import functions as F
 from factloom.llm.quality import _let
 from factloom.scratch import staged
 
-BUCKETS, LEADING = 1 << 18, 3
+BUCKETS, LEADING = 1 << 18, 5
 HASH_BITS = 57  # of a word's 64; its rarity, at most 63, goes before them
 SPACES = r"[\x20\x09-\x0D]+"
 PLACE = ["doc_id", "text_key", "line_no"]
@@ -103,20 +105,29 @@ def _filters(num: int, den: int) -> str:
     )
 
 
-def _similar(docs: DataFrame, levels: DataFrame, classes: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
-    """The cid of every pair (cid, other) whose full sets have the similarity."""
+def _sets(docs: DataFrame, levels: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """cid and items of every class in pairs (cid, other), from the text of its first line."""
     wanted = pairs.select("cid").union(pairs.select("other")).distinct()
     places = classes.select("cid", *PLACE).join(wanted, "cid").groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("line_no", "cid")).alias("at"))
-    places = staged(places, "lines-places").alias("p")
+    places = staged(places, "lines-places").hint("shuffle_hash").alias("p")  # the small side; whole texts need no sort
     rows = _texts(docs).alias("d").join(places, F.expr("d.doc_id <=> p.doc_id and d.text_key = p.text_key"))
     picked = _let(F.split("d.text", "\n"), lambda ls: F.transform(F.col("p.at"), lambda x: F.struct(x["cid"].alias("cid"), F.get(ls, x["line_no"]).alias("line"))))
     found = _ranked(rows.select(F.inline(picked)), levels, ["cid"])
-    sets = staged(found.groupBy("cid").agg(F.max("items").alias("items")), "lines-sets")
+    return staged(found.groupBy("cid").agg(F.max("items").alias("items")), "lines-sets")
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The cid of every pair (cid, other) whose full sets have the similarity."""
     both = pairs.join(sets, "cid").join(sets.select(F.col("cid").alias("other"), F.col("items").alias("others")), "other")
     common = both.select("cid", F.size("items").alias("n"), F.size("others").alias("m"), F.size(F.array_intersect("items", "others")).alias("c"))
     return staged(common.where(f"{den} * c >= {num} * (n + m - c)").select("cid").distinct(), "lines-settled")
 
 
+def _best(pairs: DataFrame) -> DataFrame:
+    """The pair of each cid whose bitmaps differ least."""
+    return pairs.groupBy("cid").agg(F.min(F.struct("apart", "other")).alias("x")).select("cid", "x.other")
+
+
 def _survivors(docs: DataFrame, num: int, den: int) -> DataFrame:
     """The place of every line that stays and has words."""
     levels = _rarity(docs)
@@ -127,8 +138,8 @@ def _survivors(docs: DataFrame, num: int, den: int) -> DataFrame:
     heads = leading.groupBy("h").agg(F.min(F.struct("cid", "n", "pos", "low", "high")).alias("x")).select("h", "x.*")
     apart = F.expr("bit_count(a.low ^ b.low) + bit_count(a.high ^ b.high)")
     met = leading.alias("b").join(heads.alias("a"), F.expr(f"a.h = b.h and a.cid < b.cid and {_filters(num, den)}"))
-    best = met.select(F.col("b.cid").alias("cid"), F.struct(apart.alias("apart"), F.col("a.cid").alias("other")).alias("x")).groupBy("cid").agg(F.min("x").alias("x"))
-    settled = _similar(docs, levels, classes, staged(best.select("cid", "x.other"), "lines-pairs"), num, den)
+    pairs = staged(_best(met.select(F.col("b.cid").alias("cid"), apart.alias("apart"), F.col("a.cid").alias("other"))), "lines-pairs")
+    settled = _similar(pairs, _sets(docs, levels, classes, pairs), num, den)
 
     # A settled class looks for nothing: its id is written as -1 - cid.
     marked = many.join(settled.withColumn("done", F.lit(True)), "cid", "left")
@@ -136,9 +147,14 @@ def _survivors(docs: DataFrame, num: int, den: int) -> DataFrame:
     postings = marked.select(who.alias("id"), "n", "low", "high", F.posexplode("prefix").alias("pos", "h"))
     a, b = postings.alias("a"), postings.alias("b")
     earlier = "a.h = b.h and greatest(a.id, -1 - a.id) < b.id"
-    pairs = a.join(b, F.expr(f"{earlier} and {_filters(num, den)}")).select(F.col("b.id").alias("cid"), F.expr("greatest(a.id, -1 - a.id)").alias("other")).distinct()
-    late = _similar(docs, levels, classes, staged(pairs, "lines-pairs"), num, den)
-    return classes.select("cid", *PLACE).join(settled.union(late), "cid", "left_anti").drop("cid")
+    met = a.join(b, F.expr(f"{earlier} and {_filters(num, den)}")).select(F.col("b.id").alias("cid"), F.expr("greatest(a.id, -1 - a.id)").alias("other"), apart.alias("apart"))
+    pairs = staged(met.distinct(), "lines-pairs")
+    sets = _sets(docs, levels, classes, pairs)
+    first = staged(_best(pairs), "lines-best")
+    likely = _similar(first, sets, num, den)
+    rest = pairs.join(likely, "cid", "left_anti").join(first, ["cid", "other"], "left_anti")
+    late = _similar(rest.select("cid", "other"), sets, num, den)
+    return classes.select("cid", *PLACE).join(settled.union(likely).union(late), "cid", "left_anti").drop("cid")
 
 
 def similar_lines(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
