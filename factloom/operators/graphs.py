@@ -113,3 +113,12 @@ def canonical_ladder(edges: DataFrame, known: DataFrame, aliases: DataFrame) ->
         F.when(turned, F.col("subject")).otherwise(F.col("object")).alias("object"),
         F.when(F.col("exact"), F.lit("exact")).when(F.col("canonical").isNotNull(), F.lit("alias")).otherwise(F.lit("none")).alias("rung"),
     )
+
+
+def nested_members(edges: DataFrame, severed: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:
+    """(root, member, depth): all members below each family (family, member), without severed edges and what hangs on them."""
+    kept = edges.join(severed, ["family", "member"], "left_anti")
+    turned = kept.select(F.col("family").alias("subject"), F.col("member").alias("object"))
+    roots = kept.select(F.col("family").alias("entity_id")).distinct()
+    walked = walk_up(turned, roots, depth).where("depth > 0")
+    return walked.groupBy(F.col("start").alias("root"), F.col("node").alias("member")).agg(F.min("depth").alias("depth"))
