@@ -87,9 +87,16 @@ def first_after(facts: DataFrame, anchors: DataFrame, key: str) -> DataFrame:
 
 
 def as_of(history: DataFrame, times: DataFrame, key: list[str]) -> DataFrame:
-    """The value of each key at each of its times: that of the latest row not after it."""
-    joined = times.join(history, key).where("recorded_at <= at")
-    return joined.groupBy(*key, "at").agg(F.max_by("value", F.struct("recorded_at", "id")).alias("value"))
+    """The value of each key at each of its times: that of the latest row not after it.
+
+    History and times are sorted together once, and each time takes the last value before it, so no time meets all rows
+    of its key.
+    """
+    marks = history.select(*key, F.col("recorded_at").alias("moment"), F.lit(0).alias("kind"), "id", F.struct("value").alias("held"))
+    asked = times.select(*key, F.col("at").alias("moment"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("id"), F.lit(None).cast(marks.schema["held"].dataType).alias("held"))
+    order = Window.partitionBy(*key).orderBy("moment", "kind", "id").rowsBetween(Window.unboundedPreceding, 0)
+    last = F.last("held", ignorenulls=True).over(order)
+    return marks.unionByName(asked).withColumn("last", last).where("kind = 1 and last is not null").select(*key, F.col("moment").alias("at"), "last.value")
 
 
 def validity(history: DataFrame, key: list[str]) -> DataFrame:

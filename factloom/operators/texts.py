@@ -7,14 +7,23 @@ from pyspark.sql import functions as F
 
 MAX_CHARS, MIN_SENTENCES, MAX_SENTENCES, MAX_CHUNKS = 1200, 2, 6, 200
 
-#: What each kind of scalar looks like.
+#: What each kind of scalar looks like, and what a text must contain to hold one.
+OCTET = "(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])"
 SCALARS = {
-    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
-    "ipv4": r"\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b",
+    "email": r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b",
+    "cidr": r"\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}/[0-9]{1,2}\b",
+    "ipv4": rf"\b(?:{OCTET}\.){{3}}{OCTET}\b",
+    "ipv6": r"\b(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}\b",
+    "ipv6_short": r"\b(?:[0-9a-fA-F]{1,4}:){1,7}:(?:[0-9a-fA-F]{1,4}:){0,6}[0-9a-fA-F]{1,4}\b",
     "url": r"https?://[^\s]+",
-    "mac": r"\b(?:[0-9A-Fa-f]{2}:){5}[0-9A-Fa-f]{2}\b",
+    "mac": r"\b[0-9a-fA-F]{2}(?:(?::[0-9a-fA-F]{2}){5}|(?:-[0-9a-fA-F]{2}){5})\b",
+    "phone": r"\+[0-9]{1,3}[ -]?\(?[0-9]{1,4}\)?[ -]?[0-9]{3,4}[ -]?[0-9]{3,4}\b",
+    "port": r"\bport +[1-9][0-9]{0,4}\b",
+    "fqdn": r"\b(?:[a-zA-Z0-9](?:[a-zA-Z0-9-]{0,61}[a-zA-Z0-9])?\.){2,}[a-zA-Z]{2,}\b",
+    "date": r"\b[0-9]{4}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])\b",
     "uuid": r"\b[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}\b",
 }
+MARKS = {"email": "@", "cidr": "/", "ipv4": ".", "ipv6": ":", "ipv6_short": "::", "url": "://", "phone": "+", "port": "port ", "fqdn": ".", "date": "-", "uuid": "-"}
 
 
 def sentences(text: Column) -> Column:
@@ -25,7 +34,14 @@ def sentences(text: Column) -> Column:
 
 def scalars(docs: DataFrame, kinds: dict[str, str] = SCALARS) -> DataFrame:
     """(doc_id, kind, value, n): every scalar value of every text."""
-    one = lambda kind, pattern: F.transform(F.regexp_extract_all("text", F.lit(pattern), F.lit(0)), lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
+    none = F.expr("cast(array() as array<string>)")
+
+    def one(kind: str, pattern: str) -> Column:
+        values = F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
+        if kind in MARKS:  # no pattern runs over a text that cannot match
+            values = F.when(F.contains(F.col("text"), F.lit(MARKS[kind])), values).otherwise(none)
+        return F.transform(values, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
+
     found = F.flatten(F.array(*[one(kind, pattern) for kind, pattern in kinds.items()]))
     return docs.select("doc_id", F.inline(found)).groupBy("doc_id", "kind", "value").agg(F.count("*").alias("n"))
 

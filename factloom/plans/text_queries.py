@@ -65,9 +65,12 @@ def ordered_dedup(spark, folder):
     return src.table(spark, folder, "benchmark").select("item_id", F.array_join(texts.ordered_distinct(F.split("text", " ")), " ").alias("words"))
 
 
-@register("uuid5_surrogate")
+@register(
+    "uuid5_surrogate",
+    """WITH h AS (SELECT c_custkey, sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || encode(lower(trim(c_name)))) AS h FROM customer)
+    SELECT c_custkey, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab89ab89ab89ab', strpos('0123456789abcdef', substr(h, 17, 1)), 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS entity_id FROM h""",
+)
 def uuid5_surrogate(spark, folder):
-    """DuckDB has no function for version 5 UUIDs; tests compare with Python's."""
     name = F.lower(F.trim("c_name"))
     return src.table(spark, folder, "customer").select("c_custkey", texts.uuid5("6ba7b810-9dad-11d1-80b4-00c04fd430c8", name).alias("entity_id"))
 
@@ -84,7 +87,14 @@ def normalize_relation(spark, folder):
     return src.table(spark, folder, "part").select("p_partkey", F.replace(named, F.lit("_"), F.lit(" ")).alias("words"), named.alias("relation"))
 
 
-@register("synonym_key")
+FLAT = "regexp_replace(regexp_replace(regexp_replace(lower('The ' || p_name), '[-_]+', ' ', 'g'), '''s\\b', '', 'g'), '[^a-z0-9 ]', '', 'g')"
+
+
+@register(
+    "synonym_key",
+    f"""WITH w AS (SELECT p_partkey, list_filter(regexp_split_to_array({FLAT}, '\\s+'), lambda w: w <> '') AS ws FROM part)
+    SELECT p_partkey, array_to_string(CASE WHEN len(ws) > 1 AND list_contains({texts.ARTICLES}, ws[1]) THEN ws[2:] ELSE ws END, ' ') AS key FROM w""",
+)
 def synonym_key(spark, folder):
     return src.table(spark, folder, "part").select("p_partkey", texts.synonym_key(F.concat(F.lit("The "), "p_name")).alias("key"))
 
