@@ -62,3 +62,53 @@ def recall(facts: DataFrame, key: str, most: int | None = None, date: str | None
     titled = lambda title, text: F.concat(F.lit(title + "\n"), text)
     block = F.concat_ws("\n", titled("In order:", events), dashed(1), titled("Perhaps:", dashed(2)))
     return best.groupBy(key).agg(lines.alias("lines")).select(key, F.coalesce(F.nullif(block, F.lit("")), F.lit(EMPTY)).alias("block"))
+
+
+#: What a third-person sentence says wrongly of "you".
+AGREEMENT = [(r"\byou's\b", "your"), (r"\byou is\b", "you are"), (r"\byou has\b", "you have"), (r"\byou was\b", "you were"), (r"\byou does\b", "you do")]
+HIERARCHY = ["instance_of", "subclass_of"]
+
+
+def agreed(text: Column) -> Column:
+    """The sentence with the few verbs set right that follow "you"; others are not touched."""
+    for wrong, right in AGREEMENT:
+        text = F.regexp_replace(text, wrong, right)
+    return text
+
+
+def template_verb(template: Column) -> Column:
+    """The word after a template's subject (X, You or {x}); null without one."""
+    return F.nullif(F.lower(F.regexp_extract(template, r"^(?:[Xx]|[Yy]ou|\{x\})\s+([A-Za-z]+)\b", 1)), F.lit(""))
+
+
+def titled(text: Column, names: Column) -> Column:
+    """The sentence with the names of its slots capitalised as whole words, the longest first; "you" stays."""
+    longest = F.reverse(F.array_sort(F.transform(F.filter(names, lambda n: (n != "") & (F.lower(n) != "you")), lambda n: F.struct(F.length(n).alias("size"), n.alias("name")))))
+    whole = lambda n: F.concat(F.lit(r"\b\Q"), n, F.lit(r"\E\b"))
+    one = lambda acc, n: F.call_function("regexp_replace", acc, whole(n["name"]), F.initcap(n["name"]))
+    return F.aggregate(longest, text, one)
+
+
+def object_clause(rel: Column, subject: Column, obj: Column, kind: Column, is_you: Column, verb: Column, is_id: Column, scalar: Column) -> Column:
+    """A clause by the shape of its object: a named instance of a kind, a bare type, a value, else null for the template.
+
+    A named instance needs an entity whose kind is known and is not its name
+    (``has a dog named rex``); a type gets its article; a value follows the verb.
+    """
+    held = F.coalesce(verb, F.lit("has"))
+    of_kind = F.when(is_id & kind.isNotNull() & (F.lower(kind) != F.lower(obj)), F.concat_ws(" ", subject, held, article(kind), kind, F.lit("named"), obj))
+    bare = F.when(rel.isin(HIERARCHY), F.concat_ws(" ", subject, F.when(is_you, F.lit("are")).otherwise(F.lit("is")), article(obj), obj))
+    value = F.when(scalar, F.concat_ws(" ", F.when(is_you, F.lit("your")).otherwise(F.concat(subject, F.lit("'s"))), F.replace(rel, F.lit("_"), F.lit(" ")), F.lit("is"), obj))
+    return F.coalesce(bare, value, of_kind)
+
+
+def inverse_pairs(rendered: DataFrame, inverses: DataFrame) -> DataFrame:
+    """One of two sentences (id, subject, rel_type, object, is_you) that say the same from both sides: the one about the user, else the first.
+
+    ``inverses`` (rel_type, inverse) names relations that are each other's inverse.
+    """
+    rows = rendered.join(inverses, "rel_type", "left")
+    turned = F.col("inverse").isNotNull() & (F.col("inverse") < F.col("rel_type"))
+    pair = F.when(turned, F.struct(F.col("inverse").alias("r"), F.col("object").alias("s"), F.col("subject").alias("o"))).otherwise(F.struct(F.col("rel_type").alias("r"), F.col("subject").alias("s"), F.col("object").alias("o")))
+    best = F.min_by(F.struct(*rendered.columns), F.struct(~F.col("is_you"), "id"))
+    return rows.withColumn("pair", pair).groupBy("pair").agg(best.alias("x")).select("x.*")

@@ -6,7 +6,7 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
-from factloom.operators import folds, gate, lifecycle, rendering, temporal, texts
+from factloom.operators import dates, folds, gate, lifecycle, rendering, temporal, texts
 
 
 def one(spark, column):
@@ -198,3 +198,68 @@ def test_concurrency_over_midnight(spark):
                 peak, shed = want.get(day, (0, 0))
                 want[day] = (max(peak, busy[run]), shed + (busy[run] > 26))
         assert {r.day: (r.peak, r.shed) for r in lifecycle.concurrency(log, 1800, 26, restart).collect()} == want
+
+
+@pytest.mark.parametrize(
+    "text,want",
+    [("you's preferred name is Chris", "your preferred name is Chris"), ("you is the parent of Cyrus", "you are the parent of Cyrus"), ("you was born in Guelph", "you were born in Guelph"), ("you likes Art", "you likes Art"), ("", "")],
+)
+def test_agreement(spark, text, want):
+    assert one(spark, rendering.agreed(F.lit(text))) == want
+
+
+def test_titled(spark):
+    assert one(spark, rendering.titled(F.lit("sarah knows sarahjane"), F.array(F.lit("sarah"), F.lit("sarahjane")))) == "Sarah knows Sarahjane"
+    assert one(spark, rendering.titled(F.lit("you are tired"), F.array(F.lit("you")))) == "you are tired"
+
+
+def test_clauses(spark):
+    clause = lambda rel, obj, kind, verb, you=True: one(spark, rendering.object_clause(F.lit(rel), F.lit("you" if you else "rex"), F.lit(obj), F.lit(kind), F.lit(you), F.lit(verb), F.lit(True), F.lit(False)))
+    assert clause("has_pet", "fraggle", "dog", "have") == "you have a dog named fraggle"
+    assert clause("owns", "apollo", "server", "own") == "you own a server named apollo"
+    assert clause("has_pet", "dog", "dog", "have") is None
+    assert clause("instance_of", "dog", None, None, you=False) == "rex is a dog"
+
+
+REFERENCE = dt.date(2023, 4, 12)
+
+
+@pytest.mark.parametrize(
+    "text,status,day",
+    [
+        ("I fixed the fence three weeks ago", "past", dt.date(2023, 3, 22)),
+        ("I trimmed the hooves two weeks ago", "past", dt.date(2023, 3, 29)),
+        ("I called the vet yesterday", "past", dt.date(2023, 4, 11)),
+        ("I am moving today", "now", dt.date(2023, 4, 12)),
+        ("the appointment is tomorrow", "future", dt.date(2023, 4, 13)),
+        ("I will move in two weeks", "future", dt.date(2023, 4, 26)),
+        ("the outage was 2 days ago", "past", dt.date(2023, 4, 10)),
+        ("a couple of months ago I adopted a cat", "past", dt.date(2023, 2, 12)),
+        ("I saw him last Thursday", "past", dt.date(2023, 4, 6)),
+        ("the meeting is next Thursday", "future", dt.date(2023, 4, 13)),
+        ("a while ago I moved to Calgary", "now", None),
+        ("I changed jobs recently", "now", None),
+        ("that happened long ago", "now", None),
+        ("I will move next month", "now", None),
+        ("I will note the outage was on 2001-01-01", "past", dt.date(2001, 1, 1)),
+    ],
+)
+def test_relative_dates(spark, text, status, day):
+    row = spark.range(1).select(dates.status(F.lit(text), F.lit(REFERENCE)).alias("s"), dates.point(F.lit(text), F.lit(REFERENCE)).alias("d")).first()
+    assert (row.s, row.d) == (status, day)
+
+
+def test_named_days_and_offsets(spark):
+    at = F.lit(dt.date(2023, 5, 10))
+    day = lambda f, text: one(spark, f(F.lit(text), at))
+    assert day(dates.event_date, "Black Friday") == dt.date(2022, 11, 25)
+    assert day(dates.offset_date, "a week before Black Friday") == dt.date(2022, 11, 18)
+    assert day(dates.event_date, "fence") is None and day(dates.offset_date, "a week before the fence") is None
+    assert one(spark, dates.window(F.lit("last week"), at)["start"]) == dt.date(2023, 5, 1)
+    assert one(spark, dates.window(F.lit("last week"), at, 6)["start"]) == dt.date(2023, 4, 30)
+    for text, want in (("two weeks ago", True), ("yesterday", True), ("last thursday", True), ("2020-03-22", True), ("brown swiss", False), ("fence", False), ("", False)):
+        assert one(spark, dates.is_temporal(F.lit(text))) == want
+    point = lambda d: (F.lit(d), F.date_add(F.lit(d), 1))
+    assert one(spark, dates.gap(*point(dt.date(2023, 2, 15)), *point(dt.date(2023, 3, 1)))["exact"]) == 14
+    assert one(spark, dates.gap(*point(dt.date(2023, 3, 1)), *point(dt.date(2023, 2, 15)))["exact"]) == -14
+    assert dates.union_of(["a", "(", "b"]) == "(?:a)|(?:b)"
