@@ -12,8 +12,10 @@ DataFrame functions are used.
 
 Defined cases: null, empty and blank texts have no words and fail the base
 rules; without a target every ratio is 0 and the base rules decide alone;
-labels of other documents are ignored; an empty table gives an empty result;
-other columns are not read.
+labels of other documents are ignored; every row is judged and counts in the
+corpus, so repeated rows are judged alike, and different texts under one doc_id
+each by itself; a null doc_id has no label; an empty table gives an empty
+result; other columns are not read.
 """
 
 from __future__ import annotations

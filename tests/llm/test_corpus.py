@@ -161,6 +161,25 @@ def test_quality_keeps_good_and_drops_bad(spark, documents, sf):
     assert rows.loc[(rows["quality"] == 1) & ~rows["base_failed"], "kept"].mean() > 0.97
 
 
+def test_quality_of_labels_held_out(spark, sf):
+    """The verdict on labelled documents that the target was not learned from; about 90 teach."""
+    more = sf.replace("sf0.001", "sf0.01")  # half the labels of the smallest table are too few
+    labels = spark.read.parquet(f"{more}/labels.parquet").withColumn("learned", F.crc32(F.col("doc_id").cast("string")) % 2 == 0)
+    rows = quality.judged(spark.read.parquet(f"{more}/documents.parquet"), labels.where("quality = 1 and learned")).join(labels.where("not learned"), "doc_id").toPandas()
+    assert rows.loc[rows["quality"] == 0, "kept"].mean() < 0.1
+    assert rows.loc[(rows["quality"] == 1) & ~rows["base_failed"], "kept"].mean() > 0.85
+
+
+def test_quality_plans_give_the_same(spark, documents, sf, monkeypatch):
+    """Shuffled ids of the target, and repeats found through all places, change nothing."""
+    labels = spark.read.parquet(f"{sf}/labels.parquet").where("quality = 1")
+    some = documents.where("doc_id < 60")
+    plain = sorted(tuple(r) for r in quality.judged(some, labels).drop("key").collect())
+    monkeypatch.setattr(quality, "BROADCAST_IDS", 0)
+    monkeypatch.setattr(quality, "PLACES", 3)
+    assert sorted(tuple(r) for r in quality.judged(some, labels).drop("key").collect()) == plain
+
+
 def test_quality_odd(spark, frame, odd_rows):
     none = spark.createDataFrame([], "doc_id long")
     got = quality.judged(frame(odd_rows), none).collect()
@@ -374,6 +393,55 @@ def test_language(documents):
     assert (out["lang_pred"] == out["lang"]).mean() > 0.97
 
 
+def plain_grams(text):
+    code, before = [], False
+    for c in text.lower():
+        if c.isalpha():
+            code.append(c)
+        elif before:
+            code.append(" ")
+        before = c.isalpha()
+    flat = "".join(code)
+    return [flat[i : i + n] for n in language.ORDERS for i in range(len(flat) - n + 1)]
+
+
+def test_language_against_plain_sets(documents):
+    """The same rule with exact sets of n-grams in place of Bloom filters: they may only differ where the filters are wrong by chance."""
+    rows = [(r.doc_id, r.text or "", r.lang) for r in documents.collect()]
+    counts = defaultdict(Counter)
+    for i, text, lang in rows:
+        if lang is not None and zlib.crc32(str(i).encode()) % 5:
+            counts[lang].update(plain_grams(text))
+    shares = {lang: {g: n / sum(c.values()) for g, n in c.items()} for lang, c in counts.items()}
+    top = Counter()
+    for held in shares.values():
+        for g, x in held.items():
+            top[g] = max(top[g], x)
+    sets = {lang: {g for g, x in held.items() if x >= language.SHARE and x >= language.PART * top[g]} for lang, held in shares.items()}
+    got = {r.doc_id: r for r in language.identify(documents).collect()}
+    other = 0
+    for i, text, _ in rows:
+        grams = plain_grams(text)
+        hits = {lang: sum(g in sets[lang] for g in grams) for lang in sorted(sets)}
+        want = max(hits, key=hits.get) if any(c.isalpha() for c in text) else "und"
+        other += got[i].lang_pred != want
+        if grams and want != "und":
+            assert got[i].score == pytest.approx(hits[got[i].lang_pred] / len(grams), abs=0.05)
+    assert other <= 0.01 * len(rows)
+
+
+def test_language_of_long_texts_and_ties(frame):
+    """A text over many pieces, repeated rows, and n-grams that all languages share."""
+    rows = [(i, f"alpha beta gamma word{i}", "xx", "a") for i in range(20)] + [(i + 20, f"alpha beta gamma word{i}", "aa", "a") for i in range(20)]
+    long = "alpha beta gamma " * 60_000
+    got = language.identify(frame([*rows, (98, long, None, "a"), (98, long, None, "a"), (99, "alpha beta", None, None)])).collect()
+    by = defaultdict(set)
+    for r in got:
+        by[r.doc_id].add((r.lang_pred, round(r.score, 3)))
+    assert len(got) == 43 and all(len(v) == 1 for v in by.values())
+    assert {p for p, _ in by[99]} == {"aa"} and 0.7 < min(s for _, s in by[98]) <= 1
+
+
 def test_language_odd(spark, frame, odd_rows):
     got = {r.doc_id: r for r in language.identify(frame(odd_rows)).collect()}
     assert all(got[i].lang_pred == "und" and got[i].score == 0 for i in (3, 4, 5))
