@@ -147,13 +147,14 @@ def ontology_statements(spark, folder):
 
 @register(
     "longest_phrase",
-    """WITH p AS (SELECT DISTINCT split_part(p_name, ' ', 1) AS phrase, length(split_part(p_name, ' ', 1)) % 3 AS priority FROM part UNION SELECT DISTINCT p_name, 1 FROM part WHERE p_partkey % 10 = 0)
+    """WITH p AS (SELECT DISTINCT split_part(p_name, ' ', 1) AS phrase, length(split_part(p_name, ' ', 1)) % 3 AS priority FROM part UNION SELECT DISTINCT split_part(p_name, ' ', 1) || ' ' || split_part(p_name, ' ', 2), 1 FROM part)
     SELECT p_partkey AS key, arg_max(phrase, (priority, length(phrase), phrase)) AS phrase FROM part t JOIN p ON contains(lower(p_name), lower(phrase)) GROUP BY 1""",
 )
 def longest_phrase(spark, folder):
     part = src.table(spark, folder, "part")
     head = F.split_part(F.col("p_name"), F.lit(" "), F.lit(1))
-    phrases = part.select(head.alias("phrase"), (F.length(head) % 3).alias("priority")).union(part.where("p_partkey % 10 = 0").select("p_name", F.lit(1))).distinct().withColumn("target", F.lit("x"))
+    two = F.concat_ws(" ", head, F.split_part(F.col("p_name"), F.lit(" "), F.lit(2)))
+    phrases = part.select(head.alias("phrase"), (F.length(head) % 3).alias("priority")).union(part.select(two, F.lit(1))).distinct().withColumn("target", F.lit("x"))
     return filters.longest_match(part.select(F.col("p_partkey").alias("key"), F.col("p_name").alias("text")), phrases).select("key", "phrase")
 
 

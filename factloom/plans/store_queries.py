@@ -14,7 +14,7 @@ TABLES = f"""{src.ASSERTIONS}, facts AS (SELECT id, subject, rel_type, object, c
         CASE WHEN id % 15 = 1 THEN ts + INTERVAL 7 DAY END AS archived_at, CASE WHEN id % 15 = 1 THEN ts + INTERVAL 7 DAY END AS deleted_at, ts FROM assertions WHERE fact_class <> 'C'),
     staged_facts AS (SELECT id, subject, rel_type, object, confidence, fact_class, CASE WHEN id % 4 = 0 THEN ts + INTERVAL 3 DAY END AS promoted_at, CASE WHEN id % 9 = 0 THEN ts + INTERVAL 4 DAY END AS deleted_at, ts FROM assertions WHERE fact_class = 'C')"""
 REQUESTS = """requests AS (SELECT DISTINCT subject AS request, subject, CASE WHEN length(subject) % 2 = 0 THEN 'Purchase' END AS rel_type, CAST(NULL AS VARCHAR) AS old_value FROM assertions
-    UNION ALL SELECT DISTINCT object, object, 'view', NULL FROM assertions UNION ALL SELECT DISTINCT subject || '/' || object, subject, NULL, object FROM assertions WHERE id % 50 = 0)"""
+    UNION ALL SELECT DISTINCT object, object, 'view', NULL FROM assertions UNION ALL SELECT DISTINCT subject || '/' || object, subject, NULL, object FROM assertions)"""
 
 
 def facts(spark, folder):
@@ -34,7 +34,7 @@ def requests(spark, folder):
     none = F.lit(None).cast("string")
     whole = log.select(F.col("subject").alias("request"), "subject", F.when(F.length("subject") % 2 == 0, F.lit("Purchase")).alias("rel_type"), none.alias("old_value")).distinct()
     turned = log.select(F.col("object").alias("request"), F.col("object").alias("subject"), F.lit("view").alias("rel_type"), none.alias("old_value")).distinct()
-    narrow = log.where("id % 50 = 0").select(F.concat_ws("/", "subject", "object").alias("request"), "subject", none.alias("rel_type"), F.col("object").alias("old_value")).distinct()
+    narrow = log.select(F.concat_ws("/", "subject", "object").alias("request"), "subject", none.alias("rel_type"), F.col("object").alias("old_value")).distinct()
     return whole.unionByName(turned).unionByName(narrow)
 
 
