@@ -78,12 +78,23 @@ def append_to(stream: DataFrame, path: str, checkpoint: str):
     return stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 
 
-def maintain(stream: DataFrame, fold, path: str, checkpoint: str):
-    """After each micro-batch, fold the log written so far into a fresh view beside it: ``path``/log and ``path``/view-<batch>."""
+def maintain(stream: DataFrame, fold, path: str, checkpoint: str, refold: bool = False):
+    """After each micro-batch, a fresh view of the log so far: ``path``/log and ``path``/view-<batch>.
+
+    A fold whose own output can be folded on with new rows (least, greatest, union) is given with ``refold``: each view
+    then comes from the one before it and the batch alone, and the log is written but not read again.
+    """
 
     def batch(rows: DataFrame, number: int) -> None:
         spark = rows.sparkSession
         rows.write.mode("overwrite").parquet(f"{path}/log/batch={number}")
-        fold(spark.read.parquet(f"{path}/log")).write.mode("overwrite").parquet(f"{path}/view-{number}")
+        if refold:
+            fresh = fold(rows)
+            if number:
+                last = spark.read.parquet(f"{path}/view-{number - 1}")
+                fresh = fold(last.unionByName(fresh.select(*last.columns)))
+        else:
+            fresh = fold(spark.read.parquet(f"{path}/log"))
+        fresh.write.mode("overwrite").parquet(f"{path}/view-{number}")
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -42,6 +42,18 @@ def test_maintained_view(spark, sf, tmp_path):
     assert spark.read.parquet(str(views[-1])).exceptAll(folds.class_max(src.assertions(spark, sf))).isEmpty()
 
 
+def test_maintained_view_from_the_last(spark, tmp_path):
+    """Three batches, each folded into the view before it."""
+    rows = [(1, "a", "r", "x", "C"), (2, "b", "r", "x", "B"), (3, "a", "r", "x", "B"), (4, "b", "r", "x", "C"), (5, "a", "r", "x", "A"), (6, "c", "r", "x", "C")]
+    schema = "id long, subject string, rel_type string, object string, fact_class string"
+    for i in range(0, 6, 2):
+        spark.createDataFrame(rows[i : i + 2], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+        drained(flows.maintain(stream, folds.class_max, f"{tmp_path}/kept", f"{tmp_path}/c", refold=True))
+    got = {(r.subject, r.fact_class) for r in spark.read.parquet(f"{tmp_path}/kept/view-2").collect()}
+    assert got == {("a", "A"), ("b", "B"), ("c", "C")}
+
+
 def test_hit_lifecycle(spark, tmp_path):
     day = lambda n: dt.datetime(2024, 1, 1) + dt.timedelta(days=n)
     schema = "id long, subject string, rel_type string, object string, ts timestamp"
