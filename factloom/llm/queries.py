@@ -1,4 +1,4 @@
-"""The ten corpus operators as queries with production parameters."""
+"""The corpus operators as queries with production parameters."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import dac, exact_dedup, html_text, language, line_dedup, mixing, near_dedup, packing, quality, separators
+from factloom.llm import dac, exact_dedup, html_text, language, line_dedup, mixing, near_dedup, packing, quality, resampling, separators, suffix_dedup, whitening
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -162,3 +162,77 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     """What the directly addressable token files say of every document."""
     return dac.token_files(_table(spark, folder, "documents"), public_tokenizers.path(TOKENIZER))
+
+
+@_register("op11_embedding_whitening")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    """The first 32 whitened components of every embedding."""
+    return whitening.whiten(_table(spark, folder, "embeddings"))
+
+
+@_register(
+    "op12_importance_resampling",
+    r"""
+    WITH t AS (
+        SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS steps FROM (SELECT unnest(generate_series(0, 255)) AS i)
+    ), a AS (
+        SELECT doc_id, false AS wanted, text FROM documents UNION ALL SELECT NULL, true, text FROM benchmark
+    ), w AS (
+        SELECT doc_id, wanted, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM a
+    ), v AS (
+        SELECT word, hex(encode(word)) AS h FROM (SELECT DISTINCT word FROM w)
+    ), y AS (
+        SELECT word, list_concat([4294967295], list_transform(generate_series(1, CAST(len(h) AS BIGINT), 2), lambda i: 16 * (instr('123456789ABCDEF', h[i])) + instr('123456789ABCDEF', h[i + 1]))) AS bytes FROM v
+    ), b AS (
+        SELECT word, xor(list_reduce(bytes, lambda c, x: xor(c >> 8, steps[(xor(c, x) & 255) + 1])), 4294967295) % 10000 AS bucket FROM y, t
+    ), c AS (
+        SELECT bucket, count(*) FILTER (wanted) AS t, count(*) FILTER (NOT wanted) AS s FROM w JOIN b USING (word) GROUP BY bucket
+    ), g AS (
+        SELECT bucket, CAST(floor(1000 * ln((t + 1) * CAST((SELECT sum(s) FROM c) + 10000 AS DOUBLE) / ((s + 1) * CAST((SELECT sum(t) FROM c) + 10000 AS DOUBLE)))) AS BIGINT) AS gain FROM c
+    ), f AS (
+        SELECT doc_id, count(*) AS n_features, CAST(sum(gain) AS BIGINT) AS weight FROM w JOIN b USING (word) JOIN g USING (bucket) WHERE NOT wanted GROUP BY doc_id
+    ), o AS (
+        SELECT d.doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+            coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || d.doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score
+        FROM documents d LEFT JOIN f ON f.doc_id = d.doc_id
+    ), r AS (
+        SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM o WHERE n_features >= 20
+    )
+    SELECT o.doc_id, n_features, weight, score, rank FROM o LEFT JOIN r ON r.doc_id = o.doc_id AND rank <= n * 10 // 100
+    """,
+)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    """A tenth of the documents of 20 words or more, drawn towards the benchmark's distribution of words."""
+    found = resampling.resample(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@_register(
+    "op13_suffix_array_dedup",
+    """
+    WITH d AS (
+        SELECT doc_id, encode(coalesce(text, '')) AS x, octet_length(encode(coalesce(text, ''))) AS n_bytes FROM documents
+    ), w AS (
+        SELECT doc_id, i, array_slice(x, i + 1, i + 50) AS s FROM (SELECT doc_id, x, unnest(generate_series(0, n_bytes - 50)) AS i FROM d WHERE n_bytes >= 50)
+    ), m AS (
+        SELECT s, min(doc_id) AS least FROM w GROUP BY s HAVING min(doc_id) < max(doc_id)
+    ), r AS (
+        SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 50 THEN 0 ELSE 1 END AS fresh FROM w JOIN m USING (s) WHERE doc_id > least
+    ), g AS (
+        SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM r
+    ), p AS (
+        SELECT doc_id, span, min(i) AS low, max(i) + 50 AS high FROM g GROUP BY doc_id, span
+    ), k AS (
+        SELECT p.doc_id, high - low AS gone, low, hex(array_slice(x, coalesce(lag(high) OVER o, 0) + 1, low)) AS kept,
+            CASE WHEN lead(low) OVER o IS NULL THEN hex(array_slice(x, high + 1, n_bytes)) ELSE '' END AS rest
+        FROM p JOIN d ON d.doc_id = p.doc_id WINDOW o AS (PARTITION BY p.doc_id ORDER BY low)
+    ), e AS (
+        SELECT doc_id, CAST(sum(gone) AS BIGINT) AS n_removed, count(*) AS n_spans, string_agg(kept || rest, '' ORDER BY low) AS kept FROM k GROUP BY doc_id
+    )
+    SELECT d.doc_id, CAST(n_bytes AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(coalesce(unhex(e.kept), x)) AS kept_sha256
+    FROM d LEFT JOIN e ON e.doc_id = d.doc_id
+    """,
+)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    """What stays of every document when strings of 50 bytes that earlier documents hold are removed."""
+    return suffix_dedup.repeated_passages(_table(spark, folder, "documents"))
