@@ -12,7 +12,7 @@ Defined cases: a row whose vector is null, or holds a null or an entry that is
 not finite, is left out, and so is a vector of another length than most have (of
 lengths as common the smaller) and an entry too large for a whole number of 62
 bits; rows that repeat are rows of their own, and a null vec_id stays; components
-without variance (below 1e-9 of the largest singular value) have no whitened
+without variance (below 1e-6 of the largest singular value, where doubles hold noise) have no whitened
 values and are not returned, so equal vectors, one row or none give an empty
 result; a deviation that no long can hold is null; other columns are not read.
 """
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from factloom.shipping import ship
 
-SCALE, SHIFT, COMPONENTS, RANK = 64, 1_000_000, 32, 1e-9
+SCALE, SHIFT, COMPONENTS, RANK = 64, 1_000_000, 32, 1e-6
 SCHEMA = "vec_id long, component int, n long, deviation long, whitened double, explained double, identity_error double"
 ROWS = 4096
 
