@@ -7,9 +7,11 @@ run across blocks.  Each block is searched by itself, vectorised; a running sum
 of its stream's separators and a running maximum of their places, the prefix
 scan, number the documents and give the length of those that began earlier.
 
+A text that spells an end mark is ordinary text here: its ids never hold the
+end id, so a separator is always the end of a document.
+
 Defined cases: null or empty text is its end id alone; every row is a document,
-repeated rows included;
-an empty table gives an empty result; other columns are not read.
+repeated rows included; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ BLOCK_IDS = 4_000_000
 
 def id_width(tokenizer: str, end_id: int) -> int:
     """Bytes of an id: 2 where the vocabulary and the end id fit, else 4."""
-    return 2 if max(encoder(tokenizer).size - 1, end_id) < 1 << 16 else 4
+    return 2 if max(encoder(tokenizer, as_text=True).size - 1, end_id) < 1 << 16 else 4
 
 
 def write_streams(docs: DataFrame, tokenizer: str, end_id: int, folder: str, width: int = 2, block: int = BLOCK_IDS) -> None:
@@ -55,7 +57,7 @@ def write_streams(docs: DataFrame, tokenizer: str, end_id: int, folder: str, wid
         for batch in batches:
             for low, high in slices(batch.column("text"), 1 << 20):
                 texts = [t or "" for t in batch.column("text")[low:high].to_pylist()]
-                for coded in encoder(tokenizer).encode(texts):
+                for coded in encoder(tokenizer, as_text=True).encode(texts):
                     held += np.frombuffer(coded, "<u4").astype(kind).tobytes()
                     held += end
                     flush(full)

@@ -24,7 +24,7 @@ _LETTERS = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 _PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 _BYTES = {b: chr(0x100 + i) for i, b in enumerate(b for b in range(256) if b not in _PRINTED)}
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, bool], Encoder] = {}
 
 
 class _Memo(dict):
@@ -43,14 +43,18 @@ class _Memo(dict):
 
 
 class Encoder:
-    """ids of texts as little-endian unsigned 32-bit integers."""
+    """ids of texts as little-endian unsigned 32-bit integers.
 
-    def __init__(self, path: str):
+    As the library does by itself, strings of special tokens get these tokens'
+    ids; with ``as_text`` they are ordinary text, so that no text makes such an id.
+    """
+
+    def __init__(self, path: str, as_text: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True  # their strings are ordinary text
+        self._tokenizer.encode_special_tokens = as_text
         self._tokenize = self._tokenizer.model.tokenize
         self._memo = _Memo(self._unit)
         self._marks: dict[str, bytes] = {}
@@ -97,7 +101,7 @@ class Encoder:
         return [head + b"".join(map(get, islice(p, 1, None))) for head, p in zip(heads, parts)]
 
 
-def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+def encoder(path: str, as_text: bool = False) -> Encoder:
+    if (path, as_text) not in _encoders:
+        _encoders[path, as_text] = Encoder(path, as_text)
+    return _encoders[path, as_text]

@@ -34,6 +34,16 @@ def texts(documents):
 
 @pytest.fixture(scope="module")
 def tokens():
+    """ids as the library gives them by itself."""
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(TOKENIZER)
+    return lambda text: plain.encode(text or "", add_special_tokens=False).ids
+
+
+@pytest.fixture(scope="module")
+def text_tokens():
+    """ids with the strings of special tokens as ordinary text."""
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(TOKENIZER)
@@ -450,25 +460,33 @@ def test_language_odd(spark, frame, odd_rows):
     assert language.identify(frame([(1, "words", None, None)])).first().lang_pred == "und"
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.text(alphabet=st.sampled_from("aB'sé. ,\n\t  \x1c\x851<|>中"), max_size=40))
-def test_units_do_not_change_ids(text):
+@pytest.fixture(scope="module")
+def coders():
+    """The library's tokenizer and ours, with special tokens' strings as tokens and as text."""
     from tokenizers import Tokenizer
 
-    plain = Tokenizer.from_file(TOKENIZER) if not hasattr(test_units_do_not_change_ids, "t") else test_units_do_not_change_ids.t
-    plain.encode_special_tokens = True
-    test_units_do_not_change_ids.t = plain
-    coder = getattr(test_units_do_not_change_ids, "c", None) or Encoder(TOKENIZER)
-    test_units_do_not_change_ids.c = coder
-    assert np.frombuffer(coder.encode([text])[0], "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+    made = []
+    for as_text in (False, True):
+        plain = Tokenizer.from_file(TOKENIZER)
+        if as_text:
+            plain.encode_special_tokens = True
+        made.append((plain, Encoder(TOKENIZER, as_text)))
+    return made
+
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from([*"aB'sé. ,\n\t\x1c\x851<|>中", "  ", "word", "<|endoftext|>", "<|endoftext"]), max_size=30).map("".join))
+def test_units_do_not_change_ids(coders, text):
+    for plain, coder in coders:
+        assert np.frombuffer(coder.encode([text])[0], "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
 
-def test_token_counts(documents, texts, tokens):
+
+def test_token_counts(documents, texts, text_tokens):
     got = {r.doc_id: r.n_tokens for r in separators.token_counts(documents, TOKENIZER).collect()}
-    assert got == {i: len(tokens(t)) for i, t in texts.items()}
+    assert got == {i: len(text_tokens(t)) for i, t in texts.items()}
 
 
-def test_blocks_are_stitched(spark, documents, texts, tokens):
+def test_blocks_are_stitched(spark, documents, texts, text_tokens):
     """Blocks far smaller than documents."""
     from factloom.scratch import new_path
     from factloom.shipping import ship
@@ -478,7 +496,7 @@ def test_blocks_are_stitched(spark, documents, texts, tokens):
     separators.write_streams(documents.where("doc_id < 40"), TOKENIZER, 50256, folder, block=100)
     order = spark.read.parquet(f"{folder}.order")
     got = {r.doc_id: r.n_tokens for r in order.join(separators.scan(spark, folder, 50256), ["stream", "ordinal"]).collect()}
-    assert got == {i: len(tokens(t)) for i, t in texts.items() if i < 40}
+    assert got == {i: len(text_tokens(t)) for i, t in texts.items() if i < 40}
 
 
 def brute_targets(sizes, most=3):
@@ -633,10 +651,12 @@ def test_token_files(documents, texts, tokens):
     assert len(got) == len(texts)
 
 
-def test_tokens_odd(frame, odd_rows, tokens):
+def test_tokens_odd(frame, odd_rows, tokens, text_tokens):
+    """One of the rows spells the end mark: it is that token in the files, and text where separators are searched."""
     docs = frame(odd_rows)
-    want = Counter((i, len(tokens(t))) for i, t, _, _ in odd_rows)
+    want = Counter((i, len(text_tokens(t))) for i, t, _, _ in odd_rows)
     assert Counter((r.doc_id, r.n_tokens) for r in separators.token_counts(docs, TOKENIZER).collect()) == want
+    want = Counter((i, len(tokens(t))) for i, t, _, _ in odd_rows)
     assert Counter((r.doc_id, r.n_tokens - 1) for r in dac.token_files(docs, TOKENIZER).collect()) == want
     packed = packing.pack(docs, TOKENIZER).where("start = 0")
     assert Counter((r.doc_id, r.doc_tokens - 1) for r in packed.collect()) == want
