@@ -10,12 +10,19 @@ stands beside it and its ancestors, if it reaches the threshold: running text
 there (paragraphs, headings, lists, tables) as one group for each ancestor,
 containers one by one.  The names article and main play no part.
 
-Left out everywhere are elements that are never prose (menus, forms, scripts and
-the like) by tag, role or hiddenness, and containers whose class or id names
-adverts, reader comments, cookie notices and the like.  Class words that prose
-may have too, and page headers, halve a container's density; outside the core
-such a container is never taken, and inside it only if it is not mostly links
-and reaches half the threshold.
+Left out everywhere are elements that are never prose (menus, scripts and the
+like) and hidden ones.  Forms, roles of menus and dialogs, and containers whose
+class or id names adverts, reader comments, cookie notices and the like are left
+out too, unless the page is in them: of such elements the one that has more than
+``WRAPS`` times the prose outside all of them is a wrapper, and counts as any
+other element.  A name that denies or only announces its word (no-sidebar,
+ad-free, comments-open) names nothing.  Class words that prose may have too, and
+page headers, halve a container's density; outside the core such a container is
+never taken, and inside it only if it is not mostly links and reaches half the
+threshold, or is a header with a heading.
+
+Marks are searched one after the other and none twice, so the time is linear in
+the page however broken it is.  A quote opens a value only behind an equals sign.
 
 Defined cases: null html is empty; plain text without tags is one block; broken
 markup is closed as browsers do for paragraphs, items and cells; whole pages
@@ -43,7 +50,8 @@ BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-NEVER = frozenset("head nav footer aside form button menu dialog object canvas audio video map svg select".split())
+NEVER = frozenset("head nav footer aside button menu dialog object canvas audio video map svg select".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CONTAINERS = frozenset("article aside center details div fieldset figure footer header main nav section span table ul ol".split())
 RUNNING = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre table figure address hr".split())
 NOISE = frozenset(
@@ -51,6 +59,7 @@ NOISE = frozenset(
     "newsletter popup respond sidebar sponsor sponsored subscribe subscription".split()
 )
 DOUBTFUL = frozenset("banner footer header menu modal notice notices promo promoted related share sharing skip social toolbar widget widgets".split())
+DENYING = frozenset("no non not without free has have with off open closed hide hides disabled enabled count".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
@@ -62,57 +71,102 @@ CLOSES = {
     "option": ({"option"}, {"select"}),
 }
 
-_MARK = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({RAW})(?=[\s/>])(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>",
-    re.S | re.I,
-)
-_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+WRAPS = 9
+
+_OPEN = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)")
+_STOP = re.compile(r">|=\s*[\"']")
+_RAW_ENDS = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW.split("|")}
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>][^\s>]*))?""")
 _HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 _WORDS = re.compile(r"[a-z0-9]+")
 
 
 class Node:
-    __slots__ = ("block", "chars", "density", "doubtful", "kids", "link_chars", "link_tags", "noise", "parent", "tag", "tags", "total")
+    __slots__ = ("block", "chars", "density", "doubtful", "kids", "likely", "link_chars", "link_tags", "noise", "parent", "tag", "tags", "total")
 
-    def __init__(self, tag: str, parent: Node | None, noise: bool = False, doubtful: bool = False):
-        self.tag, self.parent, self.noise, self.doubtful, self.kids = tag, parent, noise, doubtful, []
+    def __init__(self, tag: str, parent: Node | None, noise: bool = False, likely: bool = False, doubtful: bool = False):
+        self.tag, self.parent, self.noise, self.likely, self.doubtful, self.kids = tag, parent, noise, likely, doubtful, []
         self.block = tag in BLOCK
         self.chars = self.link_chars = self.tags = self.link_tags = 0
         self.density = self.total = 0.0
 
 
-def _kind(tag: str, attributes: str) -> tuple[bool, bool]:
-    """Is the element noise; is it doubtful."""
+def _kind(tag: str, attributes: str) -> tuple[bool, bool, bool]:
+    """Is the element noise; is it likely to be; is it doubtful."""
     if tag in NEVER:
-        return True, False
-    doubtful = tag == "header"
+        return True, False, False
+    likely, doubtful = tag == "form", tag == "header"
     if not attributes or tag in ("html", "body"):
-        return False, doubtful
+        return False, likely, doubtful
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
-        if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "role" and value in ROLES) or (name == "style" and _HIDING.search(value)):
-            return True, doubtful
+        if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and _HIDING.search(value)):
+            return True, likely, doubtful
+        if name == "role" and value in ROLES:
+            likely = True
         if name in ("class", "id") and tag in CONTAINERS:
-            words = _WORDS.findall(value)
-            if NOISE.intersection(words):
-                return True, doubtful
-            doubtful = doubtful or bool(DOUBTFUL.intersection(words))
-    return False, doubtful
+            for one in value.split():
+                words = _WORDS.findall(one)
+                if not DENYING.intersection(words):
+                    likely = likely or bool(NOISE.intersection(words))
+                    doubtful = doubtful or bool(DOUBTFUL.intersection(words))
+    return False, likely, doubtful
+
+
+def _marks(page: str) -> Iterator[tuple[int, int, bool, str | None, str]]:
+    """(start, end, closing, tag, attributes) of every mark; comments and elements of raw text are one mark without a tag."""
+    at, last, quoted = 0, page.rfind(">"), True
+    while 0 <= (start := page.find("<", at)) < last or (start >= 0 and page.startswith("<!--", start)):
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            at = len(page) if end < 0 else end + 3
+            yield start, at, False, None, ""
+            continue
+        if page[start + 1 : start + 2] in ("!", "?"):
+            at = page.find(">", start) + 1
+            yield start, at, False, None, ""
+            continue
+        found = _OPEN.match(page, start)
+        if found is None:
+            at = start + 1
+            continue
+        end = _tag_end(page, found.end()) if quoted else page.find(">", found.end())
+        if end < 0:  # some quote or tag is never closed: from here on a tag ends at the next bracket
+            quoted, end = False, page.find(">", found.end())
+            if end < 0:
+                return
+        tag, at = found.group(2).lower(), end + 1
+        if tag in _RAW_ENDS and not found.group(1):
+            close = _RAW_ENDS[tag].search(page, at)
+            at = len(page) if close is None else close.end()
+            yield start, at, False, None, ""
+        else:
+            yield start, at, bool(found.group(1)), tag, page[found.end() : end]
+
+
+def _tag_end(page: str, at: int) -> int:
+    """The bracket that ends a tag, brackets in quoted values passed over; -1 if none does."""
+    while (stop := _STOP.search(page, at)) is not None:
+        if stop.group() == ">":
+            return stop.start()
+        close = page.find(stop.group()[-1], stop.end())
+        if close < 0:
+            return -1
+        at = close + 1
+    return -1
 
 
 def parse(page: str) -> Node:
     """The tree of elements; a kid is a Node or a text, its references decoded."""
     root = Node("html", None)
     here, at = root, 0
-    for mark in _MARK.finditer(page):
-        if mark.start() > at:
-            here.kids.append(entities.unescape(page[at : mark.start()]))
-        at = mark.end()
-        tag = mark.group(3)
+    for start, end, closing, tag, attributes in _marks(page):
+        if start > at:
+            here.kids.append(entities.unescape(page[at:start]))
+        at = end
         if tag is None:
             continue
-        tag = tag.lower()
-        if mark.group(2):
+        if closing:
             node = here
             while node is not None and node.tag != tag:
                 node = node.parent
@@ -138,9 +192,9 @@ def parse(page: str) -> Node:
                 node = node.parent
             if last is not None:
                 here = last.parent
-        made = Node(tag, here, *_kind(tag, mark.group(4)))
+        made = Node(tag, here, *_kind(tag, attributes))
         here.kids.append(made)
-        if tag not in VOID and not mark.group(4).endswith("/"):
+        if tag not in VOID and not attributes.endswith("/"):
             here = made
     if at < len(page):
         here.kids.append(entities.unescape(page[at:]))
@@ -181,6 +235,33 @@ def _walk(root: Node, all_of_it: bool) -> list[Node]:
     return order
 
 
+def _unwrap(root: Node) -> None:
+    """Of the elements that are likely noise, those that wrap the page are none; the others are."""
+    order = _walk(root, False)
+    prose = {id(n): n.chars - n.link_chars for n in order}
+
+    def outer() -> list[Node]:
+        found, stack = [], [root]
+        while stack:
+            node = stack.pop()
+            if node.likely:
+                found.append(node)
+            else:
+                stack += [k for k in node.kids if isinstance(k, Node) and not k.noise]
+        return found
+
+    likely = outer() if any(n.likely for n in order) else []
+    while likely:
+        rest = prose[id(root)] - sum(prose[id(n)] for n in likely)
+        widest = max(likely, key=lambda n: prose[id(n)])
+        if prose[id(widest)] <= WRAPS * rest:
+            break
+        widest.likely = False
+        likely = outer()
+    for node in likely:
+        node.noise = True
+
+
 def _measure(root: Node) -> tuple[list[Node], float]:
     """The nodes in page order with counts, densities and sums, and the body's density with all that it holds."""
     body = next((n for n in _walk(root, True) if n.tag == "body"), root)
@@ -232,6 +313,7 @@ def _blocks(chosen: set[int], root: Node) -> list[str]:
 
 def _chosen(root: Node) -> tuple[set[int], list[Node]]:
     """The ids of the nodes whose text is the page's, and the way from the core up to the body."""
+    _unwrap(root)
     order, whole = _measure(root)
     body = next((n for n in order if n.tag == "body"), root)
     blocks = [n for n in order if n.block and (n is not root or body is root)]
@@ -243,7 +325,8 @@ def _chosen(root: Node) -> tuple[set[int], list[Node]]:
     share = root.link_chars / max(root.chars, 1)
     way = set(map(id, path))
     for node in order:  # containers of doubtful names stay in the core if they read like prose
-        if node.doubtful and id(node) not in way and (core is body or 4 * node.link_chars > node.chars or 2 * node.density < threshold / 2):
+        titled = node.tag == "header" and any(isinstance(k, Node) and k.tag in HEADINGS for k in node.kids)
+        if node.doubtful and id(node) not in way and (core is body or 4 * node.link_chars > node.chars or (2 * node.density < threshold / 2 and not titled)):
             node.noise = True
     chosen, taken = {id(core)}, core
     for above in path[1:]:

@@ -298,6 +298,40 @@ def test_html_attributes():
         assert rest not in html_text.main_text(page), mark
 
 
+FIRST, SECOND = "The first paragraph says something of interest. " * 11, "And the second one goes on about it at length. " * 11
+
+
+@pytest.mark.parametrize("around", [("", ""), ("<nav><a href=x>home</a></nav>", "<footer>(c) x</footer>"), ('<div class="sidebar"><ul><li><a href=x>one</a></li></ul></div>', '<div class="comments"><p>' + "I liked it. " * 30 + "</p></div>")])
+@pytest.mark.parametrize(
+    "wrap",
+    [
+        "<form id=aspnetForm>{}</form>", '<div class="content no-sidebar">{}</div>', '<article class="post comments-open">{}</article>', '<div id="main" class="ad-free">{}</div>',
+        '<div class="page-navigation-wrapper">{}</div>', "<div data-x=it's>{}</div><!-- it's -->", "<div role=dialog><section class=subscription>{}</section></div>",
+    ],
+)
+def test_html_names_that_wrap_the_page(wrap, around):
+    page = f"<html><body>{around[0]}{wrap.format(f'<p>{FIRST}</p><p>{SECOND}</p>')}{around[1]}</body></html>"
+    assert html_text.main_text(page) == f"{FIRST.strip()}\n\n{SECOND.strip()}"
+
+
+def test_html_title_in_a_header():
+    page = f"<html><body><header><h1>Site</h1></header><article><header><h1>Title</h1></header><p>{FIRST}</p><p>{SECOND}</p></article></body></html>"
+    assert html_text.main_text(page) == f"Title\n\n{FIRST.strip()}\n\n{SECOND.strip()}"
+
+
+@pytest.mark.parametrize("soup", ["<script ", "<a ", '<a x="', "<a x='>", "<!--", '<a x=">" ', "<div>", "<!x", "</", "<textarea>", "<a x= "])
+@pytest.mark.parametrize("tail", ["", ">", '"', "'>"])
+def test_html_time_is_linear_in_broken_marks(soup, tail):
+    import time
+
+    seconds = []
+    for n in (10_000, 40_000):
+        began = time.process_time()
+        html_text.main_text("<html><body><p>text</p>" + soup * n + tail)
+        seconds.append(time.process_time() - began)
+    assert seconds[1] < 2 and seconds[1] < 12 * seconds[0] + 0.2
+
+
 @pytest.mark.parametrize("name", ["div", "main", "section"])
 def test_html_pages_of_other_elements(spark, sf, name):
     """The text does not hang on the element being an article."""
