@@ -189,23 +189,36 @@ def test_passages_of_odd_rows_and_a_table(spark, sf, frame, odd_rows):
     assert passages(docs) == brute_passages([(r.doc_id, r.text) for r in docs.collect()], 50)
 
 
-@pytest.mark.parametrize("seed", range(3))
+@pytest.mark.parametrize("seed", range(4))
 def test_transform_and_common_prefixes_of_a_collection(tmp_path, seed):
-    """Column by column equals sorting all suffixes, with end marks in the order of the strings."""
+    """Column by column equals sorting all suffixes, the marks in their order before any symbol."""
     rng = random.Random(seed)
-    strings = [bytes(rng.choice(b"abc") for _ in range(rng.randint(1, 12))) for _ in range(40)]
+    strings = [bytes(rng.choice(b"abc") for _ in range(rng.randint(0, 20))) for _ in range(60)]
+    marks = [bytes(rng.choice(b"ab\x00") for _ in range(rng.randint(3, 9))) for _ in strings]
     lengths = np.array([len(s) for s in strings])
     columns = np.zeros((lengths.max(), len(strings)), np.uint8)
     for i, s in enumerate(strings):
         for j in range(len(s)):
             columns[j, i] = s[len(s) - 1 - j] + 1
+    sizes = np.array([len(m) for m in marks])
+    order, common = suffix_dedup._marks(np.frombuffer(b"".join(marks), np.uint8), np.cumsum(sizes) - sizes, np.cumsum(sizes))
+    by_mark = sorted(range(len(marks)), key=lambda i: (marks[i], i))
+    assert order.tolist() == by_mark
+    shared = lambda a, b: next((d for d, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    assert common.tolist() == [0] + [shared(marks[a], marks[b]) for a, b in zip(by_mark, by_mark[1:])]
     rounds = suffix_dedup.Rounds(f"file://{tmp_path}", "c")
-    transform, common = suffix_dedup.build(columns, lengths, rounds)
-    suffixes = sorted((s[j:], i, j) for i, s in enumerate(strings) for j in range(len(s) + 1))
-    key = sorted(suffixes, key=lambda x: ([b + 1 for b in x[0]] + [0], x[1]))
-    assert transform.tolist() == [strings[i][j - 1] + 1 if j else 0 for _, i, j in key]
-    shared = [0] + [next((d for d, (a, b) in enumerate(zip(x[0], y[0])) if a != b), min(len(x[0]), len(y[0]))) for x, y in zip(key, key[1:])]
-    assert common.tolist() == shared
+    transform, common = suffix_dedup.build(columns, lengths, order, common, rounds)
+    place = {i: p for p, i in enumerate(by_mark)}
+    spelt = lambda i, j: [*(b + len(marks) for b in strings[i][j:]), place[i]]  # noqa: E731  a mark is one letter, before all symbols
+    suffixes = sorted(((i, j) for i, s in enumerate(strings) for j in range(len(s) + 1)), key=lambda x: spelt(*x))
+    assert transform.tolist() == [strings[i][j - 1] + 1 if j else 0 for i, j in suffixes]
+
+    def together(x, y):
+        a, b = (strings[i][j:] for i, j in (x, y))
+        d = shared(a, b)
+        return d + shared(marks[x[0]], marks[y[0]]) if d == len(a) == len(b) else d
+
+    assert common.tolist() == [0] + [together(x, y) for x, y in zip(suffixes, suffixes[1:])]
     rounds.delete()
     assert list(tmp_path.iterdir()) == []
 
@@ -215,9 +228,9 @@ def test_a_string_has_one_key_wherever_it_stands():
     cut = suffix_dedup.Runs(50, 31)
     data = bytes(rng.choice(b"ab cd") for _ in range(3000)) + b"q" * 300
     data = np.frombuffer(data[:1500] + data, np.uint8)
-    start, count, key, _ = cut(data, np.array([700, len(data)]), np.array([False, False]))
+    start, count, left, key, _ = cut(data, np.array([700, len(data)]), np.array([False, False]))
     keys = defaultdict(set)
-    for s, c, k in zip(start, count, key):
+    for s, c, p, k in zip(start, count, left, key):
         for i in range(s, s + c):
-            keys[data[i : i + 50].tobytes()].add(int(k))
+            keys[data[i : i + 50].tobytes()].add((int(k), int(s + p - i)))
     assert all(len(v) == 1 for v in keys.values()) and sum(count) == 700 - 49 + len(data) - 700 - 49
