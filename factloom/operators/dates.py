@@ -41,13 +41,15 @@ EVENTS = {
 LONGEST_FIRST = sorted(EVENTS, key=len, reverse=True)
 
 #: Counts and units of relative phrases.
-COUNTS = ["one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve"]
+_ONES = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()
+_TENS = "twenty thirty forty fifty sixty seventy eighty ninety".split()
+COUNTS = _ONES + [w for ten in _TENS for w in (ten, *[f"{ten}-{one}" for one in _ONES[:9]])]  # one to ninety-nine
 UNIT_DAYS = {"day": 1, "week": 7, "fortnight": 14}
 UNIT_MONTHS = {"month": 1, "year": 12}
 WEEKDAYS = ["monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday"]
 
 WINDOW = rf"^\s*({'|'.join(w for ws in DIRECTIONS.values() for w in ws)})\s+({'|'.join(PERIODS)})\s*$"
-_COUNT = rf"(\d+|a couple of|couple of|an|a|{'|'.join(COUNTS)})"
+_COUNT = rf"(\d+|a couple of|couple of|an|a|{'|'.join(sorted(COUNTS, key=len, reverse=True))})"
 AGO = rf"\b{_COUNT}\s+(day|week|fortnight|month|year)s?\s+ago\b"
 AHEAD = rf"\bin\s+{_COUNT}\s+(day|week|fortnight|month|year)s?\b"
 WEEKDAY = rf"\b(last|next)\s+({'|'.join(WEEKDAYS)})\b"
@@ -73,14 +75,14 @@ def is_bare_window(text: Column) -> Column:
 
 def window(text: Column, reference: Column, first: int = 0) -> Column:
     """(start, end, granularity) of a bare calendar window, [start, end) aligned to the calendar."""
-    direction, period = _part(F.lower(text), WINDOW, 1), _part(F.lower(text), WINDOW, 2)
-    found = F.lit(None)
-    for offset, words in DIRECTIONS.items():
-        for name in PERIODS:
-            start, end = calendar_window(reference, name, offset, first)
-            bounds = F.struct(start.alias("start"), end.alias("end"), F.lit(name).alias("granularity"))
-            found = F.when(direction.isin(words) & (period == name), bounds).otherwise(found)
-    return found
+    low = F.lower(text)
+
+    def of(direction: Column, period: Column) -> Column:
+        offset = F.coalesce(*[F.when(direction.isin(words), n) for n, words in DIRECTIONS.items()])
+        bounds = [calendar_window(reference, name, offset, first) for name in PERIODS]
+        return F.coalesce(*[F.when(period == name, F.struct(start.alias("start"), end.alias("end"), F.lit(name).alias("granularity"))) for name, (start, end) in zip(PERIODS, bounds)])
+
+    return F.when(low.rlike(WINDOW), of(_part(low, WINDOW, 1), _part(low, WINDOW, 2)))
 
 
 def _event_in(rule: tuple, year: Column) -> Column:
@@ -113,7 +115,7 @@ def _shifted(day: Column, count: Column, unit: Column) -> Column:
 
 
 def _count(word: Column) -> Column:
-    listed = F.nullif(F.array_position(F.array(*[F.lit(c) for c in COUNTS]), word), F.lit(0)).cast("int")
+    listed = F.try_element_at(F.create_map(*[F.lit(x) for i, c in enumerate(COUNTS) for x in (c, i + 1)]), word)
     return F.coalesce(F.when(word.isin("a", "an"), 1), F.when(word.like("%couple of"), 2), listed, word.try_cast("int"))
 
 
@@ -128,12 +130,18 @@ def offset_date(text: Column, reference: Column) -> Column:
 def relative_date(text: Column, reference: Column) -> Column:
     """The day of a relative phrase: some units ago or ahead, yesterday, today, tomorrow, the last or next weekday."""
     low = F.lower(text)
-    move = lambda pattern, sign: _shifted(reference, sign * _count(_part(low, pattern, 1)), _part(low, pattern, 2))
-    weekday = F.substring(_part(low, WEEKDAY, 2), 1, 3)
-    back = F.call_function("next_day", F.date_sub(reference, 8), weekday)
-    near = lambda word, days: F.when(low.rlike(rf"\b{word}\b"), F.date_add(reference, days))
-    turn = F.when(_part(low, WEEKDAY, 1) == "last", back).when(_part(low, WEEKDAY, 1) == "next", F.call_function("next_day", reference, weekday))
-    return F.coalesce(move(AGO, -1), move(AHEAD, 1), near("yesterday", -1), near("today", 0), near("tomorrow", 1), turn)
+
+    def moved(pattern: str, sign: int, must: str) -> Column:
+        of = lambda hit: F.when(hit != "", _shifted(reference, sign * _count(F.regexp_extract(hit, pattern, 1)), F.regexp_extract(hit, pattern, 2)))
+        return F.when(F.contains(low, F.lit(must)), _let(F.regexp_extract(low, pattern, 0), of))
+
+    def turned(hit: Column) -> Column:
+        weekday = F.substring(F.regexp_extract(hit, WEEKDAY, 2), 1, 3)
+        return F.when(F.startswith(hit, F.lit("last")), F.call_function("next_day", F.date_sub(reference, 8), weekday)).when(hit != "", F.call_function("next_day", reference, weekday))
+
+    near = lambda word, days: F.when(F.contains(low, F.lit(word)) & low.rlike(rf"\b{word}\b"), F.date_add(reference, days))
+    turn = F.when(F.contains(low, F.lit("day")), _let(F.regexp_extract(low, WEEKDAY, 0), turned))
+    return F.coalesce(moved(AGO, -1, "ago"), moved(AHEAD, 1, "in"), near("yesterday", -1), near("today", 0), near("tomorrow", 1), turn)
 
 
 def point(text: Column, reference: Column) -> Column:

@@ -1,8 +1,9 @@
 """Walks and lookups over typed edges.
 
-Walks join the frontier with the edges once per level, up to a fixed depth.
-Edges and every level are tables of the scratch folder, so that no level's plan
-repeats those before it, and a level holds each pair of start and node once.
+Walks join the frontier with the edges once per level: upward to a fixed depth,
+downward to the end.  Edges and every level are tables of the scratch folder, so
+that no level's plan repeats those before it, and a level holds each pair of
+start and node once.
 """
 
 from __future__ import annotations
@@ -30,6 +31,20 @@ def walk_up(edges: DataFrame, starts: DataFrame, depth: int = MAX_DEPTH) -> Data
     return reduce(DataFrame.unionByName, levels)
 
 
+def walk_down(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """(root, node, depth): all that hangs below each root, at its least depth; a pair that was met before is not walked again, so cycles end."""
+    steps = staged(edges.select(F.col("object").alias("node"), F.col("subject").alias("below")).distinct(), "walk-edges")
+    level = staged(roots.select(F.col("entity_id").alias("root"), F.col("entity_id").alias("node"), F.lit(0).alias("depth")).distinct(), "walk-level")
+    levels = [level]
+    while True:
+        met = reduce(DataFrame.unionByName, levels).select("root", F.col("node").alias("below"))
+        onward = level.join(steps, "node").select("root", "below").distinct().join(met, ["root", "below"], "left_anti")
+        level = staged(onward.select("root", F.col("below").alias("node"), F.lit(len(levels)).alias("depth")), "walk-level")
+        if level.isEmpty():
+            return reduce(DataFrame.unionByName, levels)
+        levels.append(level)
+
+
 def nearest_type(edges: DataFrame, types: DataFrame, starts: DataFrame) -> DataFrame:
     """The type of each start's nearest ancestor whose type is known."""
     known = types.where("entity_type <> 'unknown'").withColumnRenamed("entity_id", "node")
@@ -37,11 +52,9 @@ def nearest_type(edges: DataFrame, types: DataFrame, starts: DataFrame) -> DataF
     return walked.groupBy("start").agg(F.min_by("entity_type", F.struct("depth", "node")).alias("entity_type"), F.min("depth").cast("long").alias("depth"))
 
 
-def members_below(edges: DataFrame, roots: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:
-    """(root, depth, n): how many members lie at each depth below each root."""
-    turned = edges.select(F.col("object").alias("subject"), F.col("subject").alias("object"))
-    walked = walk_up(turned, roots, depth).where("depth > 0")
-    return walked.groupBy(F.col("start").alias("root"), "depth").agg(F.count("*").alias("n"))
+def members_below(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """(root, depth, n): how many members lie at each least depth below each root, to the end."""
+    return walk_down(edges, roots).where("depth > 0").groupBy("root", "depth").agg(F.count("*").alias("n"))
 
 
 def one_hop(edges: DataFrame, anchors: DataFrame) -> DataFrame:
@@ -115,10 +128,8 @@ def canonical_ladder(edges: DataFrame, known: DataFrame, aliases: DataFrame) ->
     )
 
 
-def nested_members(edges: DataFrame, severed: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:
-    """(root, member, depth): all members below each family (family, member), without severed edges and what hangs on them."""
+def nested_members(edges: DataFrame, severed: DataFrame) -> DataFrame:
+    """(root, member, depth): all members below each family (family, member), to the end, without severed edges and what hangs on them."""
     kept = edges.join(severed, ["family", "member"], "left_anti")
-    turned = kept.select(F.col("family").alias("subject"), F.col("member").alias("object"))
-    roots = kept.select(F.col("family").alias("entity_id")).distinct()
-    walked = walk_up(turned, roots, depth).where("depth > 0")
-    return walked.groupBy(F.col("start").alias("root"), F.col("node").alias("member")).agg(F.min("depth").alias("depth"))
+    turned = kept.select(F.col("family").alias("object"), F.col("member").alias("subject"))
+    return walk_down(turned, kept.select(F.col("family").alias("entity_id")).distinct()).where("depth > 0 and root <> node").select("root", F.col("node").alias("member"), "depth")

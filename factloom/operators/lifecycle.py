@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import heapq
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,6 +13,18 @@ from factloom.operators.replay import replay
 PROMOTE, IDLE_DAYS, TTL_DAYS, BUCKET_SECONDS = 3, 30, 30, 600
 
 
+def aged(count: int, expires: int, day: int) -> tuple[int, int]:
+    """Hits and their day of expiry after the idle spells up to a day: each takes one hit and begins another."""
+    while count > 0 and expires <= day:
+        count, expires = count - 1, expires + IDLE_DAYS
+    return count, expires
+
+
+def sighted(count: int, expires: int, day: int) -> tuple[int, int]:
+    """The same after a sighting on a day."""
+    return aged(count, expires, day)[0] + 1, day + IDLE_DAYS
+
+
 def hits(log: DataFrame, now: str) -> DataFrame:
     """Hits of each triple and what becomes of it.
 
@@ -19,27 +32,21 @@ def hits(log: DataFrame, now: str) -> DataFrame:
     away and begin another 30.  It is promoted for good at three hits and dropped
     at none; a sighting after that creates it anew.
     """
-    until = dt.date.fromisoformat(now)
-
-    def idle(state: dict, day: dt.date) -> None:
-        while state["hits"] > 0 and not state["done"] and state["expires"] <= day:
-            state["hits"] -= 1
-            state["expires"] += dt.timedelta(days=IDLE_DAYS)
-
-    def sighted(state: dict, event: dict) -> None:
-        day = event["ts"].date()
-        idle(state, day)
-        state["hits"] = max(state["hits"], 0) + 1
-        state["expires"] = day + dt.timedelta(days=IDLE_DAYS)
+    until = (dt.date.fromisoformat(now) - dt.date(1970, 1, 1)).days
+
+    def sight(state: dict, event: dict) -> None:
+        count, expires = state["hits"], state["expires"]
+        state["hits"], state["expires"] = (count + 1, expires) if state["done"] else sighted(count, expires, event["day"])
         state["done"] = state["done"] or state["hits"] >= PROMOTE
 
     def ended(state: dict) -> dict:
-        idle(state, until)
-        return {"hits": state["hits"], "outcome": "promote" if state["done"] else "drop" if state["hits"] <= 0 else "keep"}
+        count = state["hits"] if state["done"] else aged(state["hits"], state["expires"], until)[0]
+        return {"hits": count, "outcome": "promote" if state["done"] else "drop" if count <= 0 else "keep"}
 
     triple = ["subject", "rel_type", "object"]
-    fresh = lambda: {"hits": 0, "expires": dt.date.min, "done": False}
-    return replay(log.select(*triple, "ts", "id"), triple, fresh, sighted, "subject string, rel_type string, object string, hits long, outcome string", ended)
+    rows = log.select(*triple, "ts", "id", F.datediff(F.to_date("ts"), F.lit("1970-01-01").cast("date")).alias("day"))
+    fresh = lambda: {"hits": 0, "expires": 0, "done": False}
+    return replay(rows, triple, fresh, sight, "subject string, rel_type string, object string, hits long, outcome string", ended, given=["day"])
 
 
 def promotions(log: DataFrame) -> DataFrame:
@@ -78,8 +85,32 @@ def dedup_window(log: DataFrame, key: list[str], seconds: int, overriding: Colum
     return replay(rows, key, lambda: {"at": None, "strong": False}, claim, schema)
 
 
+def admitted(log: DataFrame, key: str, seconds: int, slots: int, grace: int) -> DataFrame:
+    """(id, key, admitted, waited, busy) of every event of work at a barrier per key: who gets a slot, after how many seconds, and how many were taken as it came.
+
+    An event takes a free slot at once.  If none is free it waits for the first
+    that falls free within the grace, else it is shed and takes none.
+    """
+
+    def arrive(state: dict, event: dict) -> dict:
+        ends, at = state["ends"], event["at"]
+        while ends and ends[0] <= at:
+            heapq.heappop(ends)
+        busy, wait = len(ends), 0
+        if busy >= slots:
+            wait = ends[0] - at
+            if wait > grace * 1_000_000:
+                return {"id": event["id"], "admitted": False, "waited": None, "busy": busy}
+            heapq.heappop(ends)
+        heapq.heappush(ends, at + wait + seconds * 1_000_000)
+        return {"id": event["id"], "admitted": True, "waited": wait / 1e6, "busy": busy}
+
+    rows = log.select("id", key, "ts", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    return replay(rows, [key], lambda: {"ends": []}, arrive, f"id long, {key} string, admitted boolean, waited double, busy long", given=["id", "at"])
+
+
 def concurrency(log: DataFrame, seconds: int, slots: int, restart: bool = False) -> DataFrame:
-    """(day, peak, shed): most events at work at once as one of each day began, and how many found all slots taken.
+    """(day, peak, shed): most events at work at once as one of each day began, and how many were more than the slots, were none of them shed.
 
     Work that runs over midnight counts on the next day too, unless the count is to ``restart`` with the events of each
     day.  Sums run inside buckets of ten minutes; a prefix sum over the buckets' totals gives what each begins with.

@@ -20,10 +20,11 @@ from factloom.shipping import ship
 State = dict
 
 
-def replay(log: DataFrame, key: list[str], start: Callable[[], State], step: Callable[[State, dict], dict | None], out: str, end: Callable[[State], dict | None] = lambda state: None) -> DataFrame:
+def replay(log: DataFrame, key: list[str], start: Callable[[], State], step: Callable[[State, dict], dict | None], out: str, end: Callable[[State], dict | None] = lambda state: None, given: list[str] | None = None) -> DataFrame:
     """Rows that ``step`` gives for each event, in (ts, id) order of its key, and ``end`` for each key; None gives no row.
 
-    Rows are completed with the key's columns; ``out`` names all columns and types.
+    Rows are completed with the key's columns; ``out`` names all columns and types.  A step sees the columns ``given``
+    (default: all) as a dict.
     """
     ship(log.sparkSession)
     schema: StructType = _parse_datatype_string(out)
@@ -38,8 +39,10 @@ def replay(log: DataFrame, key: list[str], start: Callable[[], State], step: Cal
                 rows.append(dict(zip(key, held)) | last)
 
         for batch in batches:
-            for event in batch.to_pylist():
-                mine = tuple(event[c] for c in key)
+            names = batch.schema.names
+            columns = [c.to_pylist() for c in batch.columns]
+            for mine, values in zip(zip(*columns[: len(key)]), zip(*columns)):
+                event = dict(zip(names, values))
                 if mine != held:
                     close()
                     held, state = mine, start()
@@ -51,4 +54,5 @@ def replay(log: DataFrame, key: list[str], start: Callable[[], State], step: Cal
         close()
         yield pa.RecordBatch.from_pylist([{name: r.get(name) for name in arrow.names} for r in rows], schema=arrow)
 
-    return log.repartition(*key).sortWithinPartitions(*key, "ts", "id").mapInArrow(run, schema)
+    columns = [*key, *(c for c in given or log.columns if c not in key)]
+    return log.repartition(*key).sortWithinPartitions(*key, "ts", "id").select(*columns).mapInArrow(run, schema)

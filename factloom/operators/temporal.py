@@ -14,7 +14,7 @@ def week_start(day: Column, first: int = 0) -> Column:
     return F.date_sub(day, (F.weekday(day) - first + 7) % 7)
 
 
-def calendar_window(day: Column, period: str, offset: int, first: int = 0) -> tuple[Column, Column]:
+def calendar_window(day: Column, period: str, offset: int | Column, first: int = 0) -> tuple[Column, Column]:
     """[start, end) of the week, month or year ``offset`` periods from the day's."""
     if period == "week":
         start = F.date_add(week_start(day, first), 7 * offset)

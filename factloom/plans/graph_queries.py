@@ -58,7 +58,7 @@ def walk_up_nearest_type(spark, folder):
     "walk_down_members",
     f"""WITH RECURSIVE {src.HIERARCHY}, d(root, node, depth) AS (
         SELECT 'region:' || r_regionkey, 'region:' || r_regionkey, 0 FROM region
-        UNION ALL SELECT d.root, h.subject, d.depth + 1 FROM d JOIN hierarchy h ON h.object = d.node WHERE d.depth < 4)
+        UNION ALL SELECT d.root, h.subject, d.depth + 1 FROM d JOIN hierarchy h ON h.object = d.node)
     SELECT root, CAST(depth AS BIGINT) AS depth, count(*) AS n FROM d WHERE depth > 0 GROUP BY ALL""",
 )
 def walk_down_members(spark, folder):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from factloom.operators import lifecycle
-from factloom.plans.registry import ORACLES, QUERIES, register
+from factloom.plans.registry import register
 from factloom.sources import driver_tables as src
 
 LOG = f"WITH {src.ASSERTIONS}"
@@ -112,11 +112,14 @@ def stale_heartbeats(spark, folder):
     SELECT day, CAST(max(busy) AS BIGINT) AS peak, CAST(sum(CAST(busy > 8 AS INT)) AS BIGINT) AS shed FROM r WHERE step = 1 GROUP BY day""",
 )
 def admission_concurrency(spark, folder):
-    """One running sum over all time: work that runs over midnight counts on the next day."""
+    """The overlap of work, were none shed: one running sum over all time, so work that runs over midnight counts on the next day."""
     return lifecycle.concurrency(src.assertions(spark, folder), 1800, 8)
 
 
-QUERIES["admission_concurrency_continuous"], ORACLES["admission_concurrency_continuous"] = QUERIES["admission_concurrency"], ORACLES["admission_concurrency"]
+@register("admission_barrier")
+def admission_barrier(spark, folder):
+    """What a barrier of eight slots for each type of event, with a minute's grace, makes of half an hour's work each."""
+    return lifecycle.admitted(src.assertions(spark, folder), "rel_type", 1800, 8, 60)
 
 
 @register(

@@ -14,7 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-LATE = "1 hour"
+from factloom.operators import lifecycle
+from factloom.shipping import ship
+
+LATE, DAY_MS = "1 hour", 86_400_000
 
 
 def assertion_stream(spark: SparkSession, folder: str, files_per_trigger: int = 8) -> DataFrame:
@@ -40,36 +43,51 @@ def session_counts(stream: DataFrame, key: str, gap: str, late: str = LATE) -> D
     return stream.withWatermark("ts", late).groupBy(F.session_window("ts", gap), key).agg(F.count("*").alias("n")).select(key, F.col("session_window.start").alias("start"), "n")
 
 
-def hit_lifecycle(stream: DataFrame, promote: int = 3, idle_days: int = 30, late: str = LATE) -> DataFrame:
-    """Staged triples as they are promoted or dropped.
+def hit_lifecycle(stream: DataFrame, late: str = LATE) -> DataFrame:
+    """Staged triples as they are promoted or dropped, by the steps of ``lifecycle.hits``.
 
-    A sighting is a hit and re-arms the timer; an idle spell takes one hit and
-    arms it again; three hits promote the triple and none drops it.  Either
-    ends its state.
+    Sightings wait until the watermark has passed them and are then taken in the
+    order of their time, so that what comes out does not depend on how the log
+    falls into batches.  A triple that was promoted stays known as such; one that
+    was dropped begins anew with its next sighting.
     """
-    idle_ms = idle_days * 86_400_000
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        hits = state.get[0] if state.exists else 0
-        newest = state.get[1] if state.exists else 0
-        if state.hasTimedOut:
-            hits, newest = hits - 1, newest + idle_ms
-        for frame in frames:
-            hits += len(frame)
-            newest = max(newest, int(frame["ts"].max().timestamp() * 1000)) if len(frame) else newest
-        outcome = "promote" if hits >= promote else "drop" if hits <= 0 else None
-        if outcome:
-            if state.exists:
-                state.remove()
-            yield pd.DataFrame({"subject": [key[0]], "rel_type": [key[1]], "object": [key[2]], "hits": [hits], "outcome": [outcome]})
-        else:
-            state.update((hits, newest))
-            state.setTimeoutTimestamp(max(newest + idle_ms, state.getCurrentWatermarkMs() + 1))
-
+        count, expires, done, waiting = state.get if state.exists else (0, 0, False, [])
+        waiting = sorted([*waiting, *(int(t.timestamp() * 1000) for frame in frames for t in frame["ts"])])
+        reached, out = state.getCurrentWatermarkMs(), []
+
+        def pass_by(day: int) -> None:
+            nonlocal count, expires
+            before = count
+            count, expires = lifecycle.aged(count, expires, day)
+            if before > 0 and count <= 0:
+                out.append((*key, 0, "drop"))
+
+        while waiting and waiting[0] < reached and not done:
+            day = waiting.pop(0) // DAY_MS
+            pass_by(day)
+            count, expires = lifecycle.sighted(count, expires, day)
+            if count >= lifecycle.PROMOTE:
+                done, waiting = True, []
+                out.append((*key, count, "promote"))
+        if not done:
+            pass_by(reached // DAY_MS)
+        if done or count > 0 or waiting:
+            state.update((count, expires, done, [] if done else waiting))
+            if not done:
+                next_day = [expires * DAY_MS] if count > 0 else []
+                state.setTimeoutTimestamp(max(reached + 1, min([*waiting[:1], *next_day])))
+        elif state.exists:
+            state.remove()
+        if out:
+            yield pd.DataFrame(out, columns=["subject", "rel_type", "object", "hits", "outcome"])
+
+    ship(stream.sparkSession)
     return (
         stream.withWatermark("ts", late)
         .groupBy("subject", "rel_type", "object")
-        .applyInPandasWithState(run, "subject string, rel_type string, object string, hits long, outcome string", "hits long, newest long", "append", GroupStateTimeout.EventTimeTimeout)
+        .applyInPandasWithState(run, "subject string, rel_type string, object string, hits long, outcome string", "hits long, expires long, done boolean, waiting array<long>", "append", GroupStateTimeout.EventTimeTimeout)
     )
 
 

@@ -182,6 +182,17 @@ def test_chunks_are_whole(spark):
     assert got[2][0][1] == "A heading\n\nOne here. Two there."
 
 
+def test_barrier_gives_shed_work_no_slot(spark):
+    """One slot and half an hour of work each, at minutes 0, 10, 25, 35, 50 and 60; five minutes' grace, then none."""
+    import datetime as dt
+
+    rows = [(i, "k", dt.datetime(2024, 1, 1) + dt.timedelta(minutes=m)) for i, m in enumerate([0, 10, 25, 35, 50, 60])]
+    log = spark.createDataFrame(rows, "id long, k string, ts timestamp")
+    got = {r.id: (r.admitted, r.waited, r.busy) for r in lifecycle.admitted(log, "k", 1800, 1, 300).collect()}
+    assert got == {0: (True, 0.0, 0), 1: (False, None, 1), 2: (True, 300.0, 1), 3: (False, None, 1), 4: (False, None, 1), 5: (True, 0.0, 0)}
+    assert [r.admitted for r in lifecycle.admitted(log, "k", 1800, 1, 0).orderBy("id").collect()] == [True, False, False, True, False, False]
+
+
 def test_concurrency_over_midnight(spark):
     rng = __import__("random").Random(5)
     start = dt.datetime(2024, 1, 1, 20)

@@ -1,7 +1,9 @@
 """Streams give what the batch operators give, on what the watermark has closed."""
 
 import datetime as dt
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from factloom.operators import folds, lifecycle
@@ -66,6 +68,28 @@ def test_hit_lifecycle(spark, tmp_path):
     assert got == {("a", "promote"), ("b", "drop")}
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_hit_lifecycle_is_that_of_the_batch(spark, tmp_path, seed):
+    """Random sightings in random batches: the last outcome of each triple is the batch's."""
+    rng = random.Random(seed)
+    begin = dt.datetime(2024, 1, 1)
+    rows = [(i, rng.choice("abcdef"), "r", "x", begin + dt.timedelta(days=rng.choice([0, 1, 30, 60, 94, 95, 96, 150]) + rng.random())) for i in range(18)]
+    rows += [(100, "g", "r", "x", begin), (101, "g", "r", "x", begin + dt.timedelta(days=95)), (102, "g", "r", "x", begin + dt.timedelta(days=96))]
+    schema = "id long, subject string, rel_type string, object string, ts timestamp"
+    rng.shuffle(rows)
+    cuts = sorted(rng.sample(range(1, len(rows)), 3))
+    batches = [rows[a:b] for a, b in zip([0, *cuts], [*cuts, len(rows)])] + [[(900 + i, "z", "r", "x", begin + dt.timedelta(days=700 + i))] for i in range(3)]
+    for part in batches:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        drained(flows.append_to(flows.hit_lifecycle(flows.assertion_stream(spark, f"{tmp_path}/in"), late="400 days"), f"{tmp_path}/out", f"{tmp_path}/c"))
+    until = (begin + dt.timedelta(days=300)).date()  # where the last watermark but one stands
+    batch = {r.subject: r.outcome for r in lifecycle.hits(spark.createDataFrame(rows, schema), str(until)).collect()}
+    stream = {}
+    for r in spark.read.parquet(f"{tmp_path}/out").collect():
+        stream[r.subject] = "promote" if "promote" in (r.outcome, stream.get(r.subject)) else r.outcome
+    assert {s: o for s, o in stream.items() if s != "z"} == {s: o for s, o in batch.items() if o != "keep"}
+
+
 def test_readers(spark, tmp_path):
     rows = spark.createDataFrame([("t1", "a", "k", True, "x"), ("t1", "b", "k", True, " "), (None, "c", "k", False, "y")], "tenant_id string, cue string, category string, is_active boolean, description string")
     readers.append(rows, f"{tmp_path}/cues", ["category"])
