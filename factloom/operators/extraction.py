@@ -62,8 +62,11 @@ def extract(texts: DataFrame, patterns: list[tuple[str, str, int]] = PATTERNS) -
     """(key, subject, rel_type, object, is_preferred_label, is_correction) of every match in the texts (key, text).
 
     Of the relations of one pair the one of highest priority stays, the surest
-    pattern's among equals.
+    pattern's among equals.  A table of patterns comes in through
+    ``readers.patterns``; patterns without a group state no object and are passed
+    over.
     """
+    patterns = [p for p in patterns if p[2]]
 
     def edges(place: int, rel: str, pattern: str, groups: int) -> Column:
         found = lambda g: F.regexp_extract_all("text", F.lit(pattern), F.lit(g))
@@ -75,6 +78,8 @@ def extract(texts: DataFrame, patterns: list[tuple[str, str, int]] = PATTERNS) -
         return F.filter(F.transform(F.arrays_zip(found(1).alias("a"), found(groups).alias("b")), made), lambda x: x.isNotNull())
 
     every = [edges(place, *pattern) for place, pattern in enumerate(patterns)]
+    if not every:
+        every = [F.expr("cast(array() as array<struct<subject string, rel_type string, object string, place int>>)")]
     signal = F.coalesce(F.lower("text").rlike("|".join(CORRECTIONS)), F.lit(False))
     rows = texts.select("key", signal.alias("is_correction"), F.inline(F.flatten(F.array(*every))))
     rank = F.coalesce(*[F.when(F.col("rel_type") == r, F.lit(n)) for r, n in PRIORITY.items()], F.lit(0))

@@ -58,8 +58,8 @@ def longest_phrase(texts: DataFrame, phrases: DataFrame) -> DataFrame:
     return met.groupBy("key").agg(best.alias("x")).select("key", "x.phrase", "x.target")
 
 
-def clauses(texts: DataFrame, triggers: DataFrame) -> DataFrame:
-    """(key, position, clause, triggered): a text's sentences, no sentence twice in whatever case, and whether a trigger phrase (phrase) is in it.
+def clauses(texts: DataFrame, triggers: DataFrame, pattern: str | None = None) -> DataFrame:
+    """(key, position, clause, triggered): a text's sentences, no sentence twice in whatever case, and whether a trigger phrase (phrase) or the pattern of all triggers is in it.
 
     A text without a sentence end is its own clause; blank texts have none.
     """
@@ -67,4 +67,4 @@ def clauses(texts: DataFrame, triggers: DataFrame) -> DataFrame:
     first = parts.groupBy("key", F.lower("clause").alias("low")).agg(F.min(F.struct("position", "clause")).alias("x")).select("key", "x.position", "x.clause")
     said = first.select(F.struct("key", "position").alias("key"), F.col("clause").alias("text"))
     hit = phrase_spans(said, triggers).select("key.key", "key.position").distinct().withColumn("triggered", F.lit(True))
-    return first.join(hit, ["key", "position"], "left").select("key", F.col("position").cast("long").alias("position"), "clause", F.coalesce("triggered", F.lit(False)).alias("triggered"))
+    return first.join(hit, ["key", "position"], "left").select("key", F.col("position").cast("long").alias("position"), "clause", (F.coalesce("triggered", F.lit(False)) | (F.col("clause").rlike(f"(?i){pattern}") if pattern else F.lit(False))).alias("triggered"))

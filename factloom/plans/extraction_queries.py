@@ -9,6 +9,7 @@ from factloom.operators import extraction, graphs
 from factloom.plans.filter_queries import _list, _said_sql, said
 from factloom.plans.registry import register
 from factloom.sources import driver_tables as src
+from factloom.sources import readers
 
 TOLD = [
     "My name is Ada and I am 42",
@@ -49,6 +50,18 @@ def pattern_facts(spark, folder):
     return extraction.extract(said(spark, folder, TOLD))
 
 
+@register("pattern_table_facts")
+def pattern_table_facts(spark, folder):
+    """What the long words of the benchmark are followed by in documents, from a table with a pattern for each of them; some rows do not compile, are of scalars or not active."""
+    words = src.table(spark, folder, "benchmark").select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("w")).where("length(w) >= 11").distinct()
+    number = F.crc32(F.col("w").cast("binary")) % 10
+    table = words.select(
+        F.concat(F.lit("before_"), "w").alias("rel_type"), F.when(number == 0, F.concat("w", F.lit("("))).otherwise(F.concat(F.lit(r"\b("), "w", F.lit(r") ([a-z]+)\b"))).alias("pattern_regex"),
+        (F.length("w") / 100.0).alias("global_confidence"), F.when(number == 1, "scalar_atomic").otherwise("compound").alias("category"), (number != 2).alias("is_active"),
+    )
+    return extraction.extract(src.table(spark, folder, "documents").select(F.col("doc_id").alias("key"), "text"), readers.patterns(table))
+
+
 NAMES = ["Hostname", " internal IP ", "the boot disk", "colour", "CPU", "main memory", "os version", "certificate end"]
 
 

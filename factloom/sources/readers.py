@@ -6,9 +6,15 @@ comes from the tenant's rows, and from the seed only without a tenant.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factloom.operators.dates import union_of
+
+MOST_PATTERNS = 10_000
+
 FORMATS = ("parquet", "orc", "json", "csv", "text")
 
 
@@ -39,6 +45,42 @@ def keyed_cues(rows: DataFrame, category: str) -> DataFrame:
     return kept.groupBy("cue").agg(F.min("description").alias("description"))
 
 
+def surfaces(rows: DataFrame) -> DataFrame:
+    """All active cues of whatever category, lowered, each once."""
+    return rows.where("is_active").select(F.lower(F.trim("cue")).alias("cue")).where("cue <> ''").distinct()
+
+
+def relative_cues(patterns: DataFrame) -> DataFrame:
+    """The active date patterns that are relative to now, surest first."""
+    return patterns.where("is_active and anchor_type = 'relative'").orderBy(F.desc("global_confidence"), "pattern_regex").select("pattern_regex", "anchor_type")
+
+
+def patterns(table: DataFrame, categories: list[str] | None = None, without: list[str] = ["scalar_atomic"]) -> list[tuple[str, str, int]]:  # noqa: B006
+    """(rel_type, pattern, groups) of a pattern table's active rows, surest first, those that do not compile left out.
+
+    A pattern table is a lexicon that its maintainers write; one of more than
+    ``MOST_PATTERNS`` rows is refused.  A row without a category is of none of
+    the categories.
+    """
+    rows = table.where("is_active")
+    rows = rows.where(F.col("category").isin(categories)) if categories is not None else rows.where(F.coalesce(~F.col("category").isin(without), F.lit(True)))
+    found = rows.select("rel_type", "pattern_regex", "global_confidence").limit(MOST_PATTERNS + 1).collect()
+    if len(found) > MOST_PATTERNS:
+        raise ValueError(f"more than {MOST_PATTERNS} patterns")
+    kept = []
+    for r in sorted(found, key=lambda r: (-(r.global_confidence or 0.0), r.pattern_regex or "", r.rel_type or "")):
+        try:
+            kept.append((r.rel_type, r.pattern_regex, re.compile(r.pattern_regex).groups))
+        except (re.error, TypeError):
+            continue
+    return kept
+
+
+def matcher(table: DataFrame, category: str) -> str:
+    """One pattern of all active ones of a category; it matches nothing if there is none."""
+    return union_of([p for _, p, _ in patterns(table, [category])])
+
+
 def seed_missing(seed: DataFrame, tenant: DataFrame, key: list[str]) -> DataFrame:
     """The tenant's rows and those of the seed that it lacks."""
     return tenant.unionByName(seed.join(tenant.select(*key), key, "left_anti"), allowMissingColumns=True)

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from factloom.operators import folds, lifecycle
+from factloom.operators import extraction, folds, lifecycle, phrases
 from factloom.sources import driver_tables as src
 from factloom.sources import readers
 from factloom.streaming import flows
@@ -101,3 +101,24 @@ def test_readers(spark, tmp_path):
     assert {r.cue for r in both.collect()} == {"a", "c"}
     parsed = readers.parsed(spark.createDataFrame([('{"a": 1}',), ("no",)], "j string"), "j", "a int").select(F.col("parsed.a")).collect()
     assert [r.a for r in parsed] == [1, None]
+
+
+def test_pattern_tables(spark):
+    """Active rows that compile, surest first; scalars stay apart."""
+    rows = [
+        ("likes", r"(\w+) likes (\w+)", 0.5, "compound", True), ("owns", r"(\w+) owns (\w+)", 0.9, None, True), ("bad", "(", 1.0, "compound", True), ("off", "x", 1.0, "compound", False),
+        ("ip", r"(\d+)", 1.0, "scalar_atomic", True), ("t", "moved", 0.1, "trigger", True), ("t", "used to", 0.2, "trigger", True), ("none", None, 0.2, "trigger", True),
+    ]
+    table = spark.createDataFrame(rows, "rel_type string, pattern_regex string, global_confidence double, category string, is_active boolean")
+    assert [r for r, _, _ in readers.patterns(table)] == ["owns", "likes", "t", "t"] and [g for _, _, g in readers.patterns(table, ["compound"])] == [2]
+    assert readers.matcher(table, "trigger") == "(?:used to)|(?:moved)"
+    texts = spark.createDataFrame([(1, "Ann likes Bob. Ann owns Bob! Tea, please"), (2, None), (3, "we MOVED on")], "key int, text string")
+    found = extraction.extract(texts, readers.patterns(table))
+    assert {(r.subject, r.rel_type, r.object) for r in found.collect()} == {("ann", "owns", "bob")}
+    assert extraction.extract(texts, []).count() == 0
+    none = spark.createDataFrame([], "phrase string")
+    assert {(r.key, r.position) for r in phrases.clauses(texts, none, readers.matcher(table, "trigger")).where("triggered").collect()} == {(3, 0)}
+    cues = spark.createDataFrame([("Call ", "a", True), ("call", "b", True), ("x", "a", False), ("", "a", True)], "cue string, category string, is_active boolean")
+    assert [r.cue for r in readers.surfaces(cues).collect()] == ["call"]
+    dates = spark.createDataFrame([("ago", "relative", 0.1, True), ("soon", "relative", 0.9, True), ("may", "absolute", 0.9, True), ("x", "relative", 1.0, False)], "pattern_regex string, anchor_type string, global_confidence double, is_active boolean")
+    assert [r.pattern_regex for r in readers.relative_cues(dates).collect()] == ["soon", "ago"]
