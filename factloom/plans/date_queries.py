@@ -48,14 +48,18 @@ OBJECTS = ["two weeks ago", "yesterday", "2020-03-22", "fence", "", "last thursd
 
 
 def phrases(spark, folder, texts: list[str]):
-    """o_orderkey, day (the order's), text."""
+    """o_orderkey, day, text: fixed phrases dealt to the orders and their days, and all that conversations and documents say, on a day of 2024 each."""
     pick = F.element_at(F.array(*[F.lit(t) for t in texts]), (F.col("o_orderkey") % len(texts) + 1).cast("int"))
-    return src.table(spark, folder, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("day"), pick.alias("text"))
+    dealt = src.table(spark, folder, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("day"), pick.alias("text"))
+    turns = src.table(spark, folder, "conversations").select((-1 - 2 * (F.col("conv_id") * 1000 + F.col("turn"))).alias("o_orderkey"), "text")
+    every = turns.unionByName(src.table(spark, folder, "documents").select((-2 - 2 * F.col("doc_id")).alias("o_orderkey"), "text"))
+    return dealt.unionByName(every.select("o_orderkey", F.date_add(F.lit("2024-01-01").cast("date"), (-F.col("o_orderkey") % 366).cast("int")).alias("day"), "text"))
 
 
 def _phrases_sql(texts: list[str]) -> str:
     listed = ", ".join("'" + t.replace("'", "''") + "'" for t in texts)
-    return f"p AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day, [{listed}][o_orderkey % {len(texts)} + 1] AS text FROM orders)"
+    return f"""p AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day, [{listed}][o_orderkey % {len(texts)} + 1] AS text FROM orders UNION ALL SELECT k, DATE '2024-01-01' + CAST(-k % 366 AS INT), text FROM (
+        SELECT -1 - 2 * (conv_id * 1000 + turn) AS k, text FROM conversations UNION ALL SELECT -2 - 2 * doc_id, text FROM documents))"""
 
 
 def _group(text: str, pattern: str, group: int) -> str:

@@ -45,12 +45,16 @@ def _list(values: list[str]) -> str:
 
 
 def said(spark, folder, values: list[str]):
+    """(key, text): fixed phrases dealt to the events, and all that conversations and documents say."""
     pick = F.element_at(F.array(*[F.lit(t) for t in values]), (F.col("event_id") % len(values) + 1).cast("int"))
-    return src.table(spark, folder, "events").select(F.col("event_id").alias("key"), pick.alias("text"))
+    dealt = src.table(spark, folder, "events").select(F.col("event_id").alias("key"), pick.alias("text"))
+    turns = src.table(spark, folder, "conversations").select((-1 - 2 * (F.col("conv_id") * 1000 + F.col("turn"))).alias("key"), "text")
+    return dealt.unionByName(turns).unionByName(src.table(spark, folder, "documents").select((-2 - 2 * F.col("doc_id")).alias("key"), "text"))
 
 
 def _said_sql(values: list[str]) -> str:
-    return f"s AS (SELECT event_id AS key, {_list(values)}[event_id % {len(values)} + 1] AS text FROM events)"
+    return f"""s AS (SELECT event_id AS key, {_list(values)}[event_id % {len(values)} + 1] AS text FROM events
+        UNION ALL SELECT -1 - 2 * (conv_id * 1000 + turn), text FROM conversations UNION ALL SELECT -2 - 2 * doc_id, text FROM documents)"""
 
 
 WORDS = "list_filter(regexp_split_to_array({t}, '\\s+'), lambda w: w <> '')"

@@ -134,7 +134,15 @@ def article_and_negation(spark, folder):
     return part.select("p_partkey", rendering.article(F.col("p_type")).alias("article"), rendering.negated(F.col("p_name")).alias("negated"), rendering.negated(F.concat("p_name", F.lit(" is here"))).alias("negated_is"))
 
 
-@register("recall_block")
+@register(
+    "recall_block",
+    f"""WITH {src.ASSERTIONS}, {src.REL_TYPES}, t AS (
+        SELECT subject, CASE WHEN template IS NULL THEN subject || ' ' || replace(a.rel_type, '_', ' ') || ' ' || object ELSE replace(replace(template, '{{x}}', subject), '{{y}}', object) END AS text, fact_class, confidence FROM assertions a LEFT JOIN rel_types USING (rel_type)
+    ), b AS (
+        SELECT subject, text, bool_and(coalesce(upper(fact_class) = 'C', false)) AS tentative, max(confidence) AS confidence FROM t WHERE text <> '' GROUP BY ALL
+    ) SELECT subject, coalesce(nullif(concat_ws(chr(10), string_agg('- ' || text, chr(10) ORDER BY confidence DESC NULLS LAST, text) FILTER (NOT tentative),
+        'Perhaps:' || chr(10) || string_agg('- ' || text, chr(10) ORDER BY confidence DESC NULLS LAST, text) FILTER (tentative)), ''), 'Nothing known.') AS block FROM b GROUP BY subject""",
+)
 def recall_block(spark, folder):
     rows = src.assertions(spark, folder).join(src.rel_types(spark), "rel_type", "left")
     text = rendering.sentence(F.col("template"), F.col("rel_type"), F.col("subject"), F.col("object"))
