@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from factloom.operators import filters, folds, phrases, validator
 from factloom.plans.registry import register
 from factloom.sources import driver_tables as src
+from factloom.sources import seeds
 
 SAID = [
     "My name is Ada",
@@ -166,6 +167,20 @@ def longest_phrase(spark, folder):
     return phrases.longest_phrase(part.select(F.col("p_partkey").alias("key"), F.col("p_name").alias("text")), listed).select("key", "phrase")
 
 
+TAKEN_BACK = ["Please forget about it", "that is wrong, I meant Tuesday", "he is not here anymore", "she no longer works there", "remove it. Actually, delete all", "unforgettable", "wrongly erased", "nothing to take back"]
+
+
+@register(
+    "retraction_signals",
+    f"""WITH {_said_sql(TAKEN_BACK)}, g AS (SELECT * FROM (VALUES {', '.join(str(r) for r in seeds.RETRACTIONS)}) AS t(phrase, category, priority)), f AS (SELECT key, ' ' || array_to_string(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+'), ' ') || ' ' AS flat FROM s)
+    SELECT key, arg_max(phrase, (priority, length(phrase), phrase)) AS phrase, arg_max(category, (priority, length(phrase), phrase)) AS category FROM f JOIN g ON contains(flat, ' ' || phrase || ' ') GROUP BY key""",
+)
+def retraction_signals(spark, folder):
+    """The sign of highest priority that each text gives of taking something back."""
+    listed = seeds.retractions(spark).withColumnRenamed("category", "target")
+    return phrases.longest_phrase(said(spark, folder, TAKEN_BACK), listed).select("key", "phrase", F.col("target").alias("category"))
+
+
 NOUNS = ["dogs", "Bus", "boxes", "City", "cities", "class", "classes", "cat", "watches", "analysis", "is", "keys"]
 
 

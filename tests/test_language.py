@@ -7,7 +7,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from factloom.operators import lifts, mentions, morphology, phrases, replies
+from factloom.operators import decomposers, lifts, mentions, morphology, phrases, replies
 
 
 def applied(spark, values, column):
@@ -169,6 +169,17 @@ def test_clauses(spark):
     assert sorted((r.key, r.position, r.clause, r.triggered) for r in found.collect()) == [(1, 0, "I moved.", True), (1, 1, "It rained!", False), (1, 3, "I used to sing?", True), (2, 0, "no end", False)]
 
 
+def test_decomposers(spark):
+    texts = spark.createDataFrame([(1, "One. Two! one."), (2, None)], "key int, text string")
+    rows = lambda name: sorted((r.key, r.position, r.clause) for r in decomposers.decompose(texts, name).collect())
+    assert rows(None) == rows("SENTENCE ") == rows("unknown") == [(1, 0, "One."), (1, 1, "Two!")]
+    assert rows("chunk") == [(1, 0, "One. Two! one.")]
+    decomposers.register(" Whole ", lambda t: t.where("text is not null").selectExpr("key", "cast(0 as bigint) as position", "text as clause"))
+    assert rows("whole") == [(1, 0, "One. Two! one.")]
+    with pytest.raises(ValueError):
+        decomposers.register(" ", lambda t: t)
+
+
 # --- pronouns ---
 
 
