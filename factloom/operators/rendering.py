@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factloom.operators.morphology import lemma
+
 EMPTY = "Nothing known."
 
 
@@ -13,8 +15,14 @@ def display_name(ident: Column, alias: Column, user: Column) -> Column:
     return F.when(ident == user, F.lit("you")).when(F.coalesce(ident, F.lit("")) == "", F.lit("unknown")).otherwise(F.coalesce(alias, ident))
 
 
-def sentence(template: Column, rel: Column, x: Column, y: Column) -> Column:
-    """The template with its hint stripped and its slots filled; without one, the relation in words."""
+def sentence(template: Column, rel: Column, x: Column, y: Column, second: Column | None = None, you: Column | None = None) -> Column:
+    """The template with its hint stripped and its slots filled; without one, the relation in words.
+
+    Where the subject is the user (``you``), the template of the second person
+    (``second``) takes its place, if there is one.
+    """
+    if second is not None and you is not None:
+        template = F.when(F.coalesce(you, F.lit(False)) & second.isNotNull(), second).otherwise(template)
     bare = F.trim(F.regexp_replace(template, r"\s*\([^()]*\)\s*$", ""))
     used = F.when(bare == "", template).otherwise(bare)
     filled = F.replace(F.replace(used, F.lit("{x}"), x), F.lit("{y}"), y)
@@ -28,10 +36,34 @@ def article(word: Column) -> Column:
     return F.when(spoken, F.lit("an")).otherwise(F.lit("a"))
 
 
+#: Past forms without -ed, and what stands before a thing that is had.
+PASTS = "made went got knew met ran bought built kept left told".split()
+HELD = r"^(.+?) (have|has|had) ((?:a|an|the|my|your|his|her|its|our|their|some|any)\b.*)$"
+LEXICAL = r"^(\S+) ([A-Za-z]+) ([^0-9\s].*)$"
+
+
 def negated(text: Column) -> Column:
-    """The sentence with not after its auxiliary; negative ones stay, others are wrapped."""
+    """The sentence with not after its auxiliary; a full verb behind a one-word subject takes do-support; negative ones stay, others are wrapped.
+
+    A thing that is had takes do-support too.  Without a parser a full verb is a
+    word in -s or -ed, or an irregular past, that more words follow, a number
+    aside; whatever else has no auxiliary is wrapped as a whole.
+    """
     aux = r"\b(is|are|was|were|am|can|could|will|would|should|must|has|have|had|does|do|did)\b"
-    return F.when(text == "", text).when(F.lower(text).rlike(r"\b(not|never|no)\b|n't\b"), text).when(text.rlike(aux), F.regexp_replace(text, "^(.*?)" + aux, "$1$2 not")).otherwise(F.concat(F.lit("it is not the case that "), text))
+    operator = F.when(F.regexp_extract(text, HELD, 2) == "has", "does").when(F.regexp_extract(text, HELD, 2) == "had", "did").otherwise("do")
+    held = F.concat_ws(" ", F.regexp_extract(text, HELD, 1), operator, F.lit("not have"), F.regexp_extract(text, HELD, 3))
+    verb = F.regexp_extract(text, LEXICAL, 2)
+    past = verb.isin(PASTS) | verb.rlike("[a-z]{2}ed$")
+    present = verb.rlike("[a-z]{2}[^s]s$|[a-z]es$") & ~verb.rlike("ss$")
+    full = F.concat_ws(" ", F.regexp_extract(text, LEXICAL, 1), F.when(past, "did").otherwise("does"), F.lit("not"), F.when(verb == "goes", "go").otherwise(lemma(verb)), F.regexp_extract(text, LEXICAL, 3))
+    return (
+        F.when(text == "", text)
+        .when(F.lower(text).rlike(r"\b(not|never|no)\b|n't\b"), text)
+        .when(text.rlike(HELD), held)
+        .when(text.rlike(aux), F.regexp_replace(text, "^(.*?)" + aux, "$1$2 not"))
+        .when(past | present, full)
+        .otherwise(F.concat(F.lit("it is not the case that "), text))
+    )
 
 
 def dated(text: Column, date: Column) -> Column:

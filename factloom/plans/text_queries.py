@@ -23,7 +23,33 @@ def sentence_split(spark, folder):
     return sentence_rows(spark, folder).withColumn("position", F.col("position").cast("long"))
 
 
-@register("chunk_documents")
+PARTS = "list_filter(list_transform(string_split(regexp_replace({p}, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: trim(s)), lambda s: s <> '')"
+OPEN = "{{'done': CAST([] AS VARCHAR[]), 'o': {o}, 'n': {n}}}"
+
+
+def _gathered_sql(items: str, joiner: str, fits: str) -> str:
+    step = f"CASE WHEN {fits} THEN {{'done': a.done, 'o': a.o || {joiner} || x.o, 'n': a.n + x.n}} ELSE {{'done': list_append(a.done, a.o), 'o': x.o, 'n': x.n}} END"
+    return f"list_reduce({items}, lambda a, x: {step})"
+
+
+CUT = _gathered_sql(f"list_transform({PARTS.format(p='p')}, lambda t: {OPEN.format(o='t', n='CAST(1 AS BIGINT)')})", "' '", "a.n < 6 AND length(a.o) + length(x.o) + 2 <= 1200")
+HELD = f"greatest(CAST(1 AS BIGINT), len({PARTS.format(p='t')}))"
+
+
+@register(
+    "chunk_documents",
+    f"""WITH p AS (
+        SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '\\n\\s*\\n'), lambda p: regexp_replace(p, '^\\s+|\\s+$', '', 'g')), lambda p: p <> '') AS ps FROM documents
+    ), c AS (
+        SELECT doc_id, i, CASE WHEN length(p) <= 1200 THEN {{'done': CAST([] AS VARCHAR[]), 'o': p, 'n': CAST(1 AS BIGINT)}} ELSE {CUT} END AS cut FROM (SELECT doc_id, generate_subscripts(ps, 1) AS i, unnest(ps) AS p FROM p)
+    ), q AS (
+        SELECT doc_id, flatten(list(list_append(cut.done, cut.o) ORDER BY i)) AS pieces FROM c GROUP BY doc_id
+    ), m AS (
+        SELECT doc_id, {_gathered_sql(f"list_transform(pieces, lambda t: {OPEN.format(o='t', n=HELD)})", "chr(10) || chr(10)", "a.n < 2 AND a.n + x.n <= 6 AND length(a.o) + length(x.o) + 4 <= 1200")} AS r FROM q
+    ), k AS (
+        SELECT doc_id, list_append(r.done, r.o) AS chunks FROM m
+    ) SELECT doc_id, generate_subscripts(chunks, 1) > 200 AS truncated, generate_subscripts(chunks, 1) - 1 AS position, unnest(chunks) AS chunk FROM k""",
+)
 def chunk_documents(spark, folder):
     return texts.chunks(src.table(spark, folder, "documents"))
 

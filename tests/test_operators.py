@@ -23,7 +23,13 @@ def test_article(spark, word, want):
     assert one(spark, rendering.article(F.lit(word))) == want
 
 
-@pytest.mark.parametrize("text,want", [("you are here", "you are not here"), ("it is not so", "it is not so"), ("", ""), ("she sings", "it is not the case that she sings")])
+@pytest.mark.parametrize("text,want", [("you are here", "you are not here"), ("it is not so", "it is not so"), ("", ""), ("she sings", "it is not the case that she sings"),
+    ("You have a pet that is Dog", "You do not have a pet that is Dog"), ("Diane lives in Toronto", "Diane does not live in Toronto"), ("You had a pet", "You did not have a pet"),
+    ("The gps system is functioning", "The gps system is not functioning"), ("You have eaten lunch", "You have not eaten lunch"), ("You will attend the meeting", "You will not attend the meeting"),
+    ("You are not sick", "You are not sick"), ("Diane lived in Toronto", "Diane did not live in Toronto"), ("You carried the box", "You did not carry the box"), ("Diane went to Toronto", "Diane did not go to Toronto"),
+    ("Diane goes to school", "Diane does not go to school"), ("diane lives in toronto", "diane does not live in toronto"), ("marcus works for acme", "marcus does not work for acme"), ("sarah dislikes cilantro", "sarah does not dislike cilantro"),
+    ("apollo ip address 10.0.0.4", "it is not the case that apollo ip address 10.0.0.4"), ("you favorite color teal", "it is not the case that you favorite color teal"), ("apollo ports 80", "it is not the case that apollo ports 80"),
+])
 def test_negation(spark, text, want):
     assert one(spark, rendering.negated(F.lit(text))) == want
 
@@ -33,6 +39,8 @@ def test_templates(spark):
     assert fill("{x} own {y} (a hint)") == "you own Rex"
     assert fill("(only a hint)") == "(only a hint)"
     assert fill(None) == "you has pet Rex"
+    both = lambda second, you: one(spark, rendering.sentence(F.lit("{x} likes {y}"), F.lit("likes"), F.lit("you"), F.lit("tea"), F.lit(second).cast("string"), F.lit(you)))
+    assert (both("You like {y}", True), both("You like {y}", False), both(None, True)) == ("You like tea", "you likes tea", "you likes tea")
 
 
 def test_named_days(spark):
