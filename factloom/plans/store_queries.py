@@ -145,10 +145,10 @@ def conflict_insert(spark, folder):
 @register(
     "provenance_cleanup",
     """SELECT event_id AS id, CASE WHEN p = 'user_correction' THEN 'user_stated' WHEN p IN ('user_stated', 'llm_inferred', 'llm_learned') THEN p ELSE 'llm_inferred' END AS provenance
-    FROM (SELECT event_id, ['user_correction', 'user_stated', 'openwebui', 'llm_learned', NULL, 'confirmed'][event_id % 6 + 1] AS p FROM events)""",
+    FROM (SELECT event_id, ['user_correction', 'user_stated', 'chat', 'llm_learned', NULL, 'confirmed'][event_id % 6 + 1] AS p FROM events)""",
 )
 def provenance_cleanup(spark, folder):
-    p = F.element_at(F.array(*[F.lit(x) for x in ("user_correction", "user_stated", "openwebui", "llm_learned", None, "confirmed")]), (F.col("event_id") % 6 + 1).cast("int"))
+    p = F.element_at(F.array(*[F.lit(x) for x in ("user_correction", "user_stated", "chat", "llm_learned", None, "confirmed")]), (F.col("event_id") % 6 + 1).cast("int"))
     return src.table(spark, folder, "events").select(F.col("event_id").alias("id"), store.clean_provenance(p).alias("provenance"))
 
 
