@@ -189,6 +189,21 @@ def test_passages_of_odd_rows_and_a_table(spark, sf, frame, odd_rows):
     assert passages(docs) == brute_passages([(r.doc_id, r.text) for r in docs.collect()], 50)
 
 
+def test_passages_of_pieces_with_equal_marks(spark, frame):
+    """Two documents of a group that hold a string in pieces whose short marks agree are still two documents."""
+    rng = random.Random(3)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    shared, cut, met, pair = letters(50), suffix_dedup.Runs(50, 31), {}, None
+    while pair is None:
+        text = letters(25) + shared + letters(25)
+        start, count, _, _, form = cut(np.frombuffer(text.encode(), np.uint8), np.array([100]), np.array([False]))
+        mark = int(form[(start <= 25) & (25 < start + count)][0]) & 0xFFFE
+        pair = (met[mark], text) if mark in met else None
+        met[mark] = text
+    docs = list(enumerate(pair))
+    assert passages(frame([(i, t, None, None) for i, t in docs]), groups=1, buckets=1) == brute_passages(docs, 50)
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_transform_and_common_prefixes_of_a_collection(tmp_path, seed):
     """Column by column equals sorting all suffixes, the marks in their order before any symbol."""
