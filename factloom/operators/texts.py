@@ -29,7 +29,7 @@ MARKS = {"email": "@", "cidr": "/", "ipv4": ".", "ipv6": ":", "ipv6_short": "::"
 def sentences(text: Column) -> Column:
     """Sentences: text cut at white space after a full stop, question or exclamation mark."""
     marked = F.regexp_replace(text, r"([.!?])\s+", "$1\u0001")
-    return F.filter(F.transform(F.split(marked, "\u0001"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(marked, "\u0001"), lambda s: F.trim(s)), lambda s: s != "")  # F.trim itself would take the place as what to trim
 
 
 def scalars(docs: DataFrame, kinds: dict[str, str] = SCALARS) -> DataFrame:

@@ -6,7 +6,7 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
-from factloom.operators import dates, folds, gate, lifecycle, rendering, temporal, texts
+from factloom.operators import dates, filters, folds, gate, lifecycle, rendering, temporal, texts
 
 
 def one(spark, column):
@@ -135,6 +135,22 @@ def test_shape_and_keys(spark):
     assert one(spark, texts.sentences(F.lit("One here. Two!  Three"))) == ["One here.", "Two!", "Three"]
 
 
+def test_sentences_keep_their_digits(spark):
+    text = "Of. 1 a.  2 b 2. 33. \n4 d 4. d\n"
+    assert one(spark, texts.sentences(F.lit(text))) == ["Of.", "1 a.", "2 b 2.", "33.", "4 d 4.", "d\n"]
+    assert one(spark, texts.sentences(F.lit(" a. 1.  "))) == ["a.", "1."]
+    docs = spark.createDataFrame([(1, "Term. 1 is not three words 1. 22 2")], "doc_id long, text string")
+    parts = docs.select("doc_id", F.posexplode(texts.sentences(F.col("text"))).alias("position", "sentence"))
+    found = texts.unmatched(parts, spark.createDataFrame([(1, "term")], "doc_id long, term string"))
+    assert [r.sentence for r in found.collect()] == ["1 is not three words 1."]
+    assert [r.chunk for r in texts.chunks(spark.createDataFrame([(1, "One. " * 303 + "3 is three.")], "doc_id long, text string")).collect()][-1].endswith("One. 3 is three.")
+
+
+def test_query_without_its_leading_word(spark):
+    """The leading word ends at the first space, whatever white space is in it."""
+    assert one(spark, filters.query_variants(F.lit("Our.\nTown is on the map"))) == ["Our.\nTown is on the map", "is on the map"]
+
+
 def test_recall_is_whole(spark):
     rows = [("u", f"fact {i}", "C" if i % 3 else "A", (i * 37 % 200) / 200) for i in range(200)] + [("u", "fact 0", "C", 2.0), ("u", "odd", None, None), ("v", None, "A", 0.5)]
     blocks = {r.u: r.block for r in rendering.recall(spark.createDataFrame(rows, "u string, text string, fact_class string, confidence double"), "u").collect()}
