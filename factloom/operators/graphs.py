@@ -76,7 +76,8 @@ def identity_set(same_as: DataFrame, users: DataFrame) -> DataFrame:
 def taxonomy_bridge(taxonomies: DataFrame, edges: DataFrame) -> DataFrame:
     """Edges counted by the taxonomies whose defining relations hold theirs."""
     bridge = taxonomies.select("taxonomy", F.explode("defining_rels").alias("rel_type"))
-    return edges.join(bridge, "rel_type").groupBy("taxonomy", "rel_type").agg(F.count("*").alias("n"))
+    counts = edges.groupBy("rel_type").agg(F.count("*").alias("n"))  # a row a relation meets the taxonomies, so no task has all edges of one
+    return counts.join(bridge, "rel_type").groupBy("taxonomy", "rel_type").agg(F.sum("n").alias("n"))
 
 
 def membership(edges: DataFrame, types: DataFrame, taxonomies: DataFrame) -> DataFrame:
