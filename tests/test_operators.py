@@ -6,7 +6,7 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
-from factloom.operators import dates, filters, folds, gate, lifecycle, rendering, temporal, texts
+from factloom.operators import dates, extraction, filters, folds, gate, graphs, lifecycle, rendering, temporal, texts
 
 
 def one(spark, column):
@@ -151,6 +151,26 @@ def test_query_without_its_leading_word(spark):
     assert one(spark, filters.query_variants(F.lit("Our.\nTown is on the map"))) == ["Our.\nTown is on the map", "is on the map"]
 
 
+def test_taxonomies_meet_counted_relations(spark):
+    """Edges are counted before they meet the taxonomies, so that no task holds all edges of a relation."""
+    taxonomies = spark.createDataFrame([("t", ["r", "q"]), ("u", ["r"]), ("v", [])], "taxonomy string, defining_rels array<string>")
+    edges = spark.createDataFrame([("a", "r", "b")] * 3 + [("a", "q", "b"), ("a", "other", "b")], "subject string, rel_type string, object string")
+    found = graphs.taxonomy_bridge(taxonomies, edges)
+    assert sorted(tuple(r) for r in found.collect()) == [("t", "q", 1), ("t", "r", 3), ("u", "r", 3)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.rindex("Aggregate") > plan.index("Join")
+
+
+def test_needed_characters_of_patterns(spark):
+    """Texts without them are not searched; patterns that show none are searched everywhere."""
+    want = {r"\b(fundamental) ([a-z]+)\b": "fundamental ", r"[Mm]y name is (.)": "y name is ", "c(ab)+d": "cab", "ab?cd": "cd", "ab*?cde": "cde", "a{0,2}bcd": "bcd", "(ab)?(.)": None, "ab|(c)": None, "(?i)(abc)": None, r"\x41b(c)": None, "[]a]b(c)": None, "a(.)": None}
+    assert {p: extraction.needed(p) for p in want} == want
+    texts_ = spark.createDataFrame([(1, "xcababd ABC acd"), (2, "none"), (3, None), (4, "a fundamental change")], "key long, text string")
+    patterns = [("r", r"(c)(ab)+d", 1), ("s", "(?i)(abc)", 1), ("t", r"\b(fundamental) ([a-z]+)\b", 2), ("u", "(a|x)b?c", 1)]
+    got = sorted((r.key, r.rel_type, r.subject, r.object) for r in extraction.extract(texts_, patterns).collect())
+    assert got == [(1, "s", "system", "abc"), (4, "t", "fundamental", "change")]
+
+
 def test_recall_is_whole(spark):
     rows = [("u", f"fact {i}", "C" if i % 3 else "A", (i * 37 % 200) / 200) for i in range(200)] + [("u", "fact 0", "C", 2.0), ("u", "odd", None, None), ("v", None, "A", 0.5)]
     blocks = {r.u: r.block for r in rendering.recall(spark.createDataFrame(rows, "u string, text string, fact_class string, confidence double"), "u").collect()}
