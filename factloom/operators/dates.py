@@ -59,15 +59,15 @@ CUES = rf"{ISO}|\b(?:19|20)\d{{2}}\b|\b(?:yesterday|today|tomorrow)\b|{AGO}|{AHE
 MARKER = r"^\s*\[Date:\s*([^\]]+)\]\s*"
 
 
-def _part(text: Column, pattern: str, group: int) -> Column:
-    return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
-
-
 def _let(value: Column, body) -> Column:
     """body(value) with value computed once."""
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def _part(text: Column, pattern: str, group: int) -> Column:
+    return _let(F.regexp_extract(text, pattern, group), lambda hit: F.when(hit != "", hit))
+
+
 def is_bare_window(text: Column) -> Column:
     """Whether the whole text is a direction and a period."""
     return F.coalesce(F.lower(text).rlike(WINDOW), F.lit(False))
@@ -75,14 +75,14 @@ def is_bare_window(text: Column) -> Column:
 
 def window(text: Column, reference: Column, first: int = 0) -> Column:
     """(start, end, granularity) of a bare calendar window, [start, end) aligned to the calendar."""
-    low = F.lower(text)
 
     def of(direction: Column, period: Column) -> Column:
         offset = F.coalesce(*[F.when(direction.isin(words), n) for n, words in DIRECTIONS.items()])
         bounds = [calendar_window(reference, name, offset, first) for name in PERIODS]
         return F.coalesce(*[F.when(period == name, F.struct(start.alias("start"), end.alias("end"), F.lit(name).alias("granularity"))) for name, (start, end) in zip(PERIODS, bounds)])
 
-    return F.when(low.rlike(WINDOW), of(_part(low, WINDOW, 1), _part(low, WINDOW, 2)))
+    read = lambda low: F.struct(*[F.regexp_extract(low, WINDOW, g).alias(name) for g, name in ((1, "direction"), (2, "period"))])
+    return _let(F.lower(text), lambda low: F.when(low.rlike(WINDOW), _let(read(low), lambda w: of(w["direction"], w["period"]))))
 
 
 def _event_in(rule: tuple, year: Column) -> Column:
@@ -93,7 +93,7 @@ def _event_in(rule: tuple, year: Column) -> Column:
 
 def event_name(text: Column) -> Column:
     """The longest named day in the text."""
-    return F.coalesce(*[F.when(F.contains(F.lower(text), F.lit(name)), F.lit(name)) for name in LONGEST_FIRST])
+    return _let(F.lower(text), lambda low: F.coalesce(*[F.when(F.contains(low, F.lit(name)), F.lit(name)) for name in LONGEST_FIRST]))
 
 
 def event_date(text: Column, reference: Column) -> Column:
@@ -121,16 +121,25 @@ def _count(word: Column) -> Column:
 
 def offset_date(text: Column, reference: Column) -> Column:
     """A count of units before or after a named day."""
-    low = F.lower(F.trim(text))
-    unit = F.regexp_replace(_part(low, OFFSET, 2), "s$", "")
-    sign = F.when(_part(low, OFFSET, 3) == "after", 1).otherwise(-1)
-    return _shifted(event_date(_part(low, OFFSET, 4), reference), sign * _count(_part(low, OFFSET, 1)), unit)
+    groups = ("count", "unit", "side", "event")
+
+    def moved(m: Column) -> Column:
+        sign = F.when(m["side"] == "after", 1).otherwise(-1)
+        return _shifted(event_date(m["event"], reference), sign * _count(m["count"]), F.regexp_replace(m["unit"], "s$", ""))
+
+    # The pattern runs once over a text, and its groups are read from what it matched.
+    read = lambda hit: F.struct(*[F.regexp_extract(hit, OFFSET, g).alias(name) for g, name in enumerate(groups, 1)])
+    of = lambda hit: F.when(hit != "", _let(read(hit), moved))
+    may = lambda low: F.contains(low, F.lit("before")) | F.contains(low, F.lit("after")) | F.contains(low, F.lit("prior"))
+    return _let(F.lower(F.trim(text)), lambda low: F.when(may(low), _let(F.regexp_extract(low, OFFSET, 0), of)))
 
 
 def relative_date(text: Column, reference: Column) -> Column:
     """The day of a relative phrase: some units ago or ahead, yesterday, today, tomorrow, the last or next weekday."""
-    low = F.lower(text)
+    return _let(F.lower(text), lambda low: _relative(low, reference))
+
 
+def _relative(low: Column, reference: Column) -> Column:
     def moved(pattern: str, sign: int, must: str) -> Column:
         of = lambda hit: F.when(hit != "", _shifted(reference, sign * _count(F.regexp_extract(hit, pattern, 1)), F.regexp_extract(hit, pattern, 2)))
         return F.when(F.contains(low, F.lit(must)), _let(F.regexp_extract(low, pattern, 0), of))

@@ -318,3 +318,13 @@ def test_named_days_and_offsets(spark):
     assert one(spark, dates.gap(*point(dt.date(2023, 2, 15)), *point(dt.date(2023, 3, 1)))["exact"]) == 14
     assert one(spark, dates.gap(*point(dt.date(2023, 3, 1)), *point(dt.date(2023, 2, 15)))["exact"]) == -14
     assert dates.union_of(["a", "(", "b"]) == "(?:a)|(?:b)"
+
+
+def test_an_offset_runs_its_pattern_once_over_a_text(spark):
+    texts = ["we met\nA  week before  Black Friday sales", "2 fortnights AFTER christmas\n", "a week before Halloween\nnothing", "before", "an hour after christmas", "", None]
+    rows = spark.createDataFrame([(i, t, dt.date(2023, 5, 10)) for i, t in enumerate(texts)], "i int, text string, day date")
+    found = rows.select("i", dates.offset_date(F.col("text"), F.col("day")).alias("d"), dates.resolved(F.col("text"), F.col("day")).alias("r"))
+    got = [(r.d, r.r and r.r.how) for r in found.orderBy("i").collect()]
+    assert got == [(dt.date(2022, 11, 18), "offset"), (dt.date(2023, 1, 22), "offset"), (None, "named"), (None, None), (None, "named"), (None, None), (None, None)]
+    plan = rows.select(dates.offset_date(F.col("text"), F.col("day")).alias("d"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("prior\\s+to") <= 5  # over the text once, over what it matched once a group
