@@ -211,6 +211,15 @@ def test_similar_vectors_against_brute_force(spark, threshold, pivots, block):
         assert sorted(-round(r.similarity, 9) for r in best if r.query == i) == [t[0] for t in top]
 
 
+def test_queries_of_a_cell_are_dealt_in_blocks(spark):
+    vectors = spark.range(40).select("id", F.array(F.lit(1.0), F.lit(2.0)).alias("v"))
+    found = similar.similar(vectors, vectors, 0.9, pivots=4, block=8)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CoGroup" not in plan and "share" in plan  # a task holds a block of queries and a block of vectors
+    assert found.count() == 40 * 39
+    assert similar._grouped(np.array([3, 0, 4, 9, 1, 1]), 8).tolist() == [0, 0, 0, 1, 2, 2]
+
+
 # --- questions ---
 
 NOW = dt.date(2024, 6, 1)
