@@ -328,3 +328,17 @@ def test_an_offset_runs_its_pattern_once_over_a_text(spark):
     assert got == [(dt.date(2022, 11, 18), "offset"), (dt.date(2023, 1, 22), "offset"), (None, "named"), (None, None), (None, "named"), (None, None), (None, None)]
     plan = rows.select(dates.offset_date(F.col("text"), F.col("day")).alias("d"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("prior\\s+to") <= 5  # over the text once, over what it matched once a group
+
+
+def test_unclaimed_edges_are_dealt_and_sorted_once(spark):
+    rows = [(1, "a", 5), (1, "a", 5), (1, "b", 5), (1, None, 5), (1, "a", 6), (None, "a", 5), (2, "a", None), (3, "b", 7), (3, None, 7)]
+    edges = spark.createDataFrame(rows, "key int, rel_type string, object int").withColumn("more", F.lit("x"))
+    claims = spark.createDataFrame([(1, "a", 5), (1, "a", 5), (None, "b", 5), (2, "b", None), (3, None, 7)], "key int, rel_type string, value int")
+    shown = lambda found: sorted((r.key or 0, r.rel_type or "", r.object or 0) for r in found)
+    kept = [(0, "a", 5), (1, "a", 5), (1, "a", 5), (1, "a", 6), (2, "a", 0)]
+    whole = extraction.unclaimed(edges, claims)
+    assert whole.columns == edges.columns and shown(whole.collect()) == kept
+    counts = extraction.unclaimed_counts(edges, claims)
+    assert shown(counts.collect()) == sorted(set(kept)) and {r.n for r in counts.collect() if r.object == 5 and r.key == 1} == {2}
+    plan = extraction.unclaimed_counts(edges, claims)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan and "Aggregate" not in plan
