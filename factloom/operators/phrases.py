@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.operators.texts import sentences
+from factloom.scratch import staged
 
 
 def tokens(text: Column) -> Column:
@@ -31,9 +32,10 @@ def phrase_spans(texts: DataFrame, lexicon: DataFrame, split=words) -> DataFrame
     are one phrase each; a phrase without tokens matches nothing.
     """
     listed = lexicon.select("phrase").where("phrase is not null").distinct().withColumn("ts", split(F.col("phrase"))).where("size(ts) > 0")
-    listed = listed.select("phrase", F.array_join("ts", " ").alias("run"), F.get("ts", F.lit(0)).alias("head"), F.size("ts").alias("n"))
+    # The lexicon and its first words are tables of a known size: where they are small, no token is dealt out by its word.
+    listed = staged(listed.select("phrase", F.array_join("ts", " ").alias("run"), F.get("ts", F.lit(0)).alias("head"), F.size("ts").alias("n")), "phrases-listed")
     longest = listed.agg(F.coalesce(F.max("n"), F.lit(1))).first()[0]
-    heads = listed.groupBy("head").agg(F.collect_set("n").alias("lengths"))  # as many as there are lengths of phrases
+    heads = staged(listed.groupBy("head").agg(F.collect_set("n").alias("lengths")), "phrases-heads")  # as many as there are lengths of phrases
     ts = F.col("ts")
     places = F.transform(ts, lambda t, i: F.struct(t.alias("head"), i.alias("at"), F.slice(ts, i + 1, longest).alias("ahead")))
     rows = texts.select("key", split(F.col("text")).alias("ts")).select("key", F.inline(places))
@@ -53,9 +55,10 @@ def merged_spans(spans: DataFrame) -> DataFrame:
 
 def longest_phrase(texts: DataFrame, phrases: DataFrame) -> DataFrame:
     """(key, phrase, target): of the phrases (phrase, priority, target) in a text the one of highest priority, then the longest."""
-    met = phrase_spans(texts, phrases).select("key", "phrase").distinct().join(phrases, "phrase")
-    best = F.max_by(F.struct("phrase", "target"), F.struct("priority", F.length("phrase"), "phrase"))
-    return met.groupBy("key").agg(best.alias("x")).select("key", "x.phrase", "x.target")
+    order = phrases.orderBy("priority", F.length("phrase"), "phrase", "target")
+    ranked = staged(order.select("phrase", "target", F.monotonically_increasing_id().alias("rank")), "phrases-ranked")  # the greatest number needs no sort
+    met = phrase_spans(texts, ranked).join(ranked.select("phrase", "rank"), "phrase")
+    return met.groupBy("key").agg(F.max("rank").alias("rank")).join(ranked, "rank").select("key", "phrase", "target")
 
 
 def clauses(texts: DataFrame, triggers: DataFrame, pattern: str | None = None) -> DataFrame:

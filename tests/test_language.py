@@ -163,6 +163,15 @@ def test_longest_phrase(spark):
     assert {(r.key, r.phrase, r.target) for r in phrases.longest_phrase(texts, listed).collect()} == {(1, "dog", "c"), (2, "forget", "a")}
 
 
+def test_longest_phrase_keeps_a_number_a_text(spark):
+    texts = spark.range(5).select(F.col("id").alias("key"), F.lit("forget the dog").alias("text"))
+    listed = spark.createDataFrame([("forget", None, "a"), ("dog", 1, "b"), ("dog", 3, "c"), ("the", 3, "d")], "phrase string, priority int, target string")
+    found = phrases.longest_phrase(texts, listed)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "hashpartitioning(head" not in plan
+    assert {(r.phrase, r.target) for r in found.collect()} == {("the", "d")} and found.count() == 5
+
+
 def test_clauses(spark):
     texts = spark.createDataFrame([(1, " I moved. It rained!  i MOVED. I used to sing? "), (2, "no end"), (3, "  "), (4, None)], "key int, text string")
     found = phrases.clauses(texts, spark.createDataFrame([("used to",), ("moved",)], "phrase string"))
