@@ -6,6 +6,8 @@ is one stage after the joins.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,19 +19,19 @@ BYPASS, CORRECTION_BYPASS = 0.95, 0.9
 
 def typed(edges: DataFrame, types: DataFrame, rels: DataFrame, hierarchy: DataFrame | None = None) -> DataFrame:
     """Edges with their relation's row, the stored types of head and tail (null if unknown), and for those unknown the type of the nearest ancestor."""
-    known = types.where("lower(entity_type) <> 'unknown'")
-    rows = edges.join(rels, "rel_type", "left")
-    walked = None
-    if hierarchy is not None:
-        ends = edges.select(F.col("subject").alias("entity_id")).union(edges.select("object")).distinct().join(known, "entity_id", "left_anti")
-        walked = staged(graphs.nearest_type(hierarchy, types, ends).select("start", F.col("entity_type").alias("found")), "gate-walked")
-    for end, name in (("subject", "head"), ("object", "tail")):
+    known, rows = types.where("lower(entity_type) <> 'unknown'"), edges
+    sides = (("subject", "head"), ("object", "tail"))
+    for end, name in sides:
         rows = rows.join(known.select(F.col("entity_id").alias(end), F.col("entity_type").alias(name)), end, "left")
-        if walked is None:
-            rows = rows.withColumn(f"{name}_walked", F.lit(None).cast("string"))
-        else:
+    if hierarchy is None:
+        rows = rows.withColumns({f"{name}_walked": F.lit(None).cast("string") for _, name in sides})
+    else:
+        rows = staged(rows, "gate-edges")  # the edges are shuffled once for each end; only ends without a type are walked
+        ends = staged(reduce(DataFrame.union, [rows.where(F.col(name).isNull()).select(F.col(end).alias("entity_id")) for end, name in sides]).distinct(), "gate-ends")
+        walked = staged(graphs.nearest_type(hierarchy, types, ends).select("start", F.col("entity_type").alias("found")), "gate-walked")
+        for end, name in sides:
             rows = rows.join(walked.select(F.col("start").alias(end), F.col("found").alias(f"{name}_walked")), end, "left")
-    return rows
+    return rows.join(rels, "rel_type", "left")
 
 
 def allows(kinds: Column, kind: Column) -> Column:
@@ -100,8 +102,9 @@ def gate(edges: DataFrame, types: DataFrame, rels: DataFrame, hierarchy: DataFra
     user wrote it.  Others are tested: unknown relation, types, then conflict
     with other objects of their subject and relation.
     """
-    others = edges.groupBy("subject", "rel_type").agg((F.min("object") < F.max("object")).alias("several"))
-    rows = typed(edges, types, rels, hierarchy).join(others, ["subject", "rel_type"]).withColumn("reason", type_reason())
+    rows = typed(edges, types, rels, hierarchy).where("subject is not null and rel_type is not null")
+    several = rows.groupBy("subject", "rel_type").agg((F.min("object") < F.max("object")).alias("several")).where("several")
+    rows = rows.join(staged(several, "gate-several"), ["subject", "rel_type"], "left").withColumn("reason", type_reason())
     correction = F.coalesce("is_correction", F.lit(False))
     own = (F.col("provenance") == "user_stated") | correction
     clash = F.col("reason").isin("type_mismatch", "hierarchy_type_mismatch")
@@ -115,7 +118,8 @@ def gate(edges: DataFrame, types: DataFrame, rels: DataFrame, hierarchy: DataFra
         .when(F.col("several"), F.lit("conflict"))
         .otherwise(F.lit("valid"))
     )
-    return rows.select("id", "subject", "rel_type", "object", "reason", status.alias("status"), F.when(status == "valid_staged", F.lit("C")).otherwise(route(F.col("confidence"), F.col("provenance"))).alias("fact_class"))
+    named = [c for c in ("id", "subject", "rel_type", "object") if c in edges.columns]
+    return rows.select(*named, "reason", status.alias("status"), F.when(status == "valid_staged", F.lit("C")).otherwise(route(F.col("confidence"), F.col("provenance"))).alias("fact_class"))
 
 
 SHAPE_KEYS = ("subject", "object", "rel_type")

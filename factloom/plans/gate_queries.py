@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from factloom.operators import gate, ranking
 from factloom.plans.registry import register
-from factloom.scratch import staged
 from factloom.sources import driver_tables as src
 
 PLAIN = f"""{src.HIERARCHY}, {src.RELATIONS}, {src.ENTITY_TYPES}, {src.REL_TYPES}, {src.ASSERTIONS}, edges AS (
@@ -33,7 +32,6 @@ def edges(spark, folder):
     triples = ["subject", "rel_type", "object"]
     every = src.hierarchy(spark, folder).unionByName(src.relations(spark, folder)).unionByName(src.assertions(spark, folder).select(*triples))
     return every.select(
-        F.concat_ws("|", *triples).alias("id"),
         *triples,
         F.get(F.array(*[F.lit(c) for c in (0.0, 0.5, 0.92, 0.96, 1.0)]), F.length("subject") % 5).alias("confidence"),
         F.when(F.length("object") % 2 == 0, F.lit("user_stated")).otherwise(F.lit("llm_inferred")).alias("provenance"),
@@ -42,7 +40,7 @@ def edges(spark, folder):
 
 
 def typed(spark, folder):
-    return gate.typed(staged(edges(spark, folder), "gate-edges"), src.entity_types(spark, folder), src.rel_types(spark), src.hierarchy(spark, folder))
+    return gate.typed(edges(spark, folder).select("subject", "rel_type", "object"), src.entity_types(spark, folder), src.rel_types(spark), src.hierarchy(spark, folder))
 
 
 @register("type_constraint_check", f"WITH RECURSIVE {TYPED} SELECT subject, rel_type, object, reason FROM reasoned")
@@ -72,7 +70,8 @@ def infer_entity_types(spark, folder):
         CASE WHEN status = 'valid_staged' THEN 'C' WHEN provenance = 'user_stated' THEN 'A' WHEN confidence >= 0.6 THEN 'B' ELSE 'C' END AS fact_class FROM s""",
 )
 def gate_status_pipeline(spark, folder):
-    return gate.gate(staged(edges(spark, folder), "gate-edges"), src.entity_types(spark, folder), src.rel_types(spark), src.hierarchy(spark, folder))
+    found = gate.gate(edges(spark, folder), src.entity_types(spark, folder), src.rel_types(spark), src.hierarchy(spark, folder))
+    return found.select(F.concat_ws("|", "subject", "rel_type", "object").alias("id"), *found.columns)
 
 
 @register("cross_type_guard", f"WITH {src.REL_TYPES} SELECT rel_type, len(list_filter(head_types, lambda x: x NOT IN ('ANY', 'SCALAR'))) > 0 AND len(list_filter(tail_types, lambda x: x NOT IN ('ANY', 'SCALAR'))) > 0 AND NOT list_has_any(list_filter(head_types, lambda x: x NOT IN ('ANY', 'SCALAR')), list_filter(tail_types, lambda x: x NOT IN ('ANY', 'SCALAR'))) AS cross_type FROM rel_types")

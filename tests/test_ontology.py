@@ -9,7 +9,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from factloom.operators import graphs, identity, overlay, placement, questions, similar
+from factloom.operators import gate, graphs, identity, overlay, placement, questions, similar
+from factloom.sources import driver_tables
 
 SPACE = uuid.UUID(identity.NAMESPACE)
 USER = "11111111-2222-3333-4444-555555555555"
@@ -291,3 +292,22 @@ def test_what_is_mine(spark):
     asked = spark.createDataFrame([(1, "u", "Where is my wife?"), (2, "u", "my tea!"), (3, "u", "our dog"), (4, "w", "my husband"), (5, "u", "me")], "id int, user_id string, text string")
     got = {(r.id, r.entity) for r in questions.own_entities(asked, facts, names).collect()}
     assert got == {(1, "ann"), (2, "green tea"), (3, "rex"), (4, "eve")}
+
+
+# --- the gate ---
+
+
+def test_no_task_of_the_gate_has_all_edges_of_a_relation(spark):
+    edges = spark.createDataFrame([("a", "supplies", "b"), ("a", "supplies", "c"), ("a", None, "b"), ("d", "novel", None), ("e", "supplies", "b")], "subject string, rel_type string, object string")
+    types = spark.createDataFrame([("a", "unknown"), ("b", "Object"), ("up", "Organization")], "entity_id string, entity_type string")
+    above = spark.createDataFrame([("a", "in", "up")], "subject string, rel_type string, object string")
+    rows = gate.typed(edges, types, driver_tables.rel_types(spark), above)
+    assert "hashpartitioning(rel_type" not in rows._jdf.queryExecution().executedPlan().toString()
+    got = sorted((r.subject, r.rel_type or "", r.object or "", r["head"], r.head_walked, r["tail"], r.reason) for r in rows.withColumn("reason", gate.type_reason()).collect())
+    assert got == [
+        ("a", "", "b", None, "Organization", "Object", "unconstrained"), ("a", "supplies", "b", None, "Organization", "Object", "valid"), ("a", "supplies", "c", None, "Organization", None, "type_unknown"),
+        ("d", "novel", "", None, None, None, "unconstrained"), ("e", "supplies", "b", None, None, "Object", "type_unknown"),
+    ]
+    marked = edges.withColumns({"confidence": F.lit(0.92), "provenance": F.lit("llm_inferred"), "is_correction": F.lit(False)})
+    found = gate.gate(marked, types, driver_tables.rel_types(spark), above).collect()
+    assert sorted((r.subject, r.rel_type, r.object or "", r.status) for r in found) == [("a", "supplies", "b", "conflict"), ("a", "supplies", "c", "conflict"), ("d", "novel", "", "valid"), ("e", "supplies", "b", "valid")]
