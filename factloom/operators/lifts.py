@@ -40,8 +40,9 @@ def predicate(between: Column, content_verbs_only: bool = False) -> Column:
     that follows it at once.  With ``content_verbs_only`` neither light verbs nor
     auxiliaries count.
     """
-    rest = _keeping_last(_from_first(between, lambda t: t.isin([*LEADING_WORDS, *ADVERBS])), lambda t: t.isin(TENSE_WORDS))
-    return _bound(rest, lambda r: _bound(lemma(F.get(r, F.lit(0))), lambda base: _stated(r, F.get(r, F.lit(0)), F.coalesce(F.get(r, F.lit(1)), F.lit("")), base, content_verbs_only)))
+    led = lambda ws: _from_first(ws, lambda t: t.isin([*LEADING_WORDS, *ADVERBS]))
+    rest = lambda ws: _keeping_last(ws, lambda t: t.isin(TENSE_WORDS))
+    return _bound(_bound(_bound(between, led), rest), lambda r: _bound(lemma(F.get(r, F.lit(0))), lambda base: _stated(r, F.get(r, F.lit(0)), F.coalesce(F.get(r, F.lit(1)), F.lit("")), base, content_verbs_only)))
 
 
 def _stated(rest: Column, head: Column, second: Column, base: Column, content_verbs_only: bool) -> Column:
@@ -76,9 +77,9 @@ def lifted_edges(sentences: DataFrame, mentions: DataFrame, most: int | None = M
     pairs = first.select("key", F.col("name").alias("subject"), F.col("kind").alias("subject_type"), (F.col("at") + F.col("n")).alias("low"), ahead("name").alias("object"), ahead("kind").alias("object_type"), ahead("at").alias("high"), "at")
     pairs = pairs.where("object is not null and high > low")
     between = F.slice("tokens", F.col("low").cast("int") + 1, (F.col("high") - F.col("low")).cast("int"))
-    found = pairs.join(sentences, "key").select("key", "at", "subject", predicate(between).alias("rel_type"), "object", "subject_type", "object_type").where("rel_type is not null")
-    order = Window.partitionBy("key").orderBy("at", "subject")
-    numbered = found.withColumn("position", F.row_number().over(order).cast("long"))
+    found = pairs.join(sentences, "key").select("key", "at", "subject", predicate(between).alias("rel_type"), "object", "subject_type", "object_type")
+    order = Window.partitionBy("key").orderBy("at", "subject").rowsBetween(Window.unboundedPreceding, 0)
+    numbered = found.withColumn("position", F.count("rel_type").over(order)).where("rel_type is not null")  # a test before the window would state each relation twice
     return (numbered if most is None else numbered.where(F.col("position") <= most)).drop("at")
 
 

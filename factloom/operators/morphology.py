@@ -71,13 +71,12 @@ def lemma(word: Column) -> Column:
 
 def _from_first(tokens: Column, skipped) -> Column:
     """The tokens from the first that is not skipped; none if all are."""
-    at = F.array_position(F.transform(tokens, lambda t: ~skipped(t)), True).cast("int")
-    return F.when(at > 0, F.slice(tokens, at, F.size(tokens))).otherwise(F.slice(tokens, 1, 0))
+    first = F.array_position(F.transform(tokens, lambda t: ~skipped(t)), True).cast("int")
+    return _bound(first, lambda at: F.when(at > 0, F.slice(tokens, at, F.size(tokens))).otherwise(F.slice(tokens, 1, 0)))
 
 
 def _keeping_last(tokens: Column, skipped) -> Column:
-    rest = _from_first(tokens, skipped)
-    return F.when(F.size(rest) > 0, rest).otherwise(F.slice(tokens, -1, 1))
+    return _bound(_from_first(tokens, skipped), lambda rest: F.when(F.size(rest) > 0, rest).otherwise(F.slice(tokens, -1, 1)))
 
 
 def bare_words(text: Column) -> Column:

@@ -172,6 +172,16 @@ def test_longest_phrase_keeps_a_number_a_text(spark):
     assert {(r.phrase, r.target) for r in found.collect()} == {("the", "d")} and found.count() == 5
 
 
+def test_a_relation_is_stated_once_and_numbered_without_gaps(spark):
+    sentences = spark.createDataFrame([(1, "ann the bob met carl likes dora".split())], "key int, tokens array<string>")
+    mentions_ = spark.createDataFrame([(1, n, "P", at, 1) for n, at in (("ann", 0), ("bob", 2), ("carl", 4), ("dora", 6))], "key int, name string, kind string, at int, n int")
+    edges = lifts.lifted_edges(sentences, mentions_)
+    assert [(r.position, r.subject, r.rel_type, r.object) for r in edges.orderBy("position").collect()] == [(1, "bob", "meet", "carl"), (2, "carl", "like", "dora")]
+    assert [r.subject for r in lifts.lifted_edges(sentences, mentions_, most=1).collect()] == ["bob"]
+    lines = lifts.lifted_edges(sentences, mentions_)._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    assert not [line for line in lines if "Filter" in line and "slice(tokens" in line]  # no test states the relation beside the column
+
+
 def test_clauses(spark):
     texts = spark.createDataFrame([(1, " I moved. It rained!  i MOVED. I used to sing? "), (2, "no end"), (3, "  "), (4, None)], "key int, text string")
     found = phrases.clauses(texts, spark.createDataFrame([("used to",), ("moved",)], "phrase string"))
