@@ -79,7 +79,7 @@ def lifted_edges(sentences: DataFrame, mentions: DataFrame, most: int | None = M
     between = F.slice("tokens", F.col("low").cast("int") + 1, (F.col("high") - F.col("low")).cast("int"))
     found = pairs.join(sentences, "key").select("key", "at", "subject", predicate(between).alias("rel_type"), "object", "subject_type", "object_type")
     order = Window.partitionBy("key").orderBy("at", "subject").rowsBetween(Window.unboundedPreceding, 0)
-    numbered = found.withColumn("position", F.count("rel_type").over(order)).where("rel_type is not null")  # a test before the window would state each relation twice
+    numbered = found.withColumn("position", F.count("rel_type").over(order)).where("rel_type is not null")
     return (numbered if most is None else numbered.where(F.col("position") <= most)).drop("at")
 
 
