@@ -35,7 +35,7 @@ are not read.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.llm.quality import _let
@@ -57,14 +57,18 @@ def _split(text: Column) -> Column:
     return F.when(odd, F.split(F.lower(text), SPACES)).otherwise(F.split(F.replace(F.lower(text), F.lit("\n"), F.lit(" ")), " "))
 
 
+def _bucket(word: Column) -> Column:
+    return F.hash(word).bitwiseAND(F.lit(BUCKETS - 1))
+
+
 def _rarity(docs: DataFrame) -> DataFrame:
-    """One row, levels: for each bucket the power of two of its number of words."""
+    """One row, levels: for each bucket the power of two of its number of words, in the place that it has in an item."""
     word = docs.select(F.explode(_split(F.col("text"))).alias("word")).where("word <> ''")
-    counts = word.groupBy(F.xxhash64("word").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("bucket")).count()
+    counts = word.groupBy(_bucket(F.col("word")).alias("bucket")).count()
     level = F.struct("bucket", F.ceil(F.log2(F.col("count") + 1)).cast("byte").alias("level"))
     every = docs.sparkSession.range(BUCKETS).select(F.struct(F.col("id").cast("int").alias("bucket"), F.lit(0).cast("byte").alias("level")).alias("x"))
     highest = counts.select(level.alias("x")).union(every).groupBy("x.bucket").agg(F.max("x").alias("x"))  # BUCKETS rows
-    return staged(highest.agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["level"]).alias("levels")), "lines-rarity")
+    return staged(highest.agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: F.shiftleft(x["level"].cast("long"), HASH_BITS)).alias("levels")), "lines-rarity")
 
 
 def _ranked(lines: DataFrame, levels: DataFrame, keep: list[str]) -> DataFrame:
@@ -73,15 +77,17 @@ def _ranked(lines: DataFrame, levels: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def _items(line: Column, levels: Column) -> Column:
-    hashed = F.array_distinct(F.array_remove(F.transform(_split(line), lambda w: F.xxhash64(w)), F.xxhash64(F.lit(""))))
-    level = lambda h: F.shiftleft(F.get(levels, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).cast("long"), HASH_BITS)
-    return F.sort_array(F.transform(hashed, lambda h: level(h).bitwiseOR(h.bitwiseAND(F.lit((1 << HASH_BITS) - 1)))))
+    # One pass over the words, as lambdas are not compiled; without nulls, longs are told apart and sorted as such.
+    level = lambda w: F.coalesce(F.get(levels, _bucket(w)), F.lit(0).cast("long"))
+    ranked = F.transform(F.array_remove(_split(line), ""), lambda w: level(w).bitwiseOR(F.xxhash64(w).bitwiseAND(F.lit((1 << HASH_BITS) - 1))))
+    return F.sort_array(F.array_distinct(ranked))
 
 
 def _parity(items: Column, half: bool) -> Column:
-    """A 64-bit parity bitmap of the items, or of half of them: two sets differ in at least as many items as their bitmaps in bits."""
-    one = (lambda h: F.shiftright(h, 6).bitwiseAND(F.lit(1).cast("long"))) if half else (lambda h: F.lit(1).cast("long"))
-    return F.aggregate(items, F.lit(0).cast("long"), lambda acc, h: acc.bitwiseXOR(F.call_function("shiftleft", one(h), h.bitwiseAND(F.lit(63)).cast("int"))))
+    """A 64-bit parity bitmap of the items, or of the odd ones: two sets differ in at least as many items as their bitmaps in bits."""
+    one = (lambda h: h.bitwiseAND(F.lit(1).cast("long"))) if half else (lambda h: F.lit(1).cast("long"))
+    # A long is shifted by the last six bits of the hash.
+    return F.aggregate(items, F.lit(0).cast("long"), lambda acc, h: acc.bitwiseXOR(F.call_function("shiftleft", one(h), F.hash(h))))
 
 
 def _classes(docs: DataFrame, levels: DataFrame, num: int, den: int) -> DataFrame:
@@ -135,14 +141,15 @@ def _survivors(docs: DataFrame, num: int, den: int) -> DataFrame:
     many = classes.where(F.col("n") * (den - num) >= num).select("cid", "n", "low", "high", "prefix")
 
     leading = many.select("cid", "n", "low", "high", F.posexplode(F.slice("prefix", 1, LEADING)).alias("pos", "h"))
-    heads = leading.groupBy("h").agg(F.min(F.struct("cid", "n", "pos", "low", "high")).alias("x")).select("h", "x.*")
+    one = F.struct("cid", "n", "pos", "low", "high")
+    head = F.first(one).over(Window.partitionBy("h").orderBy("cid").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     apart = F.expr("bit_count(a.low ^ b.low) + bit_count(a.high ^ b.high)")
-    met = leading.alias("b").join(heads.alias("a"), F.expr(f"a.h = b.h and a.cid < b.cid and {_filters(num, den)}"))
+    met = leading.select(one.alias("b"), head.alias("a")).where(f"a.cid < b.cid and {_filters(num, den)}")
     pairs = staged(_best(met.select(F.col("b.cid").alias("cid"), apart.alias("apart"), F.col("a.cid").alias("other"))), "lines-pairs")
     settled = _similar(pairs, _sets(docs, levels, classes, pairs), num, den)
 
     # A settled class looks for nothing: its id is written as -1 - cid.
-    marked = many.join(settled.withColumn("done", F.lit(True)), "cid", "left")
+    marked = many.join(settled.withColumn("done", F.lit(True)).hint("shuffle_hash"), "cid", "left")
     who = F.coalesce(F.when(F.col("done"), -1 - F.col("cid")).otherwise(F.col("cid")), F.lit(0))  # never null, so that both sides are one shuffle
     postings = marked.select(who.alias("id"), "n", "low", "high", F.posexplode("prefix").alias("pos", "h"))
     a, b = postings.alias("a"), postings.alias("b")
@@ -154,13 +161,13 @@ def _survivors(docs: DataFrame, num: int, den: int) -> DataFrame:
     likely = _similar(first, sets, num, den)
     rest = pairs.join(likely, "cid", "left_anti").join(first, ["cid", "other"], "left_anti")
     late = _similar(rest.select("cid", "other"), sets, num, den)
-    return classes.select("cid", *PLACE).join(settled.union(likely).union(late), "cid", "left_anti").drop("cid")
+    return classes.select("cid", *PLACE).join(settled.union(likely).union(late).hint("shuffle_hash"), "cid", "left_anti").drop("cid")
 
 
 def similar_lines(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, text_key, n_lines, n_removed, removed (the line numbers to leave out) for every row."""
     stay = _survivors(docs, num, den).groupBy("doc_id", "text_key").agg(F.collect_list("line_no").alias("stay"))
-    has_word = lambda line: line.rlike(r"[^\x20\x09-\x0D]")
+    has_word = lambda line: F.ltrim(line, F.lit(" \t\n\x0b\f\r")) != ""
     numbered = F.transform(F.split("text", "\n"), lambda line, i: F.when(has_word(line), i))
     rows = _texts(docs).select("doc_id", "text_key", F.coalesce(numbered, F.expr("cast(array() as array<int>)")).alias("filled"))
     found = rows.alias("d").join(stay.alias("s"), F.expr("d.doc_id <=> s.doc_id and d.text_key = s.text_key"), "left")

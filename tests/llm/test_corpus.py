@@ -429,6 +429,24 @@ def test_lines_odd(frame, odd_rows):
     assert kept[1] and kept[2] == "" and kept[5] is None
 
 
+def test_lines_are_ranked_and_met_once(frame, monkeypatch):
+    """Ranked words hold no nulls, which would be boxed and compared one by one; a word's classes meet the earliest in one sort, not in a join."""
+    plans, staged = [], line_dedup.staged
+
+    def seen(df, name):
+        plans.append((name, df._jdf.queryExecution().optimizedPlan().toString()))
+        return staged(df, name)
+
+    monkeypatch.setattr(line_dedup, "staged", seen)
+    docs = frame([(i, f"\t\x0b\n one line of words that others repeat \f\n{i}" + " more" * i, "en", "a") for i in range(4)])
+    levels = line_dedup._rarity(docs)
+    ranked = line_dedup._ranked(docs.withColumnRenamed("text", "line"), levels, ["doc_id"])
+    assert not ranked.schema["items"].dataType.containsNull
+    assert sorted((r.doc_id, r.n_lines, r.removed) for r in line_dedup.similar_lines(docs).collect()) == [(0, 3, []), (1, 3, [1]), (2, 3, [1]), (3, 3, [1])]
+    meeting = next(plan for name, plan in plans if name == "lines-pairs")
+    assert "Window" in meeting and "Join" not in meeting
+
+
 def test_language(documents):
     rows = language.identify(documents).join(documents.select("doc_id", "lang"), "doc_id").toPandas()
     assert len(rows) == documents.count() and rows["score"].between(0, 1).all()
