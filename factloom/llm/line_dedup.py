@@ -42,8 +42,8 @@ from factloom.llm.quality import _let
 from factloom.scratch import staged
 
 BUCKETS, LEADING = 1 << 18, 5
-HASH_BITS = 57  # of a word's 64; its rarity, at most 63, goes before them
-SPACES = r"[\x20\x09-\x0D]+"
+HASH_BITS, MOST = 57, 63  # of a word's 64; its rarity, at most 63, goes before them
+SPACES = r"[\x09\x0B-\x0D]"  # but line feeds
 PLACE = ["doc_id", "text_key", "line_no"]
 
 
@@ -51,10 +51,10 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), "text")
 
 
-def _split(text: Column) -> Column:
-    """The pieces of a lowered text between white space, empty ones among them; most texts need no pattern for it."""
+def _lines(text: Column) -> Column:
+    """The lowered lines of a text, with a space for any other white space; most texts need no pattern for it."""
     odd = text.contains("\t") | text.contains("\r") | text.contains("\x0b") | text.contains("\f")
-    return F.when(odd, F.split(F.lower(text), SPACES)).otherwise(F.split(F.replace(F.lower(text), F.lit("\n"), F.lit(" ")), " "))
+    return F.split(F.when(odd, F.regexp_replace(F.lower(text), SPACES, " ")).otherwise(F.lower(text)), "\n")
 
 
 def _bucket(word: Column) -> Column:
@@ -63,12 +63,12 @@ def _bucket(word: Column) -> Column:
 
 def _rarity(docs: DataFrame) -> DataFrame:
     """One row, levels: for each bucket the power of two of its number of words, in the place that it has in an item."""
-    word = docs.select(F.explode(_split(F.col("text"))).alias("word")).where("word <> ''")
-    counts = word.groupBy(_bucket(F.col("word")).alias("bucket")).count()
-    level = F.struct("bucket", F.ceil(F.log2(F.col("count") + 1)).cast("byte").alias("level"))
-    every = docs.sparkSession.range(BUCKETS).select(F.struct(F.col("id").cast("int").alias("bucket"), F.lit(0).cast("byte").alias("level")).alias("x"))
-    highest = counts.select(level.alias("x")).union(every).groupBy("x.bucket").agg(F.max("x").alias("x"))  # BUCKETS rows
-    return staged(highest.agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: F.shiftleft(x["level"].cast("long"), HASH_BITS)).alias("levels")), "lines-rarity")
+    word = docs.select(F.explode(_lines(F.col("text"))).alias("line")).select(F.explode(F.split("line", " ")).alias("word")).where("word <> ''")
+    every = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket"), F.lit(0).cast("long").alias("one"))
+    counts = word.select(_bucket(F.col("word")).alias("bucket"), F.lit(1).cast("long").alias("one")).union(every).groupBy("bucket").agg(F.sum("one").alias("count"))  # BUCKETS rows
+    level = F.when(F.col("bucket") == _bucket(F.lit("")), MOST).otherwise(F.ceil(F.log2(F.col("count") + 1))).cast("long")  # no word is empty
+    placed = counts.select(F.shiftleft(F.col("bucket").cast("long"), 6).bitwiseOR(level).alias("x"))
+    return staged(placed.agg(F.transform(F.sort_array(F.collect_list("x")), lambda x: F.shiftleft(x.bitwiseAND(F.lit(MOST).cast("long")), HASH_BITS)).alias("levels")), "lines-rarity")
 
 
 def _ranked(lines: DataFrame, levels: DataFrame, keep: list[str]) -> DataFrame:
@@ -78,9 +78,10 @@ def _ranked(lines: DataFrame, levels: DataFrame, keep: list[str]) -> DataFrame:
 
 def _items(line: Column, levels: Column) -> Column:
     # One pass over the words, as lambdas are not compiled; without nulls, longs are told apart and sorted as such.
-    level = lambda w: F.coalesce(F.get(levels, _bucket(w)), F.lit(0).cast("long"))
-    ranked = F.transform(F.array_remove(_split(line), ""), lambda w: level(w).bitwiseOR(F.xxhash64(w).bitwiseAND(F.lit((1 << HASH_BITS) - 1))))
-    return F.sort_array(F.array_distinct(ranked))
+    # The levels are named once: a column of their own would be copied for every line.
+    rank = lambda level, w: level.bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), 64 - HASH_BITS))
+    ranked = F.transform(F.split(line, " "), lambda w: rank(F.coalesce(F.get(levels, _bucket(w)), F.lit(0).cast("long")), w))
+    return F.array_remove(F.sort_array(F.array_distinct(ranked)), rank(F.lit(MOST << HASH_BITS), F.lit("")))
 
 
 def _parity(items: Column, half: bool) -> Column:
@@ -91,24 +92,30 @@ def _parity(items: Column, half: bool) -> Column:
 
 
 def _classes(docs: DataFrame, levels: DataFrame, num: int, den: int) -> DataFrame:
-    """cid and place of the first line of every class, and n, low, high, prefix of its set; an earlier class has a lesser cid."""
+    """cid and place of the first line of every class, and n, both, high, prefix of its set; an earlier class has a lesser cid."""
 
-    lines = _texts(docs).select("doc_id", "text_key", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    lines = _texts(docs).select("doc_id", "text_key", F.posexplode(_lines(F.col("text"))).alias("line_no", "line"))
     prefix = F.slice("items", F.lit(1), (F.size("items") - F.ceil(F.size("items") * num / F.lit(den)) + 1).cast("int"))
     items = F.col("items")
     lines = _ranked(lines, levels, PLACE).select(*PLACE, F.xxhash64("items").alias("key"), F.size("items").alias("n"), _parity(items, False).alias("both"), _parity(items, True).alias("high"), prefix.alias("prefix"))
-    first = lines.groupBy("key", "both", "n").agg(F.min(F.struct(*PLACE, "high", "prefix")).alias("x")).select("x.*", "n", (F.col("both").bitwiseXOR(F.col("x.high"))).alias("low"))
+    first = lines.groupBy("key", "both", "n").agg(F.min(F.struct(*PLACE, "high", "prefix")).alias("x")).select("x.*", "n", "both")
     first = first.where("size(prefix) > 0")  # lines without words go here, where no optimiser moves the test before the costly set
     return staged(first.orderBy(*PLACE).withColumn("cid", F.monotonically_increasing_id()), "lines-classes")
 
 
+# How many bits tell the bitmaps of a and b apart, those of the odd items and of the others.
+APART = "bit_count(a.both ^ a.high ^ b.both ^ b.high) + bit_count(a.high ^ b.high)"
+
+
+def _reach(num: int, den: int) -> Column:
+    """The largest set that length and position (n, pos) allow to be similar."""
+    return F.expr(f"least({den}L * n div {num}, {den + num}L * (n - pos) div {num} - n)").cast("int").alias("reach")
+
+
 def _filters(num: int, den: int) -> str:
-    """Length, position and parity of a and b (n, pos, low, high) allow the similarity."""
-    return (
-        f"{den} * least(a.n, b.n) >= {num} * greatest(a.n, b.n)"
-        f" and least(a.n - a.pos, b.n - b.pos) * ({den} + {num}) >= {num} * (a.n + b.n)"
-        f" and (bit_count(a.low ^ b.low) + bit_count(a.high ^ b.high)) * ({den} + {num}) <= ({den} - {num}) * (a.n + b.n)"
-    )
+    """Reach and parity of a and b (n, reach, both, high) allow the similarity; the cheap tests go first."""
+    fewer = f"* {den + num} <= {den - num} * (a.n + b.n)"
+    return f"b.n <= a.reach and a.n <= b.reach and bit_count(a.both ^ b.both) {fewer} and ({APART}) {fewer}"
 
 
 def _sets(docs: DataFrame, levels: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -117,7 +124,7 @@ def _sets(docs: DataFrame, levels: DataFrame, classes: DataFrame, pairs: DataFra
     places = classes.select("cid", *PLACE).join(wanted, "cid").groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("line_no", "cid")).alias("at"))
     places = staged(places, "lines-places").hint("shuffle_hash").alias("p")  # the small side; whole texts need no sort
     rows = _texts(docs).alias("d").join(places, F.expr("d.doc_id <=> p.doc_id and d.text_key = p.text_key"))
-    picked = _let(F.split("d.text", "\n"), lambda ls: F.transform(F.col("p.at"), lambda x: F.struct(x["cid"].alias("cid"), F.get(ls, x["line_no"]).alias("line"))))
+    picked = _let(_lines(F.col("d.text")), lambda ls: F.transform(F.col("p.at"), lambda x: F.struct(x["cid"].alias("cid"), F.get(ls, x["line_no"]).alias("line"))))
     found = _ranked(rows.select(F.inline(picked)), levels, ["cid"])
     return staged(found.groupBy("cid").agg(F.max("items").alias("items")), "lines-sets")
 
@@ -138,12 +145,12 @@ def _survivors(docs: DataFrame, num: int, den: int) -> DataFrame:
     """The place of every line that stays and has words."""
     levels = _rarity(docs)
     classes = _classes(docs, levels, num, den)
-    many = classes.where(F.col("n") * (den - num) >= num).select("cid", "n", "low", "high", "prefix")
+    many = classes.where(F.col("n") * (den - num) >= num).select("cid", "n", "both", "high", "prefix")
 
-    leading = many.select("cid", "n", "low", "high", F.posexplode(F.slice("prefix", 1, LEADING)).alias("pos", "h"))
-    one = F.struct("cid", "n", "pos", "low", "high")
+    leading = many.select("cid", "n", "both", "high", F.posexplode(F.slice("prefix", 1, LEADING)).alias("pos", "h"))
+    one = F.struct("cid", "n", _reach(num, den), "both", "high")
     head = F.first(one).over(Window.partitionBy("h").orderBy("cid").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    apart = F.expr("bit_count(a.low ^ b.low) + bit_count(a.high ^ b.high)")
+    apart = F.expr(APART)
     met = leading.select(one.alias("b"), head.alias("a")).where(f"a.cid < b.cid and {_filters(num, den)}")
     pairs = staged(_best(met.select(F.col("b.cid").alias("cid"), apart.alias("apart"), F.col("a.cid").alias("other"))), "lines-pairs")
     settled = _similar(pairs, _sets(docs, levels, classes, pairs), num, den)
@@ -151,10 +158,10 @@ def _survivors(docs: DataFrame, num: int, den: int) -> DataFrame:
     # A settled class looks for nothing: its id is written as -1 - cid.
     marked = many.join(settled.withColumn("done", F.lit(True)).hint("shuffle_hash"), "cid", "left")
     who = F.coalesce(F.when(F.col("done"), -1 - F.col("cid")).otherwise(F.col("cid")), F.lit(0))  # never null, so that both sides are one shuffle
-    postings = marked.select(who.alias("id"), "n", "low", "high", F.posexplode("prefix").alias("pos", "h"))
+    postings = marked.select(who.alias("id"), "n", "both", "high", F.posexplode("prefix").alias("pos", "h")).select("id", "n", _reach(num, den), "both", "high", "h")
     a, b = postings.alias("a"), postings.alias("b")
-    earlier = "a.h = b.h and greatest(a.id, -1 - a.id) < b.id"
-    met = a.join(b, F.expr(f"{earlier} and {_filters(num, den)}")).select(F.col("b.id").alias("cid"), F.expr("greatest(a.id, -1 - a.id)").alias("other"), apart.alias("apart"))
+    other = "(a.id ^ shiftright(a.id, 63))"  # -1 - id where that is negative
+    met = a.join(b, F.expr(f"a.h = b.h and {other} < b.id and {_filters(num, den)}")).select(F.col("b.id").alias("cid"), F.expr(other).alias("other"), apart.alias("apart"))
     pairs = staged(met.distinct(), "lines-pairs")
     sets = _sets(docs, levels, classes, pairs)
     first = staged(_best(pairs), "lines-best")

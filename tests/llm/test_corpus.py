@@ -447,6 +447,15 @@ def test_lines_are_ranked_and_met_once(frame, monkeypatch):
     assert "Window" in meeting and "Join" not in meeting
 
 
+def test_reach_is_length_and_position(frame):
+    """The one number of a posting allows the same pairs as the inequalities of length and position, over all small sets."""
+    sides = frame([]).sparkSession.range(1, 31).selectExpr("cast(id as int) as n", "explode(sequence(0, cast(id as int) - 1)) as pos")
+    sides = sides.select("n", "pos", line_dedup._reach(80, 100))
+    plain = "100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) and least(a.n - a.pos, b.n - b.pos) * 180 >= 80 * (a.n + b.n)"
+    pairs = sides.alias("a").crossJoin(sides.alias("b")).selectExpr(f"{plain} as plain", "b.n <= a.reach and a.n <= b.reach as near")
+    assert pairs.where("plain").count() > 0 and pairs.where("plain <> near").count() == 0
+
+
 def test_language(documents):
     rows = language.identify(documents).join(documents.select("doc_id", "lang"), "doc_id").toPandas()
     assert len(rows) == documents.count() and rows["score"].between(0, 1).all()
