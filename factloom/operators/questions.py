@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from factloom.operators.dates import clock
 from factloom.operators.morphology import _bound, lemma
+from factloom.scratch import staged
 
 # Cue words of questions.
 FIRST = r"\b(?:first|earliest|oldest|initially)\b"
@@ -87,13 +88,15 @@ def calculation(text: Column) -> Column:
 
 
 def planned(questions: DataFrame) -> DataFrame:
-    """Questions (id, user_id, text, now) with their plan: order, bound, status, history, month and calc; a leading date mark is their now."""
+    """Questions (id, user_id, text, now) with their plan: order, bound, status, history, month, calc and the words of its anchors; a leading date mark is their now."""
     now, bare = clock(F.col("text"), F.col("now"))
     rows = questions.select("id", "user_id", now.alias("now"), bare.alias("text"))
     low = F.lower("text")
-    return rows.select(
+    plans = rows.select(
         "*", asked_order(low).alias("order"), asked_bound(low).alias("bound"), F.when(low.rlike(FUTURE), "future").alias("status"), F.coalesce(low.rlike(HISTORY), F.lit(False)).alias("history"), asked_month(low, F.col("now")).alias("month"), calculation(F.col("text")).alias("calc")
     )
+    said = lambda anchor: F.array_join(event_words(anchor), " ")
+    return plans.select("*", F.struct(said(F.col("calc.anchor")).alias("a"), said(F.col("calc.anchor_b")).alias("b")).alias("words"))
 
 
 def event_words(text: Column) -> Column:
@@ -103,11 +106,11 @@ def event_words(text: Column) -> Column:
 
 
 def matched(anchors: DataFrame, facts: DataFrame) -> DataFrame:
-    """(id, side, fact_id, event_date): of a user's dated facts (user_id, fact_id, rel_type, object, event_date) the one that shares most words with each anchor (id, side, user_id, anchor), then the earliest."""
-    asked = anchors.select("id", "side", "user_id", F.explode(event_words(F.col("anchor"))).alias("word"))
+    """(user_id, words, fact_id, event_date): of a user's dated facts (user_id, fact_id, rel_type, object, event_date) the one that shares most of the words, spaced, of each anchor (user_id, words), then the earliest."""
+    asked = anchors.distinct().select("user_id", "words", F.explode(F.split("words", " ")).alias("word"))
     said = facts.where("event_date is not null").select("user_id", "fact_id", "event_date", F.explode(event_words(F.concat_ws(" ", F.replace("rel_type", F.lit("_"), F.lit(" ")), "object"))).alias("word"))
-    shared = asked.join(said, ["user_id", "word"]).groupBy("id", "side", "fact_id", "event_date").agg(F.count("*").alias("n"))
-    return shared.groupBy("id", "side").agg(F.min(F.struct((-F.col("n")).alias("n"), "event_date", "fact_id")).alias("x")).select("id", "side", "x.fact_id", "x.event_date")
+    shared = asked.join(said, ["user_id", "word"]).groupBy("user_id", "words", "fact_id", "event_date").agg(F.count("*").alias("n"))
+    return shared.groupBy("user_id", "words").agg(F.min(F.struct((-F.col("n")).alias("n"), "event_date", "fact_id")).alias("x")).select("user_id", "words", "x.fact_id", "x.event_date")
 
 
 def computed(plans: DataFrame, facts: DataFrame) -> DataFrame:
@@ -117,24 +120,27 @@ def computed(plans: DataFrame, facts: DataFrame) -> DataFrame:
     negative if the first comes earlier; answer is yes or no where that is
     asked.  A miss names the side that has no dated fact in ``answer``.
     """
-    asked = plans.where("calc is not null").select("id", "user_id", "now", "calc.*")
-    sides = asked.select("id", "user_id", F.explode(F.array(F.struct(F.lit("a").alias("side"), "anchor"), F.struct(F.lit("b").alias("side"), F.col("anchor_b").alias("anchor")))).alias("x")).select("id", "user_id", "x.*").where("anchor is not null")
-    dates = matched(sides, facts).groupBy("id").agg(F.max(F.when(F.col("side") == "a", F.col("event_date"))).alias("a"), F.max(F.when(F.col("side") == "b", F.col("event_date"))).alias("b"))
-    met = asked.join(dates, "id", "left")
+    asked = plans.where("calc is not null").select("id", "user_id", "now", "calc.*", F.col("words.a").alias("words_a"), F.col("words.b").alias("words_b"))
+    anchors = asked.select("user_id", F.explode(F.array("words_a", "words_b")).alias("words")).where("words <> ''")
+    dates = staged(matched(anchors, facts), "question-dates").hint("shuffle_hash")  # each key is there once, so that a task holds few
+    of = lambda side: dates.select("user_id", F.col("words").alias(f"words_{side}"), F.col("event_date").alias(side))
+    met = asked.join(of("a"), ["user_id", "words_a"], "left").join(of("b"), ["user_id", "words_b"], "left")
     lone = F.col("op") == "ago"
-    high, low = F.when(lone, F.col("now")).otherwise(F.col("a")), F.when(lone, F.col("a")).otherwise(F.col("b"))
-    miss = F.col("a").isNull() | (~lone & F.col("b").isNull())
-    days = F.datediff(high, low)
+    a, b, both = F.col("a"), F.col("b"), F.col("a").isNotNull() & F.col("b").isNotNull()
+    met = met.select("*", F.when(lone, F.col("now")).otherwise(a).alias("high"), F.when(lone, a).otherwise(b).alias("low"), (a.isNull() | (~lone & b.isNull())).alias("miss"))
+    miss, days = F.col("miss"), F.datediff("high", "low")
     toward_zero = lambda n: F.when(n < 0, F.ceil(n)).otherwise(F.floor(n)).cast("long")
-    months = toward_zero(F.months_between(high, low))
-    value = F.when(F.col("unit") == "hours", days * 24).when(F.col("unit") == "days", days).when(F.col("unit") == "weeks", toward_zero(days / 7)).when(F.col("unit") == "months", months).otherwise(toward_zero(F.months_between(high, low) / 12))
-    same = F.coalesce(*[F.when(F.col("unit") == u, F.trunc("a", u if u != "day" else "DD") == F.trunc("b", u)) for u in ("week", "month", "year")], F.col("a") == F.col("b"))
-    holds = F.when(F.col("op") == "same", same).when(F.col("op") == "allen", F.when(F.col("relation") == "after", F.col("a") > F.col("b")).otherwise(F.col("a") < F.col("b")))
-    lacking = F.concat(F.lit("no date for: "), F.when(F.col("a").isNull(), F.col("anchor")).otherwise(F.col("anchor_b")))
+    months = F.months_between("high", "low")
+    value = F.when(F.col("unit") == "hours", days * 24).when(F.col("unit") == "days", days).when(F.col("unit") == "weeks", toward_zero(days / 7)).when(F.col("unit") == "months", toward_zero(months)).otherwise(toward_zero(months / 12))
+    same = F.coalesce(*[F.when(F.col("unit") == u, F.trunc("a", u if u != "day" else "DD") == F.trunc("b", u)) for u in ("week", "month", "year")], a == b)
+    holds = F.when(F.col("op") == "same", same).when(F.col("op") == "allen", F.when(F.col("relation") == "after", a > b).otherwise(a < b))
+    lacking = F.concat(F.lit("no date for: "), F.when(a.isNull(), F.col("anchor")).otherwise(F.col("anchor_b")))
     counts = F.col("op").isin("ago", "between")
-    return met.select(
-        "id", "op", F.when(~miss & counts, value.cast("long")).alias("value"), F.when(counts, F.col("unit")).alias("unit"),
-        F.when(miss, lacking).when(holds, "yes").when(~holds, "no").alias("answer"), F.array_sort(F.array_compact(F.array("a", "b"))).alias("cited_dates"), miss.alias("miss"),
+    cited = F.when(both, F.array(F.least(a, b), F.greatest(a, b))).when(a.isNotNull() | b.isNotNull(), F.array(F.coalesce(a, b))).otherwise(F.array().cast("array<date>"))
+    answered = met.select("id", "op", "unit", "miss", "high", "low", counts.alias("counts"), holds.alias("holds"), lacking.alias("lacking"), cited.alias("cited_dates"))
+    return answered.select(
+        "id", "op", F.when(~miss & F.col("counts"), value.cast("long")).alias("value"), F.when(F.col("counts"), F.col("unit")).alias("unit"),
+        F.when(miss, F.col("lacking")).when(F.col("holds"), "yes").when(~F.col("holds"), "no").alias("answer"), "cited_dates", "miss",
     )
 
 

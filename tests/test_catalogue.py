@@ -50,3 +50,11 @@ def test_question_answers_of_users_without_some_events(spark, tmp_path):
     want = plain(con.sql(catalogue.ORACLES["question_answers"]).df())
     assert "NULL" in set(want["cited"]) and "" in set(want["cited"])
     pd.testing.assert_frame_equal(got, want, check_dtype=False)
+
+
+@pytest.mark.parametrize("name", ["question_answers", "question_walks"])
+def test_texts_are_planned_once_and_not_once_a_user(spark, sf, name):
+    df = catalogue.QUERIES[name](spark, sf)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "RLIKE" not in plan  # no pattern runs over the questions of users
+    assert "RoundRobinPartitioning" in plan  # few users with many questions each go to all tasks

@@ -275,6 +275,17 @@ def test_answers_cite_their_dates(spark):
     }
 
 
+def test_an_anchor_of_a_user_meets_the_facts_once(spark):
+    day = lambda n: dt.date(2024, 1, n)
+    facts = [("u", 1, "found", "house", day(9)), ("u", 2, "saw", "house", day(3)), ("u", 3, "saw", "house", day(3)), ("v", 4, "found", "house", day(1)), ("w", 5, "found", "house", None)]
+    table = spark.createDataFrame(facts, "user_id string, fact_id long, rel_type string, object string, event_date date")
+    anchors = spark.createDataFrame([("u", "house")] * 50 + [("u", "found house"), ("u", "car"), ("w", "house"), (None, "house")], "user_id string, words string")
+    got = sorted(map(tuple, questions.matched(anchors, table).collect()))
+    assert got == [("u", "found house", 1, day(9)), ("u", "house", 2, day(3))]
+    words = [tuple(r.words) for r in planned(spark, "did i find the houses before i moved?", "how long ago did i find it", "who am i")]
+    assert words == [("find house", "move"), ("find", None), (None, None)]
+
+
 def test_walks(spark):
     facts = [("u", 1, dt.date(2024, 1, 5), False), ("u", 2, dt.date(2024, 7, 1), False), ("u", 3, None, False), ("u", 4, dt.date(2024, 1, 2), True), ("v", 5, dt.date(2020, 1, 1), False)]
     table = spark.createDataFrame(facts, "user_id string, fact_id long, event_date date, superseded boolean")
